@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sprigwork.operators import nested, references
+from sprigwork.operators import nested, packed, references
 from sprigwork.tables import load
 
 
@@ -21,6 +21,10 @@ def p1_rows_per_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.groupBy("tag").agg(F.count("*").alias("n_rows"), F.countDistinct("parent_pk").alias("n_parents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.found(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.found(spark, sf_dir)
 
@@ -29,7 +33,7 @@ def p4_orphans_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.report(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rows_per_table, p4_found, p4_orphans_by_month)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rows_per_table, p2_found, p4_found, p4_orphans_by_month)}
 
 _DOI = "rtrim(regexp_extract(lower(replace(replace({0}, '%2F', '/'), '%2f', '/')), '(10\\.\\d{{4,9}}/[^\\s<>\"'']+)', 1), '.,;:!?)]}}>')"
 
