@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sprigwork.llm import duplicates
+from sprigwork.llm import duplicates, linking, split
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +17,26 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.collapsed(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_collapsed)}
-ORACLE: dict[str, str] = {}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.found(spark, sf_dir)
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.unmatched(spark, sf_dir)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.found(spark, sf_dir)
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.all_pieces(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_collapsed, p5_found, p5_unmatched, p6_found, p6_pieces)}
+ORACLE: dict[str, str] = {
+    "p6_found": """
+SELECT fulltext_key,
+  CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[ \\t\\r\\n]+'), x -> length(x))) > max_chars THEN 'hard' ELSE 'soft' END AS cut
+FROM fulltext JOIN chunk_limits USING (source) WHERE length(text) > max_chars""",
+}
