@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sprigwork.llm import duplicates, linking, split
+from sprigwork.llm import abuse, duplicates, linking, mixing, packing, split
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,35 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.all_pieces(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_collapsed, p5_found, p5_unmatched, p6_found, p6_pieces)}
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark, sf_dir)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(spark, sf_dir)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(spark, sf_dir)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(spark, sf_dir)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found(spark, sf_dir)
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(spark, sf_dir)
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_collapsed, p5_found, p5_unmatched, p6_found, p6_pieces, p7_packed, p7_fill, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
 ORACLE: dict[str, str] = {
     "p6_found": """
 SELECT fulltext_key,
