@@ -5,7 +5,7 @@ documents, predicts a posterior over the sources. Nonnegative rates r (uses of e
 max_repeats) minimise sum_d (expected tokens of d - target tokens of d)^2 / tokens of d. Projected gradient steps in the
 metric of the documents' lengths move all documents of equal posterior alike, so documents are first summed by (posterior,
 limit), and each step is one small aggregate whose only state is the history of the sources' residuals, replayed per group.
-Rates become whole repeats by a rounding that a hash of doc_id decides.
+Rates become whole repeats by a rounding that a hash of doc_id decides, and a few more steps correct what it moved.
 
 The size of the mixture, where not given, is the largest at which every source that has documents can reach its share.
 
@@ -29,8 +29,8 @@ from sprigwork.llm.tokens import VOCABULARY, counter
 from sprigwork.session import staged
 from sprigwork.tables import load
 
-#: Hashed words of the classifier, rounds of the gradient, least residual (share of the size) that goes on.
-WIDTH, ROUNDS, ENOUGH = 1 << 14, 40, 1e-5
+#: Hashed words of the classifier, rounds of the gradient, rounds on whole repeats, least residual (share of the size).
+WIDTH, ROUNDS, POLISH, ENOUGH = 1 << 14, 40, 6, 1e-5
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -144,6 +144,43 @@ def fit_rates(groups: DataFrame, share: np.ndarray, size: float | None, rounds:
     return steps, size
 
 
+def rounded(batch: pa.RecordBatch, d: int, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates and whole repeats of a batch (doc_id, source, n_tokens, cap, member)."""
+    cap = batch.column(3).to_numpy(zero_copy_only=False)
+    rate = replay(_matrix(batch.column(4), d), cap, steps)
+    chance = np.array([zlib.crc32(str(x).encode()) / 2**32 for x in batch.column(0).to_pylist()])
+    whole = np.floor(rate)
+    return rate, np.minimum(whole + (chance < rate - whole), cap).astype(np.int32)
+
+
+def polish(members: DataFrame, steps: list[np.ndarray], goal: np.ndarray, rounds: int = POLISH) -> list[np.ndarray]:
+    """More steps, on what the whole repeats give instead of the rates; the best state seen is kept."""
+    d = len(goal)
+
+    def totals(at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got, all_once = np.zeros(d), np.zeros(d)
+            for batch in batches:
+                tokens, member = batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(4), d)
+                got += (tokens * rounded(batch, d, at)[1]) @ member
+                all_once += tokens @ member
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.array(got), pa.array(all_once)], names=["d", "y", "once"])
+
+        got, all_once = np.zeros(d), np.ones(d)
+        for r in members.mapInArrow(apply, "d bigint, y double, once double").groupBy("d").agg(F.sum("y").alias("y"), F.sum("once").alias("once")).collect():
+            got[r["d"]], all_once[r["d"]] = r["y"], max(r["once"], 1.0)
+        return got, all_once
+
+    best, least, now = steps, np.inf, list(steps)
+    for _ in range(rounds):
+        got, scale = totals(now)
+        off = got - goal
+        if (miss := float(np.abs(off).sum())) < least:
+            best, least = list(now), miss
+        now = [*now, off / scale]
+    return best
+
+
 def mix(documents: DataFrame, mix_targets: DataFrame, size: float | None = None, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The chosen documents (doc_id, source, n_tokens, repeats) and the shares by source."""
     spark = documents.sparkSession
@@ -153,12 +190,11 @@ def mix(documents: DataFrame, mix_targets: DataFrame, size: float | None = None,
     members = staged(memberships(documents, targets, vocabulary), "members")
     groups = staged(members.groupBy("member", "cap").agg(F.sum("n_tokens").alias("tokens")), "groups")
     steps, size = fit_rates(groups, share, size)
+    steps = polish(members, steps, share * size)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate = replay(_matrix(batch.column(4), d), batch.column(3).to_numpy(zero_copy_only=False), steps)
-            chance = np.array([zlib.crc32(str(x).encode()) / 2**32 for x in batch.column(0).to_pylist()])
-            repeats = np.minimum(np.floor(rate) + (chance < rate - np.floor(rate)), batch.column(3).to_numpy(zero_copy_only=False)).astype(np.int32)
+            rate, repeats = rounded(batch, d, steps)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.round(rate, 6)), pa.array(repeats), batch.column(4)], names=["doc_id", "source", "n_tokens", "rate", "repeats", "member"])
 
     rated = members.mapInArrow(apply, "doc_id bigint, source string, n_tokens bigint, rate double, repeats int, member array<double>").where("repeats > 0 and n_tokens > 0")
