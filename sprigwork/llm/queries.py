@@ -65,6 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLE: dict[str, str] = {
     "p6_found": """
 SELECT fulltext_key,
-  CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[ \\t\\r\\n]+'), x -> length(x))) > max_chars THEN 'hard' ELSE 'soft' END AS cut
+  CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: length(x))) > max_chars THEN 'hard' ELSE 'soft' END AS cut
 FROM fulltext JOIN chunk_limits USING (source) WHERE length(text) > max_chars""",
 }
