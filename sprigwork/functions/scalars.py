@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # ---- fixed values: code lists, short code -> long name
 DIRECTIONS = {"up": "increased", "dn": "decreased", "nc": "unchanged"}
-NODE_TYPES = {"G": "GENE", "H": "HORMONE", "M": "METABOLITE", "E": "ENVIRONMENT", "PC": "PROTEIN_COMPLEX", "R": "REGULATOR", "P": "PHENOTYPE", "PR": "PROCESS"}
-RECONCILIATIONS = {"em": "exact_match", "ci": "case_insensitive", "fm": "family_member", "cc": "complex_component", "cm": "composite_mechanism", "ta": "treatment_analog", "mm": "multi_mutant", "nin": "not_in_network", "ctl": "control"}
-PERTURBATIONS = {"ko": "knockout", "kd": "knockdown", "oe": "overexpression", "dko": "double_knockout", "tko": "triple_knockout", "gof": "gain_of_function", "lof": "loss_of_function", "rsc": "rescue", "trt": "treatment", "dm": "double_mutant", "cmb": "combination", "ep": "epistasis"}
+NODE_TYPES = {"G": "GENE", "H": "HORMONE", "M": "METABOLITE", "E": "ENVIRONMENT", "PC": "PROTEIN_COMPLEX", "R": "REGULATORY_RNA", "P": "PHENOTYPE", "PR": "PROCESS"}
+RECONCILIATIONS = {"em": "exact_match", "ci": "case_insensitive", "fm": "family_member", "cc": "composite_collapse", "cm": "composite_member", "ta": "treatment_analog", "mm": "mechanism_mapping", "nin": "not_in_network", "ctl": "control"}
+PERTURBATIONS = {"ko": "knockout", "kd": "knockdown", "oe": "overexpression", "dko": "double_knockout", "tko": "triple_knockout", "gof": "gain_of_function", "lof": "loss_of_function", "rsc": "rescue", "trt": "treatment", "dm": "double_mutant", "cmb": "combined", "ep": "epistasis"}
 MODES = {"KO": 0.0, "KD": 0.5, "OE": 2.0}
 KNOCK_OUT = ("ko", "knockout", "loss_of_function", "lof", "null")
 KNOCK_DOWN = ("kd", "knockdown", "rnai", "heterozygous", "hypomorph")
@@ -191,7 +191,7 @@ def kappa_band(kappa: Column) -> Column:
 
 def type_colour(kind: Column) -> Column:
     """Colour of a node by its type (fixed values)."""
-    colours = {"GENE": "#4C78A8", "HORMONE": "#F58518", "METABOLITE": "#54A24B", "ENVIRONMENT": "#EECA3B", "PROTEIN_COMPLEX": "#B279A2", "REGULATOR": "#9D755D", "PHENOTYPE": "#E45756", "PROCESS": "#72B7B2"}
+    colours = {"GENE": "#4C78A8", "HORMONE": "#F58518", "METABOLITE": "#54A24B", "ENVIRONMENT": "#EECA3B", "PROTEIN_COMPLEX": "#B279A2", "REGULATORY_RNA": "#9D755D", "PHENOTYPE": "#E45756", "PROCESS": "#72B7B2"}
     out = None
     for name, colour in colours.items():
         out = F.when(kind == name, colour) if out is None else out.when(kind == name, colour)
