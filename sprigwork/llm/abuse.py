@@ -102,9 +102,9 @@ _ODD = re.compile(r"[^\x00-\x7f]|[@$*|€+]|[a-z]\d|\d[a-z]|([a-z])\1\1|(?<![a-z
 
 _SQUEEZED = {_DOUBLE.sub(r"\1", w): w for w in sorted(INSULTS | HARSH)}
 _OPEN = INSULTS | HARSH | frozenset("naked nude nudes horny porn sex fuck hate regret choke beaten vermin thieves stupid nackt baiser".split())
-_BY_ENDS: dict[tuple[str, str, int], str] = {}
+_BY_ENDS: dict[tuple[str, str, int], list[str]] = {}
 for _w in sorted(_OPEN):
-    _BY_ENDS.setdefault((_w[0], _w[-1], len(_w)), _w)
+    _BY_ENDS.setdefault((_w[0], _w[-1], len(_w)), []).append(_w)
 
 
 def passages(text: str | None) -> list[str]:
@@ -116,8 +116,8 @@ def _plain_word(word: str) -> list[str]:
     """A word in plain spelling, with a second reading where one is possible."""
     if "*" in word.strip("*"):
         core = word.strip("*!+|")
-        hit = _BY_ENDS.get((core[0], core[-1], len(core)))
-        return [hit or core.replace("*", ""), "starredword"]
+        hits = _BY_ENDS.get((core[0], core[-1], len(core)), []) if core else []
+        return [*(hits or [core.replace("*", "")]), "starredword"]
     word = word.strip("!|+*'").replace("'", " ")
     if any(c in "@43015780$!|€+" for c in word) and any(c.isalpha() or c in "@$" for c in word) and not _GENE.match(word):
         out = [word.translate(LEET)]

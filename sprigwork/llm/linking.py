@@ -81,15 +81,18 @@ def strippings(raw: str) -> list[tuple[int, str]]:
     return [(level, text) for text, level in seen.items()]
 
 
-def readings(raw: str) -> list[tuple[int, list[str]]]:
-    """(level, tokens) of every reading: split at blanks and marks, and glued into one token."""
-    out: dict[tuple[str, ...], int] = {}
-    for level, text in strippings(raw[:2000]):
+def readings(raw: str) -> list[tuple[int, list[str], bool]]:
+    """(level, tokens, as written) of every reading: split at blanks and marks, and glued into one token.
+
+    Several words that were glued here may only be met without edits: their short words are not open to repair.
+    """
+    out: dict[tuple[str, ...], tuple[int, bool]] = {}
+    for level, text in strippings(raw):
         split = tokens(text)
         if split:
             for form in (tuple(split), ("".join(split),)):
-                out[form] = min(level, out.get(form, level))
-    return [(level, list(form)) for form, level in out.items()]
+                out[form] = min((level, len(form) < len(split)), out.get(form, (level, True)))
+    return [(level, list(form), exact) for form, (level, exact) in out.items()]
 
 
 def repairable(token: str) -> bool:
@@ -204,8 +207,8 @@ def repairs(distinct_tokens: DataFrame, forms: DataFrame, broadcast_rows: int =
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [(raw, k, level, toks) for raw in batch.column(0).to_pylist() for k, (level, toks) in enumerate(readings(raw))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.list_(pa.string()))], names=["raw", "reading", "level", "toks"])
+        out = [(raw, k, level, toks, exact) for raw in batch.column(0).to_pylist() for k, (level, toks, exact) in enumerate(readings(raw))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.list_(pa.string())), pa.array([r[4] for r in out], pa.bool_())], names=["raw", "reading", "level", "toks", "exact"])
 
 
 def soft_tfidf(repaired: list[dict[str, int]], toks: list[str], idf: list[float]) -> tuple[float, int] | None:
@@ -232,11 +235,11 @@ def soft_tfidf(repaired: list[dict[str, int]], toks: list[str], idf: list[float]
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for raw, level, n, repaired, kb_id, node, toks, idf in zip(*(c.to_pylist() for c in batch.columns)):
+        for raw, level, exact, n, repaired, kb_id, node, toks, idf in zip(*(c.to_pylist() for c in batch.columns)):
             by_token: dict[int, dict[str, int]] = {}
             for x in repaired:
                 by_token.setdefault(x["i"], {})[x["vocab"]] = x["d"]
-            if len(by_token) == n and (hit := soft_tfidf([by_token[i] for i in sorted(by_token)], toks, idf)):
+            if len(by_token) == n and (hit := soft_tfidf([by_token[i] for i in sorted(by_token)], toks, idf)) and not (exact and hit[1]):
                 out.append((raw, hit[1], level, -hit[0], kb_id, node))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.float64()), pa.array([r[4] for r in out], pa.int64()), pa.array([r[5] for r in out], pa.string())], names=["raw", "edits", "level", "below", "kb_id", "kb_node"])
 
@@ -245,14 +248,14 @@ def link(raws: DataFrame, kb: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -
     """raws(raw: distinct) -> (raw, kb_node) for the values that mean an entry."""
     forms = staged(reference_forms(kb), "forms")
     entries = staged(weighted_forms(forms), "entries")
-    read = staged(raws.mapInArrow(_read, "raw string, reading int, level int, toks array<string>"), "readings")
+    read = staged(raws.mapInArrow(_read, "raw string, reading int, level int, toks array<string>, exact boolean"), "readings")
     words = read.select(F.explode("toks").alias("token")).distinct()
     repaired = staged(repairs(words, forms, broadcast_rows), "repairs")
-    each = read.select("raw", "reading", "level", F.size("toks").alias("n"), F.posexplode("toks").alias("i", "token")).join(repaired, "token")
-    whole = each.groupBy("raw", "reading", "level", "n").agg(F.collect_list(F.struct("i", "vocab", "d")).alias("repaired"), F.countDistinct("i").alias("covered")).where("covered = n")
+    each = read.select("raw", "reading", "level", "exact", F.size("toks").alias("n"), F.posexplode("toks").alias("i", "token")).join(repaired, "token")
+    whole = each.groupBy("raw", "reading", "level", "exact", "n").agg(F.collect_list(F.struct("i", "vocab", "d")).alias("repaired"), F.countDistinct("i").alias("covered")).where("covered = n")
     # An entry is met over its rarest token only, which a complete reading must hold.
     met = whole.withColumn("rare", F.explode(F.array_distinct("repaired.vocab"))).join(entries, "rare").where(F.size(entries.toks) == F.col("n"))
-    ranked = met.select("raw", "level", "n", "repaired", "kb_id", "kb_node", entries.toks, "idf").mapInArrow(_rank, "raw string, edits int, level int, below double, kb_id bigint, kb_node string")
+    ranked = met.select("raw", "level", "exact", "n", "repaired", "kb_id", "kb_node", entries.toks, "idf").mapInArrow(_rank, "raw string, edits int, level int, below double, kb_id bigint, kb_node string")
     return ranked.groupBy("raw").agg(F.min(F.struct("edits", "level", "below", "kb_id", "kb_node")).alias("best")).select("raw", "best.kb_node")
 
 
