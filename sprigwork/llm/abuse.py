@@ -98,7 +98,8 @@ _GENE = re.compile(r"^[a-z]{1,6}\d{1,4}$|^\d+$|^\d+[a-z]{1,3}$")
 _SPACED = re.compile(r"(?<![a-z0-9])(?:[a-z0-9@$][ .\-_*·]){2,}[a-z0-9@$](?![a-z0-9])")
 _STRETCH = re.compile(r"([a-z])\1{2,}")
 _DOUBLE = re.compile(r"([a-z])\1+")
-_ODD = re.compile(r"[^\x00-\x7f]|[@$*|€+]|[a-z]\d|\d[a-z]|([a-z])\1\1|(?<![a-z])[a-z][ .\-_*][a-z0-9][ .\-_*][a-z0-9@$](?![a-z])")
+#: What a passage may hold that needs undoing; a name with digits at its end is no disguise.
+_ODD = re.compile(r"[^\x00-\x7f]|[@$*|€+]|[a-z]\d+[a-z]|(?<![a-z0-9.])\d+[a-z]|([a-z])\1\1|(?<![a-z])[a-z][ .\-_*][a-z0-9][ .\-_*][a-z0-9@$](?![a-z])")
 
 _SQUEEZED = {_DOUBLE.sub(r"\1", w): w for w in sorted(INSULTS | HARSH)}
 _OPEN = INSULTS | HARSH | frozenset("naked nude nudes horny porn sex fuck hate regret choke beaten vermin thieves stupid nackt baiser".split())
@@ -235,11 +236,28 @@ class LabelModel:
 # ---------------------------------------------------------------- linear classifier
 
 
+def masked(text: str) -> str:
+    """A plain text with every word that holds a digit as one sign: names and numbers do not matter here."""
+    return text if text.isalpha() else " ".join("#" if not w.isalpha() else w for w in text.split())
+
+
+_HASHES: dict[str, int] = {}
+
+
+def _hash(word: str) -> int:
+    h = _HASHES.get(word)
+    if h is None:
+        if len(_HASHES) > 200_000:
+            _HASHES.clear()
+        h = _HASHES[word] = zlib.crc32(word.encode())
+    return h
+
+
 def features(text: str, vote: tuple[int, ...]) -> list[int]:
-    """Hashed words and word pairs of a plain text (names with digits as one), and its votes."""
-    words = ["#" if any(c.isdigit() for c in w) else w for w in text.split()]
-    out = {zlib.crc32(w.encode()) % WIDTH for w in words}
-    out.update(zlib.crc32(f"{a} {b}".encode()) % WIDTH for a, b in zip(words, words[1:]))
+    """Hashed words and word pairs of a masked text, and its votes."""
+    hashes = [_hash(w) for w in text.split()]
+    out = {h % WIDTH for h in hashes}
+    out.update((a * 1_000_003 ^ b) % WIDTH for a, b in zip(hashes, hashes[1:]))
     out.update(WIDTH + 2 * j + (v > 0) for j, v in enumerate(vote) if v)
     return sorted(out)
 
@@ -268,8 +286,8 @@ def train(rows: list[list[int]], labels: np.ndarray, epochs: int = EPOCHS) -> np
     return weights
 
 
-def score(weights: np.ndarray, at: list[int]) -> float:
-    z = weights[at].sum() / math.sqrt(len(at) or 1) + weights[-1]
+def score(weights: list[float], at: list[int]) -> float:
+    z = sum([weights[i] for i in at]) / math.sqrt(len(at) or 1) + weights[-1]
     return 1 / (1 + math.exp(-max(min(z, 30.0), -30.0)))
 
 
@@ -280,24 +298,22 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pattern counts of all passages of a task, and its bounded part of the training sample (lowest hashes)."""
     counts: dict[tuple[int, ...], int] = {}
     kept: tuple[dict[int, str], dict[int, str]] = ({}, {})
-    memo: dict[str, tuple[str, tuple[int, ...]]] = {}
+    seen: dict[str, tuple[int, ...]] = {}
     for batch in batches:
         for text in batch.column(0).to_pylist():
             for passage in passages(text):
-                known = memo.get(passage)
-                if known is None:
-                    p = plain(passage)
-                    known = (p, votes(p))
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    memo[passage] = known
-                p, v = known
+                p = masked(plain(passage))
+                v = seen.get(p)
+                if v is None:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    v = seen[p] = votes(p)
+                    side, most = (0, TRAIN_VOTED) if any(x > 0 for x in v) or any(v[:-1]) else (1, TRAIN_PLAIN)
+                    kept[side][zlib.crc32(p.encode())] = p
+                    if len(kept[side]) > 2 * most:
+                        for h in sorted(kept[side])[most:]:
+                            del kept[side][h]
                 counts[v] = counts.get(v, 0) + 1
-                side, most = (0, TRAIN_VOTED) if any(x > 0 for x in v) or any(v[:-1]) else (1, TRAIN_PLAIN)
-                kept[side][zlib.crc32(p.encode())] = p
-                if len(kept[side]) > 2 * most:
-                    for h in sorted(kept[side])[most:]:
-                        del kept[side][h]
     rows = [("count", "".join("-0+"[x + 1] for x in v), n) for v, n in counts.items()]
     rows += [(("voted", "plain")[side], p, h) for side, most in ((0, TRAIN_VOTED), (1, TRAIN_PLAIN)) for h, p in sorted(kept[side].items())[:most]]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["what", "text", "n"])
@@ -323,23 +339,22 @@ def fit(documents: DataFrame) -> tuple[LabelModel, np.ndarray]:
 
 def scored(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, source, score, n_passages, n_abusive) of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    shared = documents.sparkSession.sparkContext.broadcast([round(x, 6) for x in weights.tolist()])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        memo: dict[str, float] = {}
+        seen: dict[str, float] = {}
         for batch in batches:
             worst, total, bad = [], [], []
             for text in batch.column(2).to_pylist():
                 each = []
                 for passage in passages(text):
-                    s = memo.get(passage)
+                    p = masked(plain(passage))
+                    s = seen.get(p)
                     if s is None:
-                        p = plain(passage)
-                        s = score(w, features(p, votes(p)))
-                        if len(memo) > 100_000:
-                            memo.clear()
-                        memo[passage] = s
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        s = seen[p] = score(w, features(p, votes(p)))
                     each.append(s)
                 worst.append(round(max(each, default=0.0), 6))
                 total.append(len(each))
