@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprigwork.session import new_path
+from sprigwork.session import new_path, spread
 
 #: The spellings of keys, long and short.
 METHOD_MARKS = ("failures", "ci_95", "accuracy", "kappa", "mcc")
@@ -180,7 +180,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def emit_tagged(records: DataFrame) -> DataFrame:
     """(tag, pk, parent_pk, payload) of all child tables, from one pass over records(record_id, body)."""
-    return records.select(F.col("record_id").cast("bigint").alias("record_id"), F.col("body").cast("string").alias("body")).mapInArrow(_emit, TAGGED)
+    return spread(records.select(F.col("record_id").cast("bigint").alias("record_id"), F.col("body").cast("string").alias("body"))).mapInArrow(_emit, TAGGED)
 
 
 def write_tables(records: DataFrame, path: str | None = None) -> str:

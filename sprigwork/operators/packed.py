@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprigwork.session import staged
+from sprigwork.session import spread, staged
 from sprigwork.tables import load
 
 #: Delimiters that always cut, quote pairs, bracket pairs, connector words.
@@ -249,7 +249,7 @@ def _over_lattices(decode: bool, total: float) -> Callable[[Iterator[pa.RecordBa
 def unpack(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """cells(tab, field, row_key, txt, numbered) -> (tab, field, row_key, pos, val), one row a value."""
     texts = cells.where(F.length(F.trim("txt")) > 0).groupBy("txt", "numbered").agg(F.count("*").alias("n"))
-    parsed = staged(texts.mapInArrow(_parse, _PARSED_DDL), "packed")
+    parsed = staged(spread(texts, "txt").mapInArrow(_parse, _PARSED_DDL), "packed")
     sure = parsed.select("n", F.explode("vals").alias("value")).groupBy("value").agg(F.sum("n").alias("base"))
     total = float(parsed.agg(F.sum(F.col("n") * F.size("vals"))).first()[0] or 0)
     candidates = parsed.where(F.size("open") > 0).select("txt", "numbered", "n", F.explode(F.array_distinct("open")).alias("value"))
@@ -258,7 +258,7 @@ def unpack(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def with_counts(counts: DataFrame) -> DataFrame:
         joined = lattice.join(counts, "value", "left").select("txt", "numbered", "n", F.struct("value", (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("count")).alias("c"))
-        return joined.groupBy("txt", "numbered", "n").agg(F.collect_list("c").alias("known"))
+        return spread(joined, "txt").groupBy("txt", "numbered", "n").agg(F.collect_list("c").alias("known"))
 
     counts = lattice.select("value", F.lit(0.0).alias("more")).distinct()
     for _ in range(rounds):

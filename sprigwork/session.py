@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -45,6 +46,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sprigwork/{name}-{uuid.uuid4().hex}"
 
 
+def partitions_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many tasks as the cluster runs, for work that costs far more than its bytes say.
+
+    With keys: by these, in the session's number of shuffle partitions, which adaptive execution would else merge by size.
+    Without: only if the scan has fewer partitions than the cluster has slots (a few small files).
+    """
+    spark = df.sparkSession
+    if keys:
+        return df.repartition(partitions_of(spark), *keys)
+    slots = spark.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().nodeName().startswith("Adaptive"):
+        return df  # it shuffles anyhow; asking for its partitions would run it
+    return df.repartition(slots) if df._jdf.rdd().getNumPartitions() < slots else df
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if its counted rows are few, else as it is (the join then shuffles)."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives the loss of executors."""
     spark = df.sparkSession
