@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sprigwork.session import spread
 from sprigwork.tables import load
 
-#: Passages that train the classifier: with votes, and without.
+#: Passages that train the classifier, at most: with votes, and without.
 TRAIN_VOTED, TRAIN_PLAIN = 20_000, 30_000
 #: Hashed features, rounds of training, least score of a found document.
 WIDTH, EPOCHS, THRESHOLD = 1 << 16, 6, 0.5
@@ -266,10 +267,8 @@ SIZE = WIDTH + 2 * len(VOTERS) + 1
 
 
 def train(rows: list[list[int]], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Logistic regression by Adagrad in a fixed order; the last weight is the bias. Both classes weigh the same."""
+    """Logistic regression on soft labels by Adagrad in a fixed order; the last weight is the bias."""
     weights, squares = np.zeros(SIZE), np.full(SIZE, 1e-8)
-    positive = max(float(labels.sum()), 1.0)
-    balance = min(max((len(labels) - positive) / positive, 1.0), 20.0)
     order = np.random.default_rng(7).permutation(len(rows))
     for _ in range(epochs):
         for i in order:
@@ -277,7 +276,7 @@ def train(rows: list[list[int]], labels: np.ndarray, epochs: int = EPOCHS) -> np
             n = math.sqrt(len(at) or 1)
             z = weights[at].sum() / n + weights[-1]
             p = 1 / (1 + math.exp(-max(min(z, 30.0), -30.0)))
-            g = (p - labels[i]) * (balance if labels[i] > 0.5 else 1.0)
+            g = p - labels[i]
             step = g / n
             squares[at] += step * step
             weights[at] -= 0.3 * step / np.sqrt(squares[at]) + 1e-6 * weights[at]
@@ -295,37 +294,52 @@ def score(weights: list[float], at: list[int]) -> float:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pattern counts of all passages of a task, and its bounded part of the training sample (lowest hashes)."""
+    """Pattern counts of all passages of a task, and its bounded part of the training sample.
+
+    A passage's place in the sample is a hash of its text divided by how often the task met it: frequent passages come
+    first, of rare ones a fixed random part.
+    """
     counts: dict[tuple[int, ...], int] = {}
-    kept: tuple[dict[int, str], dict[int, str]] = ({}, {})
-    seen: dict[str, tuple[int, ...]] = {}
+    kept: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    limits = (TRAIN_VOTED, TRAIN_PLAIN)
+    seen: dict[str, list] = {}
+
+    def drain() -> None:
+        for p, (v, n) in seen.items():
+            counts[v] = counts.get(v, 0) + n
+            side = 0 if any(v[:-1]) else 1
+            place = zlib.crc32(p.encode()) // n
+            kept[side][p] = min(place, kept[side].get(p, place))
+        seen.clear()
+        for side, most in enumerate(limits):
+            if len(kept[side]) > most:
+                for p in sorted(kept[side], key=lambda p: (kept[side][p], p))[most:]:
+                    del kept[side][p]
+
     for batch in batches:
         for text in batch.column(0).to_pylist():
             for passage in passages(text):
                 p = masked(plain(passage))
-                v = seen.get(p)
-                if v is None:
+                own = seen.get(p)
+                if own is None:
                     if len(seen) > 100_000:
-                        seen.clear()
-                    v = seen[p] = votes(p)
-                    side, most = (0, TRAIN_VOTED) if any(x > 0 for x in v) or any(v[:-1]) else (1, TRAIN_PLAIN)
-                    kept[side][zlib.crc32(p.encode())] = p
-                    if len(kept[side]) > 2 * most:
-                        for h in sorted(kept[side])[most:]:
-                            del kept[side][h]
-                counts[v] = counts.get(v, 0) + 1
+                        drain()
+                    seen[p] = [votes(p), 1]
+                else:
+                    own[1] += 1
+    drain()
     rows = [("count", "".join("-0+"[x + 1] for x in v), n) for v, n in counts.items()]
-    rows += [(("voted", "plain")[side], p, h) for side, most in ((0, TRAIN_VOTED), (1, TRAIN_PLAIN)) for h, p in sorted(kept[side].items())[:most]]
+    rows += [(what, p, place) for what, side in (("voted", 0), ("plain", 1)) for p, place in kept[side].items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["what", "text", "n"])
 
 
 def fit(documents: DataFrame) -> tuple[LabelModel, np.ndarray]:
     """The label model over all passages, and the classifier's weights from the bounded sample."""
-    tally = documents.select(F.col("text").cast("string")).mapInArrow(_tally, "what string, text string, n bigint").persist()
+    tally = spread(documents.select(F.col("text").cast("string"))).mapInArrow(_tally, "what string, text string, n bigint").persist()
     counted = tally.where("what = 'count'").groupBy("text").agg(F.sum("n").alias("n")).orderBy("text").collect()
     sample = []
     for what, most in (("voted", TRAIN_VOTED), ("plain", TRAIN_PLAIN)):
-        sample += [r["text"] for r in tally.where(F.col("what") == what).select("n", "text").distinct().orderBy("n", "text").limit(most).collect()]
+        sample += [r["text"] for r in tally.where(F.col("what") == what).groupBy("text").agg(F.min("n").alias("n")).orderBy("n", "text").limit(most).collect()]
     tally.unpersist()
     model = LabelModel(len(VOTERS))
     if not counted:
@@ -361,7 +375,7 @@ def scored(documents: DataFrame, weights: np.ndarray) -> DataFrame:
                 bad.append(sum(s >= THRESHOLD for s in each))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(worst, pa.float64()), pa.array(total, pa.int32()), pa.array(bad, pa.int32())], names=["doc_id", "source", "score", "n_passages", "n_abusive"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "source", F.col("text").cast("string")).mapInArrow(apply, "doc_id bigint, source string, score double, n_passages int, n_abusive int")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "source", F.col("text").cast("string"))).mapInArrow(apply, "doc_id bigint, source string, score double, n_passages int, n_abusive int")
 
 
 def scores(spark, sf_dir: str) -> DataFrame:

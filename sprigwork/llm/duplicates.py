@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sprigwork.functions.doi import bare_doi_py, is_blank
-from sprigwork.session import staged
+from sprigwork.session import spread, staged
 from sprigwork.tables import load
 
 #: Table -> key, compared fields (the most selective first, for the radix), fields that are DOIs, the required field.
@@ -175,7 +175,7 @@ def combined(rows: DataFrame, tab: str, key: str, fields: tuple[str, ...], dois:
     at = frozenset(i for i, f in enumerate(fields) if f in dois)
     parts = frozenset(i for i, f in enumerate(fields) if f not in dois)
     picked = rows.where(F.col(key).isNotNull() & ~is_blank(F.col(required).cast("string"))).select(F.col(key).cast("bigint"), *[F.col(f).cast("string") for f in fields])
-    return picked.mapInArrow(_combine(tab, at, parts), _COMBINED_DDL)
+    return spread(picked).mapInArrow(_combine(tab, at, parts), _COMBINED_DDL)
 
 
 def _common_prefix(a: bytes, b: bytes) -> int:

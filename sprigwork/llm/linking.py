@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sprigwork.functions.doi import is_blank
-from sprigwork.session import staged
+from sprigwork.session import spread, staged
 from sprigwork.tables import load
 
 UNMATCHED = "UNMATCHED"
@@ -198,7 +198,7 @@ def repairs(distinct_tokens: DataFrame, forms: DataFrame, broadcast_rows: int =
     variant = may.mapInArrow(_with_variants, "vocab string, variant string")
     variant = F.broadcast(variant) if rows <= broadcast_rows else variant
     near = distinct_tokens.join(exact.select("token"), "token", "left_anti").where((F.length("token") <= longest + EDITS) & F.col("token").rlike(rf"^\p{{L}}{{{REPAIR_FROM - EDITS},}}$"))
-    fuzzy = near.mapInArrow(_with_variants, "token string, variant string").join(variant, "variant").select("token", "vocab").distinct().mapInArrow(_verify, "token string, vocab string, d int")
+    fuzzy = spread(near, "token").mapInArrow(_with_variants, "token string, variant string").join(variant, "variant").select("token", "vocab").transform(lambda x: spread(x, "token", "vocab")).distinct().mapInArrow(_verify, "token string, vocab string, d int")
     return exact.unionByName(fuzzy)
 
 
@@ -248,14 +248,14 @@ def link(raws: DataFrame, kb: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -
     """raws(raw: distinct) -> (raw, kb_node) for the values that mean an entry."""
     forms = staged(reference_forms(kb), "forms")
     entries = staged(weighted_forms(forms), "entries")
-    read = staged(raws.mapInArrow(_read, "raw string, reading int, level int, toks array<string>, exact boolean"), "readings")
+    read = staged(spread(raws, "raw").mapInArrow(_read, "raw string, reading int, level int, toks array<string>, exact boolean"), "readings")
     words = read.select(F.explode("toks").alias("token")).distinct()
     repaired = staged(repairs(words, forms, broadcast_rows), "repairs")
     each = read.select("raw", "reading", "level", "exact", F.size("toks").alias("n"), F.posexplode("toks").alias("i", "token")).join(repaired, "token")
     whole = each.groupBy("raw", "reading", "level", "exact", "n").agg(F.collect_list(F.struct("i", "vocab", "d")).alias("repaired"), F.countDistinct("i").alias("covered")).where("covered = n")
     # An entry is met over its rarest token only, which a complete reading must hold.
     met = whole.withColumn("rare", F.explode(F.array_distinct("repaired.vocab"))).join(entries, "rare").where(F.size(entries.toks) == F.col("n"))
-    ranked = met.select("raw", "level", "exact", "n", "repaired", "kb_id", "kb_node", entries.toks, "idf").mapInArrow(_rank, "raw string, edits int, level int, below double, kb_id bigint, kb_node string")
+    ranked = spread(met.select("raw", "level", "exact", "n", "repaired", "kb_id", "kb_node", entries.toks, "idf"), "raw").mapInArrow(_rank, "raw string, edits int, level int, below double, kb_id bigint, kb_node string")
     return ranked.groupBy("raw").agg(F.min(F.struct("edits", "level", "below", "kb_id", "kb_node")).alias("best")).select("raw", "best.kb_node")
 
 

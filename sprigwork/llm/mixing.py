@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sprigwork.llm.tokens import VOCABULARY, counter
-from sprigwork.session import staged
+from sprigwork.session import spread, staged
 from sprigwork.tables import load
 
 #: Hashed words of the classifier, rounds of the gradient, rounds on whole repeats, least residual (share of the size).
@@ -52,7 +52,7 @@ def word_counts(documents: DataFrame, sources: list[str]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own.ravel()[at])], names=["at", "n"])
 
     out = np.zeros(len(sources) * WIDTH)
-    labelled = documents.where(F.col("source").isin(sources)).select("source", F.col("text").cast("string"))
+    labelled = spread(documents.where(F.col("source").isin(sources)).select("source", F.col("text").cast("string")))
     for r in labelled.mapInArrow(apply, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
         out[r["at"]] = r["n"]
     return out.reshape(len(sources), WIDTH)
@@ -95,7 +95,7 @@ def memberships(documents: DataFrame, targets: list[tuple[str, float, int]], voc
                     member.append([0.0] * len(index))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cap, pa.int32()), pa.array(member, pa.list_(pa.float64()))], names=["doc_id", "source", "n_tokens", "cap", "member"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "source", F.col("text").cast("string")).mapInArrow(apply, "doc_id bigint, source string, n_tokens bigint, cap int, member array<double>")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "source", F.col("text").cast("string"))).mapInArrow(apply, "doc_id bigint, source string, n_tokens bigint, cap int, member array<double>")
 
 
 def replay(member: np.ndarray, cap: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sprigwork.llm.tokens import VOCABULARY, count_tokens
-from sprigwork.session import staged
+from sprigwork.session import small, staged
 from sprigwork.tables import load
 
 
@@ -89,7 +89,7 @@ def slots(counts: dict[int, int], capacity: int) -> dict[int, tuple[np.ndarray,
 def pieces(tokens: DataFrame, profiles: DataFrame) -> DataFrame:
     """(profile, doc_id, piece, token_start, n_tokens): documents, cut where they alone exceed the capacity."""
     caps = profiles.where("capacity_tokens > 0").groupBy("profile").agg(F.max("capacity_tokens").cast("bigint").alias("cap"))
-    cut = tokens.join(F.broadcast(caps)).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.expr("(n_tokens - 1) div cap")))))
+    cut = tokens.join(small(caps)).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.expr("(n_tokens - 1) div cap")))))
     return cut.select("profile", "doc_id", F.col("piece").cast("int"), (F.col("piece") * F.col("cap")).alias("token_start"), F.least("cap", F.col("n_tokens") - F.col("piece") * F.col("cap")).alias("n_tokens"))
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sprigwork.session import small, spread
 from sprigwork.tables import load
 
 _HEADING = re.compile(r"^(#{1,6})[ \t]+\S.*$", re.M)
@@ -138,7 +139,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pieces(texts: DataFrame, limits: DataFrame) -> DataFrame:
     """texts(fulltext_key, source, text), limits(source, max_chars, overlap_chars: one row a source) -> pieces."""
     known = limits.groupBy("source").agg(F.max("max_chars").alias("max_chars"), F.max("overlap_chars").alias("overlap_chars"))
-    joined = texts.select(F.col("fulltext_key").cast("bigint").alias("fulltext_key"), "source", F.col("text").cast("string").alias("text")).join(known, "source", "left")
+    joined = spread(texts.select(F.col("fulltext_key").cast("bigint").alias("fulltext_key"), "source", F.col("text").cast("string").alias("text"))).join(small(known), "source", "left")
     return joined.select("fulltext_key", "text", F.col("max_chars").cast("int"), F.col("overlap_chars").cast("int")).mapInArrow(_split, _DDL)
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sprigwork.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary splits a text before its merges.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -33,4 +35,4 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(t) if t else 0 for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(apply, "doc_id bigint, n_tokens bigint")
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(apply, "doc_id bigint, n_tokens bigint")
