@@ -1,9 +1,10 @@
 """Several values packed in one field: lattice segmentation with value frequencies learned by expectation-maximisation.
 
 A cell is cut at its certain delimiters; quoted spans are atoms that nothing cuts. What is left between two certain cuts
-is a run of atoms. A run of several unquoted atoms ("A B", "A and B") is ambiguous: any stretch of neighbouring atoms may
-be one value, and connector words may be cuts. Its readings form a lattice. The frequencies of values are learned from
-the whole column: certain values are counted, lattices are counted by forward-backward expectation, and this is repeated.
+is a run of atoms. A run of several atoms ("A B", "A and B") is ambiguous: connector words may be cuts or names, and a
+stretch of neighbouring atoms may be one value, but only without a connector and only if that value occurs quoted
+elsewhere, as a name with blanks is quoted. Its readings form a lattice. The frequencies of values are learned from the
+whole column: certain values are counted, atoms in lattices by forward-backward expectation, and this is repeated.
 Viterbi then takes the likeliest path of each lattice. Cells are reduced to distinct texts before any lattice is built,
 and only the values that occur in lattices take part in the iterations, so their cost follows the ambiguous part alone.
 
@@ -38,8 +39,8 @@ _INSIDE = re.compile(rf"\s*[=:]\s*(?:{_NUMBER})\s*$", re.I)
 #: Longest stretch of unquoted atoms that may be one value, and the rounds of expectation-maximisation.
 MAX_ATOMS = 4
 ROUNDS = 3
-#: Weight of an unseen value of one atom, and the factor for every further atom.
-UNSEEN, MERGE = 0.5, 1e-4
+#: Weight of an unseen value of one atom; an unseen value of several atoms is none.
+UNSEEN = 0.5
 
 
 def _quoted(text: str, i: int) -> tuple[str, int] | None:
@@ -156,7 +157,7 @@ def arcs(run: list[tuple[str, bool]]) -> list[tuple[int, int, str | None]]:
         if not quoted and (atom.lower() in CONNECTORS or not _has_letter(atom)):
             out.append((i, i + 1, None))
         for j in range(i + 2, min(len(run), i + MAX_ATOMS) + 1):
-            if any(q for _, q in run[i:j]):
+            if any(q or a.lower() in CONNECTORS for a, q in run[i:j]):
                 break
             out.append((i, j, " ".join(a for a, _ in run[i:j])))
     return out
@@ -166,8 +167,10 @@ def weight(value: str | None, span: int, count: float, total: float) -> float:
     """Probability of an arc, from the learned count of its value; a passed-over connector costs a little."""
     if value is None:
         return 0.1
+    if span > 1:
+        return count / (total + 1.0)
     unseen = UNSEEN if value.lower() not in CONNECTORS and _has_letter(value) else 1e-9
-    return (count + unseen * MERGE ** (span - 1)) / (total + 1.0)
+    return (count + unseen) / (total + 1.0)
 
 
 def expected(run: list[tuple[str, bool]], counts: dict[str, float], total: float) -> dict[str, float]:
@@ -189,10 +192,11 @@ def expected(run: list[tuple[str, bool]], counts: dict[str, float], total: float
 def viterbi(run: list[tuple[str, bool]], counts: dict[str, float], total: float) -> list[str]:
     """The values on the likeliest path of a run; of equal paths the one of more values."""
     n = len(run)
+    scored = [(i, j, v, weight(v, j - i, counts.get(v or "", 0.0), total)) for i, j, v in arcs(run)]
     best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * n
     back: list[tuple[int, str | None]] = [(0, None)] * (n + 1)
-    for i, j, v in sorted(arcs(run), key=lambda a: a[0]):
-        score = (best[i][0] + math.log(weight(v, j - i, counts.get(v or "", 0.0), total)), best[i][1] + (v is not None))
+    for i, j, v, w in sorted((a for a in scored if a[3] > 0), key=lambda a: a[0]):
+        score = (best[i][0] + math.log(w), best[i][1] + (v is not None))
         if score > best[j]:
             best[j], back[j] = score, (i, v)
     path, at = [], n
@@ -237,7 +241,9 @@ def _over_lattices(decode: bool, total: float) -> Callable[[Iterator[pa.RecordBa
                 else:
                     for run in parsed:
                         if certain(run) is None:
-                            out += [(v, e * n) for v, e in expected(run, counts, total).items()]
+                            # A value of several atoms is counted from its certain occurrences only.
+                            atoms = {atom for atom, _ in run}
+                            out += [(v, e * n) for v, e in expected(run, counts, total).items() if v in atoms]
             if decode:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.bool_()), pa.array([r[2] for r in out], pa.list_(pa.string()))], names=["txt", "numbered", "vals"])
             else:

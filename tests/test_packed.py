@@ -56,3 +56,11 @@ def test_frame(spark):
     got = sorted(tuple(r) for r in P.unpack(cells).collect())
     assert got == [("t", "f", 1, 0, "A"), ("t", "f", 1, 1, "B"), ("t", "f", 2, 0, "A"), ("t", "f", 2, 1, "B"), ("t", "g", 5, 0, "A"), ("t", "g", 5, 1, "B"), ("t", "g", 5, 2, "x y")]
     assert P.unpack(cells.limit(0)).count() == 0
+
+
+def test_names_of_middling_frequency_split_at_connectors_in_a_large_column(spark):
+    rows = [(f"N{i % 500};M{i % 499}",) for i in range(25_000)] + [(f"N{i} and M{i} and N{i + 1}",) for i in range(300)] + [("'N1 and M1'",)] * 40 + [("'N2 x'; N2",)] * 40 + [("N2 x",)]
+    cells = spark.createDataFrame([("t", "f", i, x, False) for i, (x,) in enumerate(rows)], "tab string, field string, row_key long, txt string, numbered boolean")
+    got = P.unpack(cells).where("row_key >= 25000").orderBy("row_key", "pos").collect()
+    want = [v for i in range(300) for v in (f"N{i}", f"M{i}", f"N{i + 1}")] + ["N1 and M1"] * 40 + ["N2 x", "N2"] * 40 + ["N2 x"]
+    assert [r.val for r in got] == want
