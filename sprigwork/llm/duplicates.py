@@ -1,7 +1,7 @@
 """Duplicates hidden by formatting: recursive radix partitioning on canonical bytes, counted in per-bucket burst tries.
 
 Every record becomes canonical bytes: its compared fields folded (NFKC, letter case, white space, punctuation gone), DOIs
-bare, the parts of structured texts in sorted order. Copies within a map task are combined at once, so a text that a third
+bare, numbers with their minus and decimal point, the parts of structured texts in sorted order. Copies within a map task are combined at once, so a text that a third
 of all rows share leaves each task as one entry. Buckets are the leading bytes; a bucket over the limit is split by the
 next bytes after the prefix all its entries share, again and again until each fits or holds one text only. A bucket's
 entries then go through a burst trie whose terminal counters hold the number of copies and the smallest key. Records are
@@ -17,6 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,12 +33,15 @@ SPECS = {
     "fixes_applied": ("fix_key", ("source", "target", "network", "iteration", "action", "sign", "evidence_doi", "description"), ("evidence_doi",), "evidence_doi"),
     "network_edges": ("edge_key", ("source", "target", "network", "sign", "doi", "evidence"), ("doi",), "evidence"),
 }
+#: Compared fields that are numbers: a minus or a decimal point is no punctuation there.
+NUMBERS = ("sign", "year", "iteration")
 #: Bytes taken at each radix step, most entries of a bucket, most entries a task combines before it lets go of them.
 RADIX, BUCKET, COMBINE = 3, 200_000, 100_000
 #: Entries a trie's container holds before it bursts, bytes of a trie's branch.
 BURST, BRANCH = 2048, 4
 
 _DROP = re.compile(r"[\W_]+")
+_NUMBER = re.compile(r"\s*([-−]?)\+?(\d*)(?:[.](\d+))?([eE][-+]?\d{1,3})?[.,;\s]*", re.A)
 _LABEL = re.compile(r"^\s*([A-Za-z_]{2,20})\s*:(.*)$", re.S)
 
 
@@ -50,19 +54,32 @@ def fold(text: str | None) -> str:
     return _DROP.sub("", text.casefold())
 
 
+def leaf(text: str) -> str:
+    """A value of its own: a number with its minus and decimal point (1.50 is 1.5), any other text folded."""
+    m = _NUMBER.fullmatch(text)
+    if not m or not (m[2] or m[3]):
+        return fold(text)
+    whole, part = m[2], m[3] or ""
+    if m[4]:
+        whole, _, part = format(Decimal(f"{whole or 0}.{part or 0}{m[4]}"), "f").partition(".")
+    part = part.rstrip("0")
+    minus = "-" if m[1] and (whole.strip("0") or part) else ""
+    return f"{minus}{whole or 0}.{part}" if part else f"{minus}{whole or 0}"
+
+
 def structured(text: str) -> str:
-    """A text that may be JSON or 'label: text || label: text': its parts folded, in sorted order."""
+    """A text that may be JSON or 'label: text || label: text': its parts folded (numbers kept), in sorted order."""
     head = text.lstrip()[:1]
     if head in ("{", "["):
         try:
-            value = json.loads(text)
+            value = json.loads(text, parse_int=str, parse_float=str)
         except (ValueError, RecursionError):
             return fold(text)
         return "\x1e".join(sorted(_flat(value, "")))
     if "||" in text:
         parts = [_LABEL.match(part) for part in text.split("||")]
         if all(parts):
-            return "\x1e".join(sorted(f"{fold(m[1])}\x1d{fold(m[2])}" for m in parts if m))
+            return "\x1e".join(sorted(f"{fold(m[1])}\x1d{leaf(m[2])}" for m in parts if m))
     return fold(text)
 
 
@@ -74,10 +91,10 @@ def _flat(value: object, at: str) -> Iterator[str]:
         for i, v in enumerate(value):
             yield from _flat(v, f"{at}\x1c{i}")
     elif value is not None:
-        yield f"{at}\x1d{fold(value if isinstance(value, str) else json.dumps(value))}"
+        yield f"{at}\x1d{leaf(value if isinstance(value, str) else json.dumps(value))}"
 
 
-def canonical(fields: list[str | None], dois: frozenset[int], parts: frozenset[int]) -> bytes:
+def canonical(fields: list[str | None], dois: frozenset[int], parts: frozenset[int], numbers: frozenset[int] = frozenset()) -> bytes:
     """Canonical bytes of a record's compared fields."""
     out = []
     for i, text in enumerate(fields):
@@ -85,6 +102,8 @@ def canonical(fields: list[str | None], dois: frozenset[int], parts: frozenset[i
             out.append("")
         elif i in dois:
             out.append(bare_doi_py(text) or fold(text))
+        elif i in numbers:
+            out.append(leaf(text))
         else:
             out.append(structured(text) if i in parts else fold(text))
     return "\x1f".join(out).encode()
@@ -142,7 +161,7 @@ class BurstTrie:
 _COMBINED_DDL = "tab string, canon binary, n bigint, kept bigint, ids array<bigint>"
 
 
-def _combine(tab: str, dois: frozenset[int], parts: frozenset[int]):
+def _combine(tab: str, dois: frozenset[int], parts: frozenset[int], numbers: frozenset[int]):
     schema = pa.schema([("tab", pa.string()), ("canon", pa.binary()), ("n", pa.int64()), ("kept", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def let_go(groups: dict[bytes, list[int]]) -> pa.RecordBatch:
@@ -154,7 +173,7 @@ def _combine(tab: str, dois: frozenset[int], parts: frozenset[int]):
         held = 0
         for batch in batches:
             for key, *fields in zip(*(c.to_pylist() for c in batch.columns)):
-                canon = canonical(fields, dois, parts)
+                canon = canonical(fields, dois, parts, numbers)
                 own = groups.get(canon)
                 if own is None:
                     groups[canon] = [key]
@@ -173,9 +192,10 @@ def _combine(tab: str, dois: frozenset[int], parts: frozenset[int]):
 def combined(rows: DataFrame, tab: str, key: str, fields: tuple[str, ...], dois: tuple[str, ...], required: str) -> DataFrame:
     """(tab, canon, n, kept, ids): canonical bytes with the keys of the copies that lay in one task."""
     at = frozenset(i for i, f in enumerate(fields) if f in dois)
-    parts = frozenset(i for i, f in enumerate(fields) if f not in dois)
+    numbers = frozenset(i for i, f in enumerate(fields) if f in NUMBERS)
+    parts = frozenset(i for i, f in enumerate(fields) if f not in dois and f not in NUMBERS)
     picked = rows.where(F.col(key).isNotNull() & ~is_blank(F.col(required).cast("string"))).select(F.col(key).cast("bigint"), *[F.col(f).cast("string") for f in fields])
-    return spread(picked).mapInArrow(_combine(tab, at, parts), _COMBINED_DDL)
+    return spread(picked).mapInArrow(_combine(tab, at, parts, numbers), _COMBINED_DDL)
 
 
 def _common_prefix(a: bytes, b: bytes) -> int:

@@ -50,3 +50,12 @@ def test_pairs_equal_brute_force_with_hot_text_and_deep_splits(spark):
     counted = {bytes(r.canon): r.n for r in D.count_copies(entries, 7).collect()}
     assert counted == {k: len(v) for k, v in groups.items()}
     assert D.pairs(entries.limit(0)).count() == 0
+
+
+def test_edges_and_parts_that_differ_in_a_minus_or_a_point_are_no_copies(spark):
+    rows = [(1, "A", "B", 1, "seen"), (2, "a", "b", -1, "Seen."), (3, "A", "B", -1, "seen"), (4, "A", "B", None, "seen")]
+    df = spark.createDataFrame(rows, "k long, source string, target string, sign int, evidence string")
+    entries = D.combined(df, "t", "k", ("source", "target", "sign", "evidence"), (), "evidence")
+    assert {tuple(r) for r in D.pairs(entries).collect()} == {("t", 2, 3)}
+    assert canon('{"effect": -1}') == canon('{"Effect" : "-1"}') == canon('{"effect": -1.0}') != canon('{"effect": 1}')
+    assert canon('{"pv": 0.5, "nn": 12}') == canon("pv: 0.50 || nn: 12.") != canon('{"pv": 5, "nn": 12}') and canon('{"p": 1e-3}') == canon('{"p": 0.001}') != canon('{"p": 1.5}') != canon('{"p": 15}')
