@@ -1,8 +1,8 @@
 """Resolution of claims against paper texts: locate supporting sentences, score them, settle each claim.
 
 Claims name two nodes and a sign; papers bring abstracts (and full texts). A claim meets only its own paper by DOI first;
-what that leaves open meets the papers whose sentences name both nodes, over an equi-join on (node, paper) pairs that come
-from the texts themselves. Nothing is paired without a shared name.
+what that leaves open meets the sentences that name both nodes, in any spelling that alias_pattern accepts, over an
+equi-join on (node, node) pairs that come from the sentences themselves. Nothing is paired without a shared name.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sprigwork.functions import text as T
+from sprigwork.session import staged
 
 
 def sentence_table(papers: DataFrame) -> DataFrame:
@@ -32,19 +33,53 @@ def support_score(part: Column, plain: Column, sentence: Column, sign: Column) -
 def supports(claims: DataFrame, sentences: DataFrame) -> DataFrame:
     """claims(claim, a, b, sign, doi), sentences with the same doi -> (claim, doi, sentence, part, score, direction_ok) of the best."""
     j = claims.join(sentences, "doi")
-    # A plain search throws out nearly all sentences before a pattern is built.
-    holds = lambda c: F.contains(F.col("plain"), F.lower(c)) | F.contains(F.col("plain"), F.replace(F.lower(c), F.lit("_"), F.lit(" ")))
-    near = j.where(holds("a") & holds("b"))
-    named = near.where(F.rlike(F.col("plain"), T.alias_pattern(F.col("a"))) & F.rlike(F.col("plain"), T.alias_pattern(F.col("b"))))
+    return _best(j.where(_holds(F.col("plain"), F.col("a")) & _holds(F.col("plain"), F.col("b"))), ["claim"])
+
+
+def _best(named: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the sentences that name both nodes the best of each key."""
     cue = T.cue_sign(F.col("plain"))
-    scored = named.select("claim", "doi", "sentence", "part", "pos", support_score(F.col("part"), F.col("plain"), F.col("sentence"), F.col("sign")).alias("score"), ((F.col("sign") == 0) | (cue == 0) | (cue == F.col("sign"))).alias("direction_ok"))
-    w = Window.partitionBy("claim").orderBy(F.col("score").desc(), "part", "doi", "pos")
+    scored = named.select(*keys, "doi", "sentence", "part", "pos", support_score(F.col("part"), F.col("plain"), F.col("sentence"), F.col("sign")).alias("score"), ((F.col("sign") == 0) | (cue == 0) | (cue == F.col("sign"))).alias("direction_ok"))
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "part", "doi", "pos", "sentence")
     return scored.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "pos")
 
 
-def mentions(sentences: DataFrame) -> DataFrame:
-    """(doi, word) of the name-like words of a paper's sentences, each once."""
-    return sentences.select("doi", F.explode(F.split("plain", r"[^a-z0-9_.\-]+")).alias("word")).select("doi", F.rtrim("word", F.lit(".")).alias("word")).where(F.length("word") >= 3).distinct()
+def _holds(plain: Column, name: Column) -> Column:
+    """Whether a normalised sentence names a node; a plain search throws out nearly all before a pattern is built."""
+    low = F.lower(name)
+    near = F.contains(plain, low) | F.contains(plain, F.regexp_replace(low, "_+", " "))
+    return near & F.rlike(plain, T.alias_pattern(name))
+
+
+def _words(col: Column) -> Column:
+    """Distinct parts of a text that a name's spellings share: runs of letters and digits, and other marks but underscores."""
+    return F.array_distinct(F.regexp_extract_all(col, F.lit(r"[a-z0-9]+|[^a-z0-9_\s]"), 0))
+
+
+def mentions(names: DataFrame, sentences: DataFrame) -> DataFrame:
+    """names(name), sentences(sid, plain) -> (name, sid) of every sentence that names it in a spelling of alias_pattern.
+
+    A sentence that holds a name holds all its words, the last perhaps with a plural s; a name meets the sentences of its
+    rarest word only, and the pattern decides.
+    """
+    # A word that ends in s stands for its singular too.
+    forms = F.explode(F.array_distinct(F.flatten(F.transform(_words(F.col("plain")), lambda w: F.array(w, F.regexp_replace(w, "(?<=.)s$", "")))))).alias("word")
+    posts = sentences.select("sid", forms)
+    parts = names.select("name", F.explode(_words(F.lower("name"))).alias("word"))
+    often = posts.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = parts.join(often, "word", "left").groupBy("name").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    met = rarest.join(posts, "word").select("name", "sid").join(sentences.select("sid", "plain"), "sid")
+    return met.where(_holds(F.col("plain"), F.col("name"))).select("name", "sid")
+
+
+def search(pairs: DataFrame, sentences: DataFrame) -> DataFrame:
+    """pairs(a, b, sign) -> the best sentence of any paper that names both, as supports() ranks them."""
+    text = staged(sentences.withColumn("sid", F.xxhash64("doi", "part", "pos", "sentence")).dropDuplicates(["sid", "doi", "part", "pos", "sentence"]), "sentences")
+    names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    named = staged(mentions(names, text), "mentions")
+    # The pairs come from the sentences, a few names each, so no frequent name is ever multiplied by a frequent one.
+    both = named.withColumnRenamed("name", "a").join(named.withColumnRenamed("name", "b"), "sid").join(pairs, ["a", "b"])
+    return _best(both.join(text, "sid"), ["a", "b", "sign"])
 
 
 def resolve(claims: DataFrame, papers: DataFrame, min_supports: int = 1) -> DataFrame:
@@ -53,13 +88,10 @@ def resolve(claims: DataFrame, papers: DataFrame, min_supports: int = 1) -> Data
     Search is for claims left open only; candidates must hold both names. Of several the best score counts, then the DOI.
     """
     text = sentence_table(papers)
-    own = supports(claims.where("doi is not null and doi <> ''"), text)
+    own = staged(supports(claims.where("doi is not null and doi <> ''"), text), "own")
     verified = own.select("claim", F.lit("verified").alias("status"), "doi", "sentence", "part", "score", "direction_ok")
     left = claims.join(verified.select("claim"), "claim", "left_anti")
-    words = mentions(text)
-    key = lambda c: F.lower(F.col(c))
-    hit = left.select("claim", "a", "b", "sign", key("a").alias("word")).join(words, "word").select("claim", "a", "b", "sign", "doi", key("b").alias("word")).join(words, ["word", "doi"]).select("claim", "a", "b", "sign", "doi").distinct()
-    found = supports(hit, text)
+    found = left.select("claim", "a", "b", "sign").join(search(left.select("a", "b", "sign").distinct(), text), ["a", "b", "sign"])
     repaired = found.select("claim", F.lit("repaired").alias("status"), "doi", "sentence", "part", "score", "direction_ok")
     rest = left.join(repaired.select("claim"), "claim", "left_anti").select("claim", F.lit("quarantine").alias("status"), *[F.lit(None).cast(t).alias(n) for n, t in (("doi", "string"), ("sentence", "string"), ("part", "string"), ("score", "double"), ("direction_ok", "boolean"))])
     return verified.unionByName(repaired).unionByName(rest)
