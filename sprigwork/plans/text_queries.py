@@ -59,10 +59,13 @@ def str4_norm(spark, d: str) -> DataFrame:
 
 
 def _paper_texts(spark, d: str) -> DataFrame:
-    """(doi, abstract, fulltext): of each DOI the abstract of its first paper and its first full text."""
-    p = load(spark, d, "papers").withColumn("doi", bare_doi(F.col("doi"))).where("doi <> ''").groupBy("doi").agg(F.min_by("abstract", "paper_key").alias("abstract"))
-    f = load(spark, d, "fulltext").withColumn("doi", bare_doi(F.col("doi"))).where("doi <> ''").groupBy("doi").agg(F.min_by("text", "fulltext_key").alias("fulltext"))
-    return p.join(f, "doi", "full").select("doi", "abstract", "fulltext")
+    """(doi, abstract, fulltext): one row for each different text of a DOI, in one of the two columns; a DOI without any has one row."""
+    none = F.lit(None).cast("string")
+    p = load(spark, d, "papers").select(bare_doi(F.col("doi")).alias("doi"), F.col("abstract"), none.alias("fulltext"))
+    f = load(spark, d, "fulltext").select(bare_doi(F.col("doi")).alias("doi"), none.alias("abstract"), F.col("text").alias("fulltext"))
+    rows = p.unionByName(f).where("doi <> ''").select("doi", *[F.when(F.length(F.trim(c)) > 0, F.col(c)).alias(c) for c in ("abstract", "fulltext")]).distinct()
+    texts = rows.where("abstract is not null or fulltext is not null")
+    return texts.unionByName(rows.select("doi").distinct().join(texts, "doi", "left_anti").select("doi", none.alias("abstract"), none.alias("fulltext")))
 
 
 def _claims(spark, d: str) -> DataFrame:
@@ -76,7 +79,10 @@ def str5_located_quotes(spark, d: str) -> DataFrame:
     quote = F.coalesce(F.get_json_object("evidence", "$.sentence"), F.col("evidence"))
     e = load(spark, d, "network_edges").where("evidence is not null").select("edge_key", bare_doi(F.col("doi")).alias("doi"), quote.alias("quote"))
     j = e.join(_paper_texts(spark, d), "doi").select("edge_key", T.located(F.col("quote"), F.col("abstract"), F.col("fulltext")).alias("x"))
-    return j.select("edge_key", "x.start", "x.end", "x.locator")
+    # Of several texts the abstract counts first, then the earliest place.
+    rank = F.struct(F.col("x.locator").isNull(), F.col("x.locator") != "abstract", "x.start", "x.end", "x.locator")
+    best = j.groupBy("edge_key").agg(F.min_by("x", rank).alias("x"))
+    return best.select("edge_key", "x.start", "x.end", "x.locator")
 
 
 @query()

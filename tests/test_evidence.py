@@ -1,4 +1,5 @@
 from sprigwork.operators import evidence as E
+from sprigwork.plans import text_queries as Q
 
 CLAIM, PAPER = "claim long, a string, b string, sign int, doi string", "doi string, abstract string, fulltext string"
 
@@ -8,3 +9,15 @@ def test_search_meets_every_spelling_that_the_pattern_accepts(spark):
     claims = spark.createDataFrame([(1, "seed_mass", "LLH4", 0, ""), (2, "Abscisin", "X/Y", 1, "p9"), (3, "seed__mass", "llh4", 0, None), (4, "\u03b2", "AB", 1, None), (5, "seed", "AB", 1, None)], CLAIM)
     got = {r.claim: (r.status, r.doi) for r in E.resolve(claims, papers).collect()}
     assert got == {1: ("repaired", "p1"), 2: ("repaired", "p2"), 3: ("repaired", "p1"), 4: ("repaired", "p3"), 5: ("quarantine", None)}
+
+
+def test_every_text_of_a_doi_is_read(spark, tmp_path):
+    seen = "AB1 promotes CD2 in all the leaves."
+    edges = [(1, "AB1", "CD2", 1, "10.9912/a", seen), (2, "EF3", "GH4", -1, "10.9912/a", "EF3 represses GH4 in the roots."), (3, "X", "Y", 1, "10.9912/b", "A sentence that is nowhere.")]
+    spark.createDataFrame(edges, "edge_key long, source string, target string, sign int, doi string, evidence string").write.parquet(f"{tmp_path}/network_edges.parquet")
+    spark.createDataFrame([(1, "10.9912/a", None), (2, "doi:10.9912/A", "Other words. " + seen), (3, "10.9912/b", "")], "paper_key long, doi string, abstract string").write.parquet(f"{tmp_path}/papers.parquet")
+    spark.createDataFrame([(1, "10.9912/a", "Nothing of it."), (2, "10.9912/a", "EF3 represses GH4 in the roots.")], "fulltext_key long, doi string, text string").write.parquet(f"{tmp_path}/fulltext.parquet")
+    d = str(tmp_path)
+    assert {r.edge_key: (r.start, r.locator) for r in Q.str5_located_quotes(spark, d).collect()} == {1: (13, "abstract"), 2: (0, "full_text"), 3: (None, None)}
+    assert {r.edge_key: (r.score, r.pos) for r in Q.str17_best_sentence(spark, d).collect()}[1] == (1.0, 1)
+    assert {r.claim: (r.status, r.part) for r in Q.evd3_resolved_claims(spark, d).collect()} == {1: ("verified", "abstract"), 2: ("verified", "full_text"), 3: ("quarantine", None)}
