@@ -2,12 +2,13 @@
 
 Every distinct value is read in several ways (as it stands, without notation around it, glued, split at blanks). Every
 distinct token of these readings is joined to the vocabulary of the reference list: exactly, or, for words of nine or more
-letters, by edit distance up to two over shared deletion variants. A reading with its repaired tokens then meets the
-entries over their rarest token, and soft TF-IDF ranks the entries it covers completely. All steps are equi-joins over
+letters, by edit distance up to two over shared deletion variants of their first letters. A reading with its repaired tokens
+then meets the entries over their rarest token. Soft TF-IDF ranks the complete entries: the similarity of each token pair falls with its
+edits, that of a reading with the notation taken off it, and the entry of the highest similarity is taken. All steps are equi-joins over
 distinct values, so a value that a third of all rows carry is handled once; the reference list is broadcast only after its
 size has been counted.
 
-Defined results: null and blank values give no row; a value that covers no entry completely is UNMATCHED; of equally good
+Defined results: null and blank values give no row; a value that covers no entry completely is UNMATCHED; of equally similar
 entries the one of the smallest kb_id is taken; an empty reference list leaves all values UNMATCHED.
 """
 
@@ -16,20 +17,24 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterator
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sprigwork.functions.doi import is_blank
-from sprigwork.session import spread, staged
+from sprigwork.session import partitions_of, spread, staged
 from sprigwork.tables import load
 
 UNMATCHED = "UNMATCHED"
 #: Letters a word needs to be open to repair, and the edits it may need.
 REPAIR_FROM, EDITS = 9, 2
+#: First letters of a word whose deletion variants are compared: words within EDITS share one, whatever follows.
+PREFIX = 8
+#: What one step of notation taken off costs of the similarity: less than any edit.
+STEP = 0.998
 #: Most deletion variants of the vocabulary that are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -65,10 +70,10 @@ def tokens(text: str) -> list[str]:
 def strippings(raw: str) -> list[tuple[int, str]]:
     """The value as it stands and with notation taken off, with the number of steps that took."""
     seen: dict[str, int] = {}
-    queue = [(raw.strip(), 0)]
-    while queue:
-        text, level = queue.pop(0)
-        if not text or text in seen or level > 5:
+    queue = deque([(raw.strip(), 0)])
+    while queue:  # every rule shortens the text, so this ends
+        text, level = queue.popleft()
+        if not text or text in seen:
             continue
         seen[text] = level
         for rule in (_BEFORE, _AFTER, _GLUED_OX, _PROMOTER, _TAG, _DELTA, _ALLELE, _SPECIES):
@@ -95,16 +100,14 @@ def readings(raw: str) -> list[tuple[int, list[str], bool]]:
     return [(level, list(form), exact) for form, (level, exact) in out.items()]
 
 
-def repairable(token: str) -> bool:
-    return len(token) >= REPAIR_FROM - EDITS and token.isalpha()
-
-
 def variants(token: str) -> set[str]:
-    """The token with up to two letters left out."""
-    out = {token}
-    for k in range(1, EDITS + 1):
-        for gone in combinations(range(len(token)), k):
-            out.add("".join(c for i, c in enumerate(token) if i not in gone))
+    """The token's first letters with up to two of them left out."""
+    head = token[:PREFIX]
+    out = {head}
+    for i in range(len(head)):
+        less = head[:i] + head[i + 1 :]
+        out.add(less)
+        out.update(less[:j] + less[j + 1 :] for j in range(i, len(less)))
     return out
 
 
@@ -184,6 +187,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([p[2] for p in pairs], pa.int32())], names=["token", "vocab", "d"])
 
 
+def salted(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all tasks by a hash of its keys, which no partitioning that is there already can stand for."""
+    return df.withColumn("_salt", F.xxhash64(*keys)).repartition(partitions_of(df.sparkSession), "_salt").drop("_salt")
+
+
 def repairs(distinct_tokens: DataFrame, forms: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(token, vocab, d): each distinct token with the vocabulary words it may stand for."""
     vocab = forms.select(F.explode("toks").alias("vocab")).distinct()
@@ -193,12 +201,13 @@ def repairs(distinct_tokens: DataFrame, forms: DataFrame, broadcast_rows: int =
     words = vocab.where(letters)
     single = forms.where(F.size("toks") > 1).select(F.explode("toks").alias("vocab")).where(letters)
     may = staged(words.join(glued.unionByName(single).distinct(), "vocab", "left_semi").distinct(), "vocabulary")
-    bound = may.agg(F.max(F.length("vocab")), F.sum(F.pow(F.length("vocab"), 2) / 2)).first()
-    longest, rows = int(bound[0] or 0), float(bound[1] or 0)
+    bound = may.agg(F.max(F.length("vocab")), F.count("*")).first()
+    longest, rows = int(bound[0] or 0), int(bound[1]) * (1 + PREFIX + PREFIX * (PREFIX - 1) // 2)
     variant = may.mapInArrow(_with_variants, "vocab string, variant string")
     variant = F.broadcast(variant) if rows <= broadcast_rows else variant
     near = distinct_tokens.join(exact.select("token"), "token", "left_anti").where((F.length("token") <= longest + EDITS) & F.col("token").rlike(rf"^\p{{L}}{{{REPAIR_FROM - EDITS},}}$"))
-    fuzzy = spread(near, "token").mapInArrow(_with_variants, "token string, variant string").join(variant, "variant").select("token", "vocab").transform(lambda x: spread(x, "token", "vocab")).distinct().mapInArrow(_verify, "token string, vocab string, d int")
+    met = salted(near, "token").mapInArrow(_with_variants, "token string, variant string").join(variant, "variant").where(F.abs(F.length("token") - F.length("vocab")) <= EDITS).select("token", "vocab")
+    fuzzy = salted(met.distinct(), "token", "vocab").mapInArrow(_verify, "token string, vocab string, d int")
     return exact.unionByName(fuzzy)
 
 
@@ -240,8 +249,8 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in repaired:
                 by_token.setdefault(x["i"], {})[x["vocab"]] = x["d"]
             if len(by_token) == n and (hit := soft_tfidf([by_token[i] for i in sorted(by_token)], toks, idf)) and not (exact and hit[1]):
-                out.append((raw, hit[1], level, -hit[0], kb_id, node))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.float64()), pa.array([r[4] for r in out], pa.int64()), pa.array([r[5] for r in out], pa.string())], names=["raw", "edits", "level", "below", "kb_id", "kb_node"])
+                out.append((raw, -round(hit[0] * STEP**level, 12), kb_id, node))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.string())], names=["raw", "below", "kb_id", "kb_node"])
 
 
 def link(raws: DataFrame, kb: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -255,8 +264,8 @@ def link(raws: DataFrame, kb: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -
     whole = each.groupBy("raw", "reading", "level", "exact", "n").agg(F.collect_list(F.struct("i", "vocab", "d")).alias("repaired"), F.countDistinct("i").alias("covered")).where("covered = n")
     # An entry is met over its rarest token only, which a complete reading must hold.
     met = whole.withColumn("rare", F.explode(F.array_distinct("repaired.vocab"))).join(entries, "rare").where(F.size(entries.toks) == F.col("n"))
-    ranked = spread(met.select("raw", "level", "exact", "n", "repaired", "kb_id", "kb_node", entries.toks, "idf"), "raw").mapInArrow(_rank, "raw string, edits int, level int, below double, kb_id bigint, kb_node string")
-    return ranked.groupBy("raw").agg(F.min(F.struct("edits", "level", "below", "kb_id", "kb_node")).alias("best")).select("raw", "best.kb_node")
+    ranked = spread(met.select("raw", "level", "exact", "n", "repaired", "kb_id", "kb_node", entries.toks, "idf"), "raw").mapInArrow(_rank, "raw string, below double, kb_id bigint, kb_node string")
+    return ranked.groupBy("raw").agg(F.min(F.struct("below", "kb_id", "kb_node")).alias("best")).select("raw", "best.kb_node")
 
 
 def typed_values(spark, sf_dir: str) -> DataFrame:
