@@ -26,6 +26,16 @@ def test_highest_boundary_is_taken():
     assert cores[0].startswith("# One") and cores[1].startswith("# Two")
 
 
+def test_lists_markup_and_fences():
+    items = "Intro text.\n" + "".join(f"- item {i} has some words.\n  and a second line.\n" for i in range(8))
+    assert all(items[c:].startswith("- item") for _, c, _, _ in S.split(items, 80)[1:])
+    html = "".join(f"<p>Paragraph{i}.</p>" for i in range(10))
+    pieces = S.split(html, 40)
+    assert all(html[c:].startswith("<p>") for _, c, _, _ in pieces) and not any(hard for *_, hard in pieces)
+    fenced = "# A\n\n```\n# no heading\n```\n\nText one here.\n\n# B\n\nText two here."
+    assert [fenced[c:e][:3] for _, c, e, _ in S.split(fenced, 48)] == ["# A", "# B"]
+
+
 def test_overlap_is_shared():
     text = " ".join(f"word{i}." for i in range(200))
     pieces = S.split(text, 120, 30)
@@ -38,3 +48,5 @@ def test_frame(spark):
     got = {(r.fulltext_key, r.piece): r.piece_text for r in S.pieces(texts, limits).collect()}
     assert got[4, 0] == "y" * 99 and got[5, 0] == "q" and not {2, 3} & {k for k, _ in got}
     assert S.pieces(texts.limit(0), limits).count() == 0
+    wide = spark.createDataFrame([("a", 10, 8)], "source string, max_chars int, overlap_chars int")
+    assert {r.overlap_held for r in S.pieces(texts, wide).where("fulltext_key in (1, 6)").collect()} == {True} and not any(r.overlap_held for r in S.pieces(texts, limits).collect())
