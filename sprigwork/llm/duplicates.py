@@ -262,8 +262,9 @@ def pairs(entries: DataFrame, limit: int = BUCKET) -> DataFrame:
     """(tab, kept_id, copy_id): every copy with the smallest key of its set."""
     digest = F.unhex(F.md5("canon"))
     sets = count_copies(entries, limit).where("n > 1").select("tab", digest.alias("d"), F.col("kept").alias("kept_id"))
-    members = entries.select("tab", digest.alias("d"), F.explode("ids").alias("copy_id"))
-    return members.join(sets, ["tab", "d"]).where("copy_id > kept_id").select("tab", "kept_id", "copy_id")
+    # Joined as the map tasks left them, a row for each task and text, so a frequent text is a few rows until it is exploded.
+    met = entries.select("tab", digest.alias("d"), "ids").join(sets, ["tab", "d"])
+    return met.select("tab", "kept_id", F.explode("ids").alias("copy_id")).where("copy_id > kept_id").select("tab", "kept_id", "copy_id")
 
 
 def found(spark, sf_dir: str) -> DataFrame:

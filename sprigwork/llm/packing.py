@@ -152,3 +152,15 @@ def fill(spark, sf_dir: str) -> DataFrame:
     profiles = load(spark, sf_dir, "pack_profiles")
     used = packed(spark, sf_dir).groupBy("profile").agg(F.count("*").alias("n_items"), (F.max("container") + 1).alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
     return used.join(profiles.select("profile", "capacity_tokens"), "profile").select("profile", "capacity_tokens", "n_items", "n_containers", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("used_share"))
+
+
+def audit(spark, sf_dir: str) -> DataFrame:
+    """For each profile: documents, containers over the capacity, and documents whose pieces are not all of their tokens."""
+    tokens = staged(count_tokens(load(spark, sf_dir, "documents")), "tokens")
+    profiles = load(spark, sf_dir, "pack_profiles")
+    items = staged(pack(tokens, profiles), "packed")
+    caps = profiles.groupBy("profile").agg(F.max("capacity_tokens").alias("cap"))
+    over = items.groupBy("profile", "container").agg(F.sum("n_tokens").alias("n")).join(small(caps), "profile").groupBy("profile").agg(F.count_if(F.col("n") > F.col("cap")).alias("n_overfull"))
+    docs = items.groupBy("profile", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"))
+    whole = docs.join(tokens, "doc_id", "left").groupBy("profile").agg(F.count("*").alias("n_documents"), F.count_if(~F.coalesce((F.col("n") == F.col("n_tokens")) & (F.col("end") == F.col("n_tokens")), F.lit(False))).alias("n_incomplete"))
+    return whole.join(over, "profile").select("profile", "n_documents", "n_overfull", "n_incomplete")

@@ -68,3 +68,26 @@ def test_posteriors_follow_the_words(spark):
     docs, sources = corpus(spark), ["a", "b"]
     members = {r.doc_id: r.member for r in mixing.memberships(docs, [("a", 0.5, 1), ("b", 0.5, 2)]).collect()}
     assert members[0] == [1.0, 0.0] and members[2000][1] > 0.8 and members[3002] == [0.0, 0.0] and len(sources) == 2
+
+
+def test_a_source_without_documents_takes_no_unlabelled_text(spark):
+    docs = spark.createDataFrame([(i, "alpha beta gamma", "a") for i in range(50)] + [(100, " ".join(f"unseen{chr(97 + i)}" for i in range(20)), None)], "doc_id long, text string, source string")
+    members = {r.doc_id: r.member for r in mixing.memberships(docs, [("a", 0.5, 1), ("empty", 0.5, 2)]).collect()}
+    assert members[100] == [1.0, 0.0]
+    only_empty = mixing.memberships(docs, [("empty", 1.0, 2)]).where("doc_id = 100").first()
+    assert only_empty.member == [0.0] and only_empty.cap == 0
+
+
+def test_rates_are_the_same_summed_here_or_by_the_executors(spark):
+    rows = [([1.0, 0.0, 0.0], 1, 500), ([0.0, 1.0, 0.0], 3, 80), ([0.2, 0.5, 0.3], 2, 60), ([0.0, 0.0, 1.0], 4, 30)]
+    groups = spark.createDataFrame(rows, "member array<double>, cap int, tokens bigint")
+    share = np.array([0.5, 0.3, 0.2])
+    here, there = mixing.fit_rates(groups, share, None, rounds=30), mixing.fit_rates(groups, share, None, rounds=30, local=0)
+    assert here[1] == there[1] and len(here[0]) == len(there[0]) and all(np.allclose(a, b) for a, b in zip(here[0], there[0]))
+
+
+def test_report_says_whether_the_shares_are_reached(spark):
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 4)], "source string, target_share double, max_repeats int")
+    reached = mixing.mix(corpus(spark), targets)[1].collect()
+    missed = mixing.mix(corpus(spark), targets, size=1e6)[1].collect()
+    assert all(r.converged and r.residual <= mixing.CLOSE for r in reached) and not any(r.converged for r in missed)
