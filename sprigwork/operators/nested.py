@@ -1,12 +1,15 @@
 """Deeply nested records into related flat tables, by single-pass tagged emission.
 
-One depth-first visit of each body emits rows (tag, pk, parent_pk, payload) for all child tables at once; the rows are
+One depth-first visit of each body emits rows (tag, pk, parent_pk, payload) for all tables at once; the rows are
 written partitioned by tag, and each table is read back from its own partition with its own schema. A record costs one
-parse however many tables it feeds, and reading one table touches only that table's files.
-
-Defined results: a null, empty or damaged body emits nothing; a body that is a JSON text inside a JSON text is opened;
-NaN and Infinity pass as numbers; a single object or value stands for a list of one; null elements keep their position
-and emit nothing; unknown keys are ignored; input columns other than record_id and body are ignored, whatever their names.
+parse however many tables it feeds, and reading one table touches only that table's files. Besides the tables of the
+domain there are `records`, the root of all links, and `leaves`, every scalar of a body with its path and the path of
+the object or list that holds it, so that nothing is lost whatever the shape.
+
+Defined results: a null, empty or damaged body emits its record only; a body that is a JSON text inside a JSON text is
+opened, however often; NaN and Infinity pass as numbers; a single object or value stands for a list of one; null elements
+keep their position and emit nothing in the domain's tables, a leaf of type null in `leaves`; unknown keys are in `leaves`;
+input columns other than record_id, body, network, kind and iteration are ignored, whatever their names; these three may be missing.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ EDGE_TEXT = re.compile(r"^\s*(?P<s>.+?)\s*(?P<arrow>-+>|-+\||→|⊣|⟶|=>)\s*(
 
 #: Table tag -> schema of its payload. Every table also has pk and parent_pk.
 TABLES = {
+    "records": "record_id bigint, item string, network string, iteration int, readable boolean",
+    "leaves": "record_id bigint, path string, pos int, item string, kind string, value string",
     "methods": "record_id bigint, parent string, pos int, item string, accuracy double, kappa double, mcc double",
     "failures": "record_id bigint, parent string, pos int, item string, reason string",
     "ci_95": "record_id bigint, parent string, pos int, item string, value double",
@@ -84,21 +89,40 @@ def _text(value: object) -> str | None:
 def open_body(body: str | None) -> dict | None:
     """The object in a body, or None where the text is not one complete JSON object."""
     value: object = body
-    for _ in range(4):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):  # each opening leaves a shorter text
         try:
-            value = json.loads(value.lstrip("﻿"))
+            value = json.loads(value.lstrip("\ufeff"))
         except (ValueError, RecursionError):
             return None
     return value if isinstance(value, dict) else None
 
 
-def visit(record_id: int, body: str | None) -> Iterator[tuple[str, str, str, str]]:
+_KINDS = {bool: "boolean", int: "number", float: "number", str: "string", type(None): "null"}
+
+
+def leaves(record_id: int, root: dict) -> Iterator[tuple[str, str, str, str]]:
+    """Every scalar of a body in the order of the text; an empty object or list is a leaf of its own."""
+    stack: list[tuple[str, str, int, object]] = [("$", "$", 0, root)]
+    while stack:
+        at, parent, pos, value = stack.pop()
+        if isinstance(value, dict) and value:
+            stack += [(f"{at}.{k}", at, i, v) for i, (k, v) in reversed(list(enumerate(value.items())))]
+        elif isinstance(value, list) and value:
+            stack += [(f"{at}[{i}]", at, i, value[i]) for i in range(len(value) - 1, -1, -1)]
+        else:
+            kind = "object" if isinstance(value, dict) else "array" if isinstance(value, list) else _KINDS[type(value)]
+            text = value if isinstance(value, str) else None if value is None else json.dumps(value, allow_nan=True)
+            payload = {"record_id": record_id, "path": at, "pos": pos, "item": at[len(parent) :].lstrip("."), "kind": kind, "value": text}
+            yield "leaves", f"{record_id}/{at}", f"{record_id}/{parent}", json.dumps(payload)
+
+
+def visit(record_id: int, body: str | None, every_leaf: bool = False) -> Iterator[tuple[str, str, str, str]]:
     """Depth-first visit of one body: (tag, pk, parent_pk, payload) for every row of every child table."""
     root = open_body(body)
     if root is None:
         return
+    if every_leaf:
+        yield from leaves(record_id, root)
     top = str(record_id)
 
     def row(tag: str, parent_pk: str, parent: str, pos: int, item: str | None, **more: object) -> tuple[str, str, str, str]:
@@ -164,29 +188,41 @@ def visit(record_id: int, body: str | None) -> Iterator[tuple[str, str, str, str
     yield from edges(top, "root", root.get("edges_added"))
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(whole: bool):
     schema = pa.schema([("tag", pa.string()), ("pk", pa.string()), ("parent_pk", pa.string()), ("payload", pa.string())])
-    for batch in batches:
-        rows: list[tuple] = []
-        for record_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if record_id is not None:
-                rows.extend(visit(record_id, body))
-            if len(rows) > 20_000:
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for record_id, body, network, kind, iteration in zip(*(c.to_pylist() for c in batch.columns)):
+                if record_id is not None:
+                    if whole:
+                        root = {"record_id": record_id, "item": kind, "network": network, "iteration": iteration, "readable": open_body(body) is not None}
+                        rows.append(("records", str(record_id), None, json.dumps(root)))
+                    rows.extend(visit(record_id, body, whole))
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], schema=schema)
+                    rows = []
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], schema=schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], schema=schema)
 
+    return apply
+
+
+def emit_tagged(records: DataFrame, whole: bool = True) -> DataFrame:
+    """(tag, pk, parent_pk, payload) of all tables, from one pass over records(record_id, body[, network, kind, iteration]).
 
-def emit_tagged(records: DataFrame) -> DataFrame:
-    """(tag, pk, parent_pk, payload) of all child tables, from one pass over records(record_id, body)."""
-    return spread(records.select(F.col("record_id").cast("bigint").alias("record_id"), F.col("body").cast("string").alias("body"))).mapInArrow(_emit, TAGGED)
+    whole: with `records` and `leaves`, else the domain's tables only.
+    """
+    or_null = lambda name, kind: (F.col(name) if name in records.columns else F.lit(None)).cast(kind).alias(name)
+    picked = records.select(or_null("record_id", "bigint"), or_null("body", "string"), or_null("network", "string"), or_null("kind", "string"), or_null("iteration", "int"))
+    return spread(picked).mapInArrow(_emit(whole), TAGGED)
 
 
-def write_tables(records: DataFrame, path: str | None = None) -> str:
+def write_tables(records: DataFrame, path: str | None = None, whole: bool = True) -> str:
     """Write the tagged rows partitioned by tag; returns the path."""
     path = path or new_path(records.sparkSession, "nested")
-    emit_tagged(records).write.partitionBy("tag").option("compression", "zstd").parquet(path)
+    emit_tagged(records, whole).write.partitionBy("tag").option("compression", "zstd").parquet(path)
     return path
 
 
@@ -198,7 +234,7 @@ def read_table(spark, path: str, tag: str) -> DataFrame:
 
 def found(records: DataFrame) -> DataFrame:
     """Elements of the four list-like tables: record_id, child, parent, pos, item."""
-    spark, path = records.sparkSession, write_tables(records)
+    spark, path = records.sparkSession, write_tables(records, whole=False)
     parts = [read_table(spark, path, tag).select("record_id", F.lit(tag).alias("child"), "parent", "pos", "item") for tag in ("failures", "ci_95", "gene_modifiers", "edges_added")]
     out = parts[0]
     for part in parts[1:]:

@@ -5,8 +5,9 @@ is a run of atoms. A run of several atoms ("A B", "A and B") is ambiguous: conne
 stretch of neighbouring atoms may be one value, but only without a connector and only if that value occurs quoted
 elsewhere, as a name with blanks is quoted. Its readings form a lattice. The frequencies of values are learned from the
 whole column: certain values are counted, atoms in lattices by forward-backward expectation, and this is repeated.
-Viterbi then takes the likeliest path of each lattice. Cells are reduced to distinct texts before any lattice is built,
-and only the values that occur in lattices take part in the iterations, so their cost follows the ambiguous part alone.
+Viterbi then takes the likeliest path of each lattice. Frequencies are those of the cell's own column, and the rounds end
+when no count moves by more than TOLERANCE of itself. One pass parses all cells; only the distinct texts with ambiguous runs and the values on
+their lattices take part in the rounds, so their cost follows the ambiguous part alone.
 
 Defined results: null, blank and bracket-only cells give no value; empty values are skipped without a position; a quote
 that is never closed is an ordinary character; repeated rows each give their values.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sprigwork.session import spread, staged
+from sprigwork.session import small, spread, staged
 from sprigwork.tables import load
 
 #: Delimiters that always cut, quote pairs, bracket pairs, connector words.
@@ -36,9 +37,10 @@ CONNECTORS = frozenset(("and", "und", "et", "plus"))
 _NUMBER = r"[-+]?(?:\d+(?:[.,]\d+)?|[.]\d+)(?:[eE][-+]?\d+)?|[-+]?inf(?:inity)?|nan|null|none|true|false"
 _ASSIGN = re.compile(rf"\s*[=:]\s*(?:\"(?:{_NUMBER})\"|(?:{_NUMBER}))(?=[\s;|,+&\]\)\}}>]|$)", re.I)
 _INSIDE = re.compile(rf"\s*[=:]\s*(?:{_NUMBER})\s*$", re.I)
-#: Longest stretch of unquoted atoms that may be one value, and the rounds of expectation-maximisation.
-MAX_ATOMS = 4
-ROUNDS = 3
+#: Share of itself by which a count may still move when the rounds of expectation-maximisation end.
+TOLERANCE = 0.01
+#: Distinct texts whose parse a task remembers at once.
+REMEMBERED = 100_000
 #: Weight of an unseen value of one atom; an unseen value of several atoms is none.
 UNSEEN = 0.5
 
@@ -79,6 +81,31 @@ def _bare(text: str) -> str:
     return text
 
 
+_EASY = re.compile(r"[^\"'`“”„‘’«»\[\](){}<>\\]*")
+_SPLIT = re.compile(f"[{re.escape(CUTS)}]")
+_EASY_NUMBER = re.compile(rf"([^\s=:]+)\s*[=:]\s*(?:{_NUMBER})", re.I)
+
+
+def easy(text: str, numbered: bool) -> list[str] | None:
+    """The values of a cell without quotes, brackets and blanks inside its values; None if it is no such cell."""
+    if not _EASY.fullmatch(text):
+        return None
+    out = []
+    for part in _SPLIT.split(text):
+        part = part.strip()
+        if numbered and part:  # a part without a number may be the end of a decimal comma
+            m = _EASY_NUMBER.fullmatch(part)
+            if not m:
+                return None
+            part = m[1]
+        if part:
+            if len(part.split(None, 1)) > 1:
+                return None
+            if _has_letter(part):
+                out.append(part)
+    return out
+
+
 def runs(text: str, numbered: bool) -> list[list[tuple[str, bool]]]:
     """The cell as runs between certain cuts; a run is a list of atoms (text, quoted).
 
@@ -149,14 +176,17 @@ def _has_letter(text: str) -> bool:
     return any(c.isalnum() for c in text)
 
 
-def arcs(run: list[tuple[str, bool]]) -> list[tuple[int, int, str | None]]:
-    """The lattice of a run: (from, to, value), value None where a connector or a lone mark is passed over."""
+def arcs(run: list[tuple[str, bool]], longest: int | None = None) -> list[tuple[int, int, str | None]]:
+    """The lattice of a run: (from, to, value), value None where a connector or a lone mark is passed over.
+
+    longest: words of the longest quoted value; a longer stretch of the run can be no value.
+    """
     out: list[tuple[int, int, str | None]] = []
     for i, (atom, quoted) in enumerate(run):
         out.append((i, i + 1, atom))
         if not quoted and (atom.lower() in CONNECTORS or not _has_letter(atom)):
             out.append((i, i + 1, None))
-        for j in range(i + 2, min(len(run), i + MAX_ATOMS) + 1):
+        for j in range(i + 2, min(len(run), i + (longest or len(run))) + 1):
             if any(q or a.lower() in CONNECTORS for a, q in run[i:j]):
                 break
             out.append((i, j, " ".join(a for a, _ in run[i:j])))
@@ -173,9 +203,9 @@ def weight(value: str | None, span: int, count: float, total: float) -> float:
     return (count + unseen) / (total + 1.0)
 
 
-def expected(run: list[tuple[str, bool]], counts: dict[str, float], total: float) -> dict[str, float]:
+def expected(run: list[tuple[str, bool]], counts: dict[str, float], total: float, longest: int | None = None) -> dict[str, float]:
     """Expected number of each value in a run: forward-backward over its lattice."""
-    n, lattice = len(run), arcs(run)
+    n, lattice = len(run), arcs(run, longest)
     forward, backward = [1.0] + [0.0] * n, [0.0] * n + [1.0]
     scored = [(i, j, v, weight(v, j - i, counts.get(v or "", 0.0), total)) for i, j, v in lattice]
     for i, j, _, w in sorted(scored, key=lambda a: a[0]):
@@ -189,10 +219,10 @@ def expected(run: list[tuple[str, bool]], counts: dict[str, float], total: float
     return out
 
 
-def viterbi(run: list[tuple[str, bool]], counts: dict[str, float], total: float) -> list[str]:
+def viterbi(run: list[tuple[str, bool]], counts: dict[str, float], total: float, longest: int | None = None) -> list[str]:
     """The values on the likeliest path of a run; of equal paths the one of more values."""
     n = len(run)
-    scored = [(i, j, v, weight(v, j - i, counts.get(v or "", 0.0), total)) for i, j, v in arcs(run)]
+    scored = [(i, j, v, weight(v, j - i, counts.get(v or "", 0.0), total)) for i, j, v in arcs(run, longest)]
     best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * n
     back: list[tuple[int, str | None]] = [(0, None)] * (n + 1)
     for i, j, v, w in sorted((a for a in scored if a[3] > 0), key=lambda a: a[0]):
@@ -207,71 +237,108 @@ def viterbi(run: list[tuple[str, bool]], counts: dict[str, float], total: float)
     return path[::-1]
 
 
-_PARSED = pa.schema([("txt", pa.string()), ("numbered", pa.bool_()), ("n", pa.int64()), ("vals", pa.list_(pa.string())), ("open", pa.list_(pa.string()))])
-_PARSED_DDL = "txt string, numbered boolean, n bigint, vals array<string>, open array<string>"
+_PARSED_DDL = "tab string, field string, row_key bigint, numbered boolean, vals array<string>, txt string, words int"
+
+
+def parse(txt: str, numbered: bool) -> tuple[list[str], bool, int]:
+    """The certain values of a cell, whether some run of it is ambiguous, and the words of its longest quoted value."""
+    quick = easy(txt, numbered)
+    if quick is not None:
+        return quick, False, 0
+    own, ambiguous, words = [], False, 0
+    for run in runs(txt, numbered):
+        values = certain(run)
+        if values is None:
+            ambiguous = True
+        else:
+            own += values
+        words = max([words, *(len(v.split()) for v, quoted in run if quoted)])
+    return own, ambiguous, words
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct texts: the certain values, and for texts with ambiguous runs every value on their lattices."""
+    """Cells with their certain values; the text stays only where a run of it is ambiguous."""
+    known: dict[tuple[str, bool], tuple[list[str], bool, int]] = {}
     for batch in batches:
-        vals, opens = [], []
-        for txt, numbered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own, maybe = [], []
-            for run in runs(txt, numbered):
-                if (values := certain(run)) is None:
-                    maybe += [v for _, _, v in arcs(run) if v is not None]
-                else:
-                    own += values
-            vals.append(own)
-            opens.append(maybe)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vals, pa.list_(pa.string())), pa.array(opens, pa.list_(pa.string()))], schema=_PARSED)
+        vals, texts, words = [], [], []
+        for key in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            got = known.get(key)
+            if got is None:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                got = known[key] = parse(*key)
+            vals.append(got[0])
+            texts.append(key[0] if got[1] else None)
+            words.append(got[2])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(vals, pa.list_(pa.string())), pa.array(texts, pa.string()), pa.array(words, pa.int32())], names=["tab", "field", "row_key", "numbered", "vals", "txt", "words"])
+
+
+def _candidates(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every value on the lattices of each ambiguous text."""
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for txt, numbered in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                out.append(sorted({v for run in runs(txt, numbered) if certain(run) is None for _, _, v in arcs(run, longest) if v is not None}))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], names=["tab", "field", "txt", "numbered", "n", "open"])
+
+    return apply
 
-def _over_lattices(decode: bool, total: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def _over_lattices(decode: bool, totals: dict[tuple[str, str], float], longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per text with its candidates' counts: expected counts (one row a value) or the decoded values."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for txt, numbered, n, known in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                counts = {x["value"]: x["count"] for x in known or () if x["count"] is not None}
+            for tab, field, txt, numbered, n, known in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                counts, total = {x["value"]: x["count"] for x in known or ()}, totals.get((tab, field), 0.0)
                 parsed = runs(txt, numbered)
                 if decode:
-                    out.append((txt, numbered, [v for run in parsed for v in (certain(run) if certain(run) is not None else viterbi(run, counts, total))]))
+                    out.append((tab, field, txt, [v for run in parsed for v in (certain(run) if certain(run) is not None else viterbi(run, counts, total, longest))]))
                 else:
                     for run in parsed:
                         if certain(run) is None:
                             # A value of several atoms is counted from its certain occurrences only.
                             atoms = {atom for atom, _ in run}
-                            out += [(v, e * n) for v, e in expected(run, counts, total).items() if v in atoms]
-            if decode:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.bool_()), pa.array([r[2] for r in out], pa.list_(pa.string()))], names=["txt", "numbered", "vals"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64())], names=["value", "more"])
+                            out += [(tab, field, v, e * n) for v, e in expected(run, counts, total, longest).items() if v in atoms]
+            last = pa.list_(pa.string()) if decode else pa.float64()
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], pa.string()) for i in range(3)), pa.array([r[3] for r in out], last)], names=["tab", "field", "txt", "vals"] if decode else ["tab", "field", "value", "more"])
 
     return apply
 
 
-def unpack(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """cells(tab, field, row_key, txt, numbered) -> (tab, field, row_key, pos, val), one row a value."""
-    texts = cells.where(F.length(F.trim("txt")) > 0).groupBy("txt", "numbered").agg(F.count("*").alias("n"))
-    parsed = staged(spread(texts, "txt").mapInArrow(_parse, _PARSED_DDL), "packed")
-    sure = parsed.select("n", F.explode("vals").alias("value")).groupBy("value").agg(F.sum("n").alias("base"))
-    total = float(parsed.agg(F.sum(F.col("n") * F.size("vals"))).first()[0] or 0)
-    candidates = parsed.where(F.size("open") > 0).select("txt", "numbered", "n", F.explode(F.array_distinct("open")).alias("value"))
-    # Every lattice value with its certain count; only these take part in the iterations.
-    lattice = staged(candidates.join(sure, "value", "left").select("txt", "numbered", "n", "value", F.coalesce("base", F.lit(0)).cast("double").alias("base")), "lattice")
-
-    def with_counts(counts: DataFrame) -> DataFrame:
-        joined = lattice.join(counts, "value", "left").select("txt", "numbered", "n", F.struct("value", (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("count")).alias("c"))
-        return spread(joined, "txt").groupBy("txt", "numbered", "n").agg(F.collect_list("c").alias("known"))
-
-    counts = lattice.select("value", F.lit(0.0).alias("more")).distinct()
-    for _ in range(rounds):
-        counts = staged(with_counts(counts).mapInArrow(_over_lattices(False, total), "value string, more double").groupBy("value").agg(F.sum("more").alias("more")), "counts")
-    decoded = with_counts(counts).mapInArrow(_over_lattices(True, total), "txt string, numbered boolean, vals array<string>")
-    read = parsed.where(F.size("open") == 0).select("txt", "numbered", "vals").unionByName(decoded)
-    return cells.join(read, ["txt", "numbered"]).select("tab", "field", "row_key", F.posexplode("vals").alias("pos", "val"))
+def unpack(cells: DataFrame) -> DataFrame:
+    """cells(tab, field, row_key, txt, numbered) -> (tab, field, row_key, pos, val), one row a value.
+
+    numbered is the same for all cells of a field.
+    """
+    column, value = ["tab", "field"], ["tab", "field", "value"]
+    full = cells.where(F.length(F.trim("txt")) > 0).select("tab", "field", F.col("row_key").cast("bigint"), "txt", "numbered")
+    parsed = staged(spread(full).mapInArrow(_parse, _PARSED_DDL), "packed")
+    # One row a column of the input.
+    sizes = parsed.groupBy(*column).agg(F.sum(F.size("vals")).alias("n"), F.max("words").alias("words")).collect()
+    totals, longest = {(r["tab"], r["field"]): float(r["n"]) for r in sizes}, max([1, *(r["words"] for r in sizes)])
+    texts = parsed.where("txt is not null").groupBy("tab", "field", "txt", "numbered").agg(F.count("*").alias("n"))
+    open_ = staged(texts.mapInArrow(_candidates(longest), "tab string, field string, txt string, numbered boolean, n bigint, open array<string>").select("tab", "field", "txt", "numbered", "n", F.explode("open").alias("value")), "lattice")
+    wanted = open_.select(*value).distinct()
+    sure = parsed.select("tab", "field", F.explode("vals").alias("value")).join(small(wanted), value, "left_semi").groupBy(*value).agg(F.count("*").alias("base"))
+    counts = staged(wanted.join(sure, value, "left").select(*value, F.coalesce("base", F.lit(0)).cast("double").alias("base"), F.lit(0.0).alias("more"), F.lit(0.0).alias("before")), "counts")
+
+    def with_counts() -> DataFrame:
+        known = open_.join(counts.select(*value, F.struct("value", (F.col("base") + F.col("more")).alias("count")).alias("c")), value)
+        return known.groupBy("tab", "field", "txt", "numbered", "n").agg(F.collect_list("c").alias("known")).select("tab", "field", "txt", "numbered", "n", "known")
+
+    while True:
+        more = with_counts().mapInArrow(_over_lattices(False, totals, longest), "tab string, field string, value string, more double").groupBy(*value).agg(F.sum("more").alias("now"))
+        counts = staged(counts.join(more, value, "left").select(*value, "base", F.coalesce("now", F.lit(0.0)).alias("more"), F.col("more").alias("before")), "counts")
+        moved = counts.agg(F.max(F.abs(F.col("more") - F.col("before")) / (F.col("base") + F.col("more") + 1.0))).first()[0]
+        if (moved or 0.0) <= TOLERANCE:
+            break
+    decoded = with_counts().mapInArrow(_over_lattices(True, totals, longest), "tab string, field string, txt string, vals array<string>")
+    read = parsed.where("txt is null").select("tab", "field", "row_key", "vals").unionByName(parsed.where("txt is not null").select("tab", "field", "row_key", "txt").join(decoded, ["tab", "field", "txt"]).select("tab", "field", "row_key", "vals"))
+    return read.select("tab", "field", "row_key", F.posexplode("vals").alias("pos", "val"))
 
 
 def packed_cells(spark, sf_dir: str) -> DataFrame:

@@ -49,3 +49,21 @@ def test_written_tables_keep_links_and_extra_columns(spark, tmp_path):
     parents = {r.pk for r in methods.collect()}
     assert {r.parent_pk for r in failures.collect()} <= parents
     assert nested.found(df.limit(0)).count() == 0
+
+
+def test_no_leaf_is_lost_and_records_are_the_root(spark, tmp_path):
+    body = json.dumps({"metadata": {"created": "d", "more": {"deep": [1, [2, None], {}]}}, "tests": {"total": 3}, "flag": True, "ode": {"failures": ["T1"]}})
+    twice = body
+    for _ in range(8):
+        twice = json.dumps(twice)
+    df = spark.createDataFrame([(1, body, "net", "accuracy_metrics", 2), (2, "{broken", "net", "x", None), (3, twice, None, None, None)], "record_id long, body string, network string, kind string, iteration int")
+    path = nested.write_tables(df, str(tmp_path / "t"))
+    records = {r.pk: r for r in nested.read_table(spark, path, "records").collect()}
+    assert len(records) == 3 and records["1"].network == "net" and records["1"].item == "accuracy_metrics" and records["1"].readable and not records["2"].readable
+    leaves = nested.read_table(spark, path, "leaves").where("record_id = 1").collect()
+    assert {(r.path, r.kind, r.value) for r in leaves} == {
+        ("$.metadata.created", "string", "d"), ("$.metadata.more.deep[0]", "number", "1"), ("$.metadata.more.deep[1][0]", "number", "2"), ("$.metadata.more.deep[1][1]", "null", None),
+        ("$.metadata.more.deep[2]", "object", "{}"), ("$.tests.total", "number", "3"), ("$.flag", "boolean", "true"), ("$.ode.failures[0]", "string", "T1"),
+    }
+    assert {r.parent_pk for r in leaves if r.path.startswith("$.metadata.more.deep[1]")} == {"1/$.metadata.more.deep[1]"}
+    assert nested.read_table(spark, path, "failures").where("record_id = 3").count() == 1 and nested.read_table(spark, path, "leaves").where("record_id = 3").count() == 8

@@ -1,6 +1,8 @@
 from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sprigwork.operators import packed as P
 
@@ -21,6 +23,17 @@ def names(text, numbered=False):
 )
 def test_shapes(text, numbered, want):
     assert names(text, numbered) == want
+    quick = P.easy(text, numbered)
+    assert quick is None or quick == want
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("AB10 ;,|&=:.'\"[]-+_")), max_size=30), st.booleans())
+def test_quick_reading_equals_the_parser(text, numbered):
+    quick = P.easy(text, numbered)
+    if quick is not None:
+        parsed = P.runs(text, numbered)
+        assert all(P.certain(run) is not None for run in parsed) and quick == [v for run in parsed for v in P.certain(run)]
 
 
 def test_learned_value_keeps_its_blank_and_others_split():
@@ -64,3 +77,13 @@ def test_names_of_middling_frequency_split_at_connectors_in_a_large_column(spark
     got = P.unpack(cells).where("row_key >= 25000").orderBy("row_key", "pos").collect()
     want = [v for i in range(300) for v in (f"N{i}", f"M{i}", f"N{i + 1}")] + ["N1 and M1"] * 40 + ["N2 x", "N2"] * 40 + ["N2 x"]
     assert [r.val for r in got] == want
+
+
+def test_long_values_are_kept_whole_and_each_column_has_its_own_counts(spark):
+    long = "one two three four five six"
+    rows = [("t", "f", i, f'"{long}"') for i in range(30)] + [("t", "f", 100, f"X; {long}"), ("t", "g", 200, f"X; {long}")]
+    cells = spark.createDataFrame([(*r, False) for r in rows], "tab string, field string, row_key long, txt string, numbered boolean")
+    got = {}
+    for r in P.unpack(cells).where("row_key >= 100").orderBy("row_key", "pos").collect():
+        got.setdefault(r.row_key, []).append(r.val)
+    assert got == {100: ["X", long], 200: ["X", *long.split()]}
