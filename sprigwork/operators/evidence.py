@@ -1,8 +1,13 @@
 """Resolution of claims against paper texts: locate supporting sentences, score them, settle each claim.
 
-Claims name two nodes and a sign; papers bring abstracts (and full texts). A claim meets only its own paper by DOI first;
-what that leaves open meets the sentences that name both nodes, in any spelling that alias_pattern accepts, over an
-equi-join on (node, node) pairs that come from the sentences themselves. Nothing is paired without a shared name.
+Claims name two nodes and a sign; papers bring abstracts and full texts, a row a text. Every node has the spellings of its
+alias index; which sentence names which node is found once, over an equi-join on the rarest word of each spelling, and all
+steps read that table. A claim meets its own paper first, abstracts before full texts. What that leaves open is searched in
+the abstracts of all papers, and what is still open then in all full texts. Pairs of nodes come from the sentences, a few
+names each, so nothing is paired without a shared sentence.
+
+Defined results: a claim without or with an empty DOI has no paper on record; names without a letter, digit or mark are found
+nowhere; a null sign counts as 0; a null species brings no points; repeated claims are claims of their own by their key.
 """
 
 from __future__ import annotations
@@ -14,93 +19,157 @@ from pyspark.sql.window import Window
 from sprigwork.functions import text as T
 from sprigwork.session import staged
 
+#: What a sentence's score is made of, and the most it may be.
+ABSTRACT, FULL_TEXT, AGREES, OPPOSES, SAME_SPECIES, WHOLE_PHRASE, TIGHT, SECOND_HAND, MOST = 0.60, 0.50, 0.20, 0.02, 0.08, 0.04, 0.05, -0.18, 0.95
+
+
+def alias_index(names: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(name, alias, phrase): the normalised spellings of each distinct name, and whether one is of several words.
+
+    nodes(id, full_name): known nodes; their spellings count for every name that equals the id in any letter case.
+    """
+    own = names.select("name").distinct().select("name", T.aliases(F.col("name"), F.lit("")).alias("a"))
+    every = own.select("name", F.explode("a").alias("alias"))
+    if nodes is not None:
+        known = nodes.where("id is not null").select(F.upper("id").alias("k"), F.explode(T.aliases(F.col("id"), F.col("full_name"))).alias("alias")).distinct()
+        every = every.unionByName(own.select("name", F.upper("name").alias("k")).join(known, "k").select("name", "alias"))
+    plain = every.select("name", T.norm(F.col("alias")).alias("alias")).where(F.length("alias") >= 2).distinct()
+    return plain.withColumn("phrase", F.contains("alias", F.lit(" ")))
+
 
 def sentence_table(papers: DataFrame) -> DataFrame:
-    """papers(doi, abstract, fulltext) -> (doi, part, pos, sentence, plain); part is abstract or full_text."""
+    """papers(doi, abstract, fulltext[, year]) -> (sid, doi, year, part, section, pos, sentence, plain); part is abstract or full_text."""
+    year = F.col("year") if "year" in papers.columns else F.lit(None)
     parts = F.explode(F.array(F.struct(F.lit("abstract").alias("part"), F.col("abstract").alias("text")), F.struct(F.lit("full_text").alias("part"), F.col("fulltext").alias("text")))).alias("p")
-    rows = papers.select("doi", parts).where(F.length(F.coalesce("p.text", F.lit(""))) > 0).select("doi", "p.part", F.posexplode(T.sentences(F.col("p.text"))).alias("pos", "sentence"))
-    return rows.withColumn("plain", T.norm(F.col("sentence")))
+    rows = papers.select("doi", year.cast("int").alias("year"), parts).where(F.length(F.coalesce("p.text", F.lit(""))) > 0)
+    each = rows.select("doi", "year", "p.part", F.posexplode(T.sectioned_sentences(F.col("p.text"))).alias("pos", "x")).select("doi", "year", "part", "x.section", "pos", "x.sentence")
+    keyed = each.withColumn("sid", F.xxhash64("doi", "part", "section", "pos", "sentence")).withColumn("plain", T.norm(F.col("sentence")))
+    return keyed.groupBy("sid", "doi", "part", "section", "pos", "sentence", "plain").agg(F.min("year").alias("year"))
+
+
+def _words(col: Column) -> Column:
+    """Distinct runs of letters and digits, and other marks but blanks."""
+    return F.array_distinct(F.regexp_extract_all(col, F.lit(r"[a-z0-9]+|[^a-z0-9\s]"), 0))
+
+
+def mentions(index: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(name, sid, doi, part, phrase) of every sentence that names a node in some spelling.
+
+    A sentence that holds a spelling holds all its words, the last perhaps with a plural s; a spelling meets the sentences of
+    its rarest word only, and its pattern decides.
+    """
+    # A word that ends in s stands for its singular too.
+    forms = F.explode(F.array_distinct(F.flatten(F.transform(_words(F.col("plain")), lambda w: F.array(w, F.regexp_replace(w, "(?<=.)s$", "")))))).alias("word")
+    posts = sentences.select("sid", forms)
+    spellings = index.select("alias").distinct()
+    parts = spellings.select("alias", F.explode(_words(F.col("alias"))).alias("word"))
+    often = posts.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = parts.join(often, "word", "left").groupBy("alias").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    met = rarest.join(posts, "word").select("alias", "sid").join(sentences.select("sid", "doi", "part", "plain"), "sid")
+    holds = F.contains("plain", F.col("alias")) & F.rlike("plain", T.alias_pattern(F.col("alias")))
+    said = met.where(holds).select("alias", "sid", "doi", "part")
+    return said.join(index, "alias").groupBy("name", "sid", "doi", "part").agg(F.max("phrase").alias("phrase"))
 
 
-def support_score(part: Column, plain: Column, sentence: Column, sign: Column) -> Column:
-    """Score of a sentence that names both nodes: place, direction words, length; at most 0.95."""
+def support_score(part: Column, section: Column, plain: Column, sentence: Column, sign: Column, species: Column, phrases: Column) -> Column:
+    """Score of a sentence that names both nodes: place, direction words, species, whole phrases, length, whose finding it is."""
     cue = T.cue_sign(plain)
-    base = F.when(part == "abstract", 0.60).otherwise(0.50)
-    agree = F.when((sign != 0) & (cue == sign), 0.20).when((sign != 0) & (cue == -sign), 0.02).otherwise(0.0)
-    return F.least(F.lit(0.95), base + agree + F.when(F.length(sentence) <= 300, 0.05).otherwise(0.0))
+    words = F.filter(F.split(T.norm(F.coalesce(species, F.lit(""))), " "), lambda w: F.length(w) > 3)
+    score = F.when(part == "abstract", ABSTRACT).otherwise(FULL_TEXT)
+    score = score + F.when((sign != 0) & (cue == sign), AGREES).when((sign != 0) & (cue == -sign), OPPOSES).otherwise(0.0)
+    score = score + F.when(F.exists(words, lambda w: F.contains(plain, w)), SAME_SPECIES).otherwise(0.0)
+    score = score + phrases * WHOLE_PHRASE + F.when(F.length(sentence) <= 300, TIGHT).otherwise(0.0)
+    return score + F.when((part == "full_text") & section.rlike(T.SECOND_HAND), SECOND_HAND).otherwise(0.0)
 
 
-def supports(claims: DataFrame, sentences: DataFrame) -> DataFrame:
-    """claims(claim, a, b, sign, doi), sentences with the same doi -> (claim, doi, sentence, part, score, direction_ok) of the best."""
-    j = claims.join(sentences, "doi")
-    return _best(j.where(_holds(F.col("plain"), F.col("a")) & _holds(F.col("plain"), F.col("b"))), ["claim"])
+def _both(pairs: DataFrame, named: DataFrame, on_record: bool) -> DataFrame:
+    """pairs(a, b, ...[, doi]) with the sentences that name both nodes, of the paper on record or of any."""
+    side = lambda x: named.select(F.col("name").alias(x), "sid", "doi", F.col("phrase").cast("int").alias(f"phrase_{x}"))
+    if on_record:
+        return pairs.join(side("a"), ["a", "doi"]).join(side("b").drop("doi"), ["b", "sid"])
+    return side("a").join(side("b").drop("doi"), "sid").join(pairs.drop("doi"), ["a", "b"])
 
 
-def _best(named: DataFrame, keys: list[str]) -> DataFrame:
-    """Of the sentences that name both nodes the best of each key."""
+def _scored(both: DataFrame, sentences: DataFrame) -> DataFrame:
+    j = both.join(sentences.drop("doi"), "sid")
     cue = T.cue_sign(F.col("plain"))
-    scored = named.select(*keys, "doi", "sentence", "part", "pos", support_score(F.col("part"), F.col("plain"), F.col("sentence"), F.col("sign")).alias("score"), ((F.col("sign") == 0) | (cue == 0) | (cue == F.col("sign"))).alias("direction_ok"))
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "part", "doi", "pos", "sentence")
-    return scored.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "pos")
-
+    raw = support_score(F.col("part"), F.col("section"), F.col("plain"), F.col("sentence"), F.col("sign"), F.col("species"), F.col("phrase_a") + F.col("phrase_b"))
+    return j.withColumn("raw", raw).withColumn("score", F.round(F.least(F.col("raw"), F.lit(MOST)), 2)).withColumn("direction_ok", (F.col("sign") == 0) | (cue == 0) | (cue == F.col("sign")))
 
-def _holds(plain: Column, name: Column) -> Column:
-    """Whether a normalised sentence names a node; a plain search throws out nearly all before a pattern is built."""
-    low = F.lower(name)
-    near = F.contains(plain, low) | F.contains(plain, F.regexp_replace(low, "_+", " "))
-    return near & F.rlike(plain, T.alias_pattern(name))
 
+def _first(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
-def _words(col: Column) -> Column:
-    """Distinct parts of a text that a name's spellings share: runs of letters and digits, and other marks but underscores."""
-    return F.array_distinct(F.regexp_extract_all(col, F.lit(r"[a-z0-9]+|[^a-z0-9_\s]"), 0))
 
+#: A paper's own finding before a restatement of others': abstract, section of its own, second-hand section.
+def tier(part: Column, section: Column) -> Column:
+    return F.when(part == "abstract", 0).when(~section.rlike(T.SECOND_HAND), 1).otherwise(2)
 
-def mentions(names: DataFrame, sentences: DataFrame) -> DataFrame:
-    """names(name), sentences(sid, plain) -> (name, sid) of every sentence that names it in a spelling of alias_pattern.
 
-    A sentence that holds a name holds all its words, the last perhaps with a plural s; a name meets the sentences of its
-    rarest word only, and the pattern decides.
-    """
-    # A word that ends in s stands for its singular too.
-    forms = F.explode(F.array_distinct(F.flatten(F.transform(_words(F.col("plain")), lambda w: F.array(w, F.regexp_replace(w, "(?<=.)s$", "")))))).alias("word")
-    posts = sentences.select("sid", forms)
-    parts = names.select("name", F.explode(_words(F.lower("name"))).alias("word"))
-    often = posts.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    rarest = parts.join(often, "word", "left").groupBy("name").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    met = rarest.join(posts, "word").select("name", "sid").join(sentences.select("sid", "plain"), "sid")
-    return met.where(_holds(F.col("plain"), F.col("name"))).select("name", "sid")
+_FOUND = ("doi", "sentence", "part", "section", "score", "direction_ok", "n_supports", "searched")
 
 
-def search(pairs: DataFrame, sentences: DataFrame) -> DataFrame:
-    """pairs(a, b, sign) -> the best sentence of any paper that names both, as supports() ranks them."""
-    text = staged(sentences.withColumn("sid", F.xxhash64("doi", "part", "pos", "sentence")).dropDuplicates(["sid", "doi", "part", "pos", "sentence"]), "sentences")
-    names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    named = staged(mentions(names, text), "mentions")
-    # The pairs come from the sentences, a few names each, so no frequent name is ever multiplied by a frequent one.
-    both = named.withColumnRenamed("name", "a").join(named.withColumnRenamed("name", "b"), "sid").join(pairs, ["a", "b"])
-    return _best(both.join(text, "sid"), ["a", "b", "sign"])
+def verified(claims: DataFrame, named: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Claims that the paper on record supports: its abstracts are asked before its full texts, the best sentence counts."""
+    hits = _scored(_both(claims.where(F.length(F.coalesce("doi", F.lit(""))) > 0), named, True), sentences)
+    best = _first(hits, ["claim"], F.col("part"), F.col("raw").desc(), F.col("pos"), F.col("sentence"))
+    return best.select("claim", "doi", "sentence", "part", "section", "score", "direction_ok", F.lit(1).cast("bigint").alias("n_supports"), F.lit(0).alias("searched"))
 
 
-def resolve(claims: DataFrame, papers: DataFrame, min_supports: int = 1) -> DataFrame:
-    """(claim, status, doi, sentence, part, score): verified by the paper on record, repaired by another, or quarantined.
+def searched(claims: DataFrame, named: DataFrame, sentences: DataFrame, part: str, round_: int, min_supports: int) -> DataFrame:
+    """Claims that other papers support in a part of their texts: of all these papers the most primary one.
 
-    Search is for claims left open only; candidates must hold both names. Of several the best score counts, then the DOI.
+    Of each paper the best sentence counts; a claim needs min_supports papers. The most primary paper reports a finding of its
+    own before one of others, is the oldest, then the one of the highest score.
+    """
+    open_ = claims.withColumn("on_record", F.coalesce("doi", F.lit("")))
+    pairs = open_.select("a", "b", "sign", "species").distinct()
+    text = sentences.where(F.col("part") == part)
+    hits = _scored(_both(pairs, named.where(F.col("part") == part), False), text)
+    by_paper = staged(_first(hits, ["a", "b", "sign", "species", "doi"], F.col("raw").desc(), F.col("pos"), F.col("sentence")).drop("pos", "plain", "sid"), "supports")
+    key = [open_[c].eqNullSafe(by_paper[c]) if c == "species" else open_[c] == by_paper[c] for c in ("a", "b", "sign", "species")]
+    met = open_.join(by_paper, key).where(by_paper["doi"] != open_["on_record"]).select(open_["claim"], *[by_paper[c] for c in ("doi", "sentence", "part", "section", "score", "direction_ok", "year")])
+    counted = met.withColumn("n_supports", F.count("*").over(Window.partitionBy("claim"))).where(F.col("n_supports") >= min_supports)
+    best = _first(counted, ["claim"], tier(F.col("part"), F.col("section")), F.coalesce("year", F.lit(9999)), F.col("score").desc(), F.col("doi"))
+    return best.withColumn("searched", F.lit(round_)).select("claim", *_FOUND)
+
+
+def resolve(claims: DataFrame, papers: DataFrame, nodes: DataFrame | None = None, min_supports: int = 1, second_pass: bool = True) -> DataFrame:
+    """(claim, status, doi, sentence, part, section, score, direction_ok, n_supports, searched): verified by the paper on record,
+    repaired by another, or quarantined.
+
+    claims(claim, a, b, sign, doi[, species]), papers(doi, abstract, fulltext[, year]), nodes(id, full_name). searched: 0 the
+    paper on record, 1 the abstracts of all papers, 2 their full texts (the second pass, for what is still open).
+    min_supports: papers that must support a repair.
     """
-    text = sentence_table(papers)
-    own = staged(supports(claims.where("doi is not null and doi <> ''"), text), "own")
-    verified = own.select("claim", F.lit("verified").alias("status"), "doi", "sentence", "part", "score", "direction_ok")
-    left = claims.join(verified.select("claim"), "claim", "left_anti")
-    found = left.select("claim", "a", "b", "sign").join(search(left.select("a", "b", "sign").distinct(), text), ["a", "b", "sign"])
-    repaired = found.select("claim", F.lit("repaired").alias("status"), "doi", "sentence", "part", "score", "direction_ok")
-    rest = left.join(repaired.select("claim"), "claim", "left_anti").select("claim", F.lit("quarantine").alias("status"), *[F.lit(None).cast(t).alias(n) for n, t in (("doi", "string"), ("sentence", "string"), ("part", "string"), ("score", "double"), ("direction_ok", "boolean"))])
-    return verified.unionByName(repaired).unionByName(rest)
+    species = F.col("species") if "species" in claims.columns else F.lit(None).cast("string")
+    asked = staged(claims.select("claim", "a", "b", F.coalesce("sign", F.lit(0)).alias("sign"), "doi", species.alias("species")), "claims")
+    text = staged(sentence_table(papers), "sentences")
+    names = asked.select(F.col("a").alias("name")).union(asked.select("b")).distinct()
+    named = staged(mentions(staged(alias_index(names, nodes), "aliases"), text), "mentions")
+    own = staged(verified(asked, named, text), "verified")
+    left = asked.join(own.select("claim"), "claim", "left_anti")
+    first = staged(searched(left, named, text, "abstract", 1, min_supports), "repaired")
+    found = own.select("claim", F.lit("verified").alias("status"), *_FOUND).unionByName(first.select("claim", F.lit("repaired").alias("status"), *_FOUND))
+    left = left.join(first.select("claim"), "claim", "left_anti")
+    if second_pass:
+        second = staged(searched(left, named, text, "full_text", 2, min_supports), "repaired")
+        found = found.unionByName(second.select("claim", F.lit("repaired").alias("status"), *_FOUND))
+        left = left.join(second.select("claim"), "claim", "left_anti")
+    kinds = dict(found.dtypes)
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in _FOUND[:-2]]
+    rest = left.select("claim", F.lit("quarantine").alias("status"), *none, F.lit(0).cast("bigint").alias("n_supports"), F.lit(2 if second_pass else 1).alias("searched"))
+    return found.unionByName(rest)
 
 
 def trail(resolved: DataFrame, claims: DataFrame) -> DataFrame:
-    """Attempts per claim as ARRAY<STRUCT<action, outcome>>."""
+    """Attempts per claim as ARRAY<STRUCT<action, outcome>>: the paper on record, the search, and the retry of the second pass."""
     j = claims.select("claim", F.col("doi").alias("on_record")).join(resolved, "claim")
-    blank = F.coalesce(F.col("on_record") == "", F.lit(True))
-    first = F.struct(F.lit("by_doi").alias("action"), F.when(F.col("status") == "verified", "grounded").when(blank, "miss").otherwise("ungrounded").alias("outcome"))
-    second = F.struct(F.lit("search").alias("action"), F.when(F.col("status") == "repaired", "grounded").otherwise("miss").alias("outcome"))
-    return j.select("claim", "status", F.when(F.col("status") == "verified", F.array(first)).otherwise(F.array(first, second)).alias("tried"))
+    blank = F.length(F.coalesce("on_record", F.lit(""))) == 0
+    step = lambda action, outcome: F.struct(F.lit(action).alias("action"), outcome.alias("outcome"))
+    hit = lambda round_: F.when((F.col("status") == "repaired") & (F.col("searched") == round_), "grounded").otherwise("miss")
+    on_record = F.array(step("by_doi", F.when(F.col("status") == "verified", "grounded").when(blank, "miss").otherwise("ungrounded")))
+    search = F.when(F.col("searched") >= 1, F.array(step("search", hit(1)))).otherwise(F.array().cast("array<struct<action:string,outcome:string>>"))
+    again = F.when(F.col("searched") >= 2, F.array(step("retry", F.lit("full_text")), step("search", hit(2)))).otherwise(F.array().cast("array<struct<action:string,outcome:string>>"))
+    return j.select("claim", "status", F.concat(on_record, search, again).alias("tried"))

@@ -6,28 +6,35 @@ written to the shared folder, so plans stay small and a lost executor costs one
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sprigwork.session import staged
-
-#: Levels after which a search ends even if nodes are still being found.
-MAX_LEVELS = 64
+from sprigwork.session import new_path, staged
 
 
-def distances(edges: DataFrame, goals: DataFrame, backward: bool = True, max_hops: int = MAX_LEVELS, paths: bool = False, stop: DataFrame | None = None) -> DataFrame:
+def distances(edges: DataFrame, goals: DataFrame, backward: bool = True, max_hops: int | None = None, paths: bool = False, stop: DataFrame | None = None) -> DataFrame:
     """(network, node, hops[, path]) of the nodes that reach a goal (backward) or are reached from one.
 
-    goals(network, node). Of equally short paths the one over the smallest names counts. stop(network, node): nodes that
+    goals(network, node). The search ends when a level finds no new node, or behind max_hops where the caller asks for a
+    neighbourhood. Of equally short paths the one over the smallest names counts. stop(network, node): nodes that
     are reached but not passed.
     """
+    spark = edges.sparkSession
     near, far = ("target", "source") if backward else ("source", "target")
     first = goals.select("network", "node").distinct().withColumn("hops", F.lit(0))
     first = first.withColumn("path", F.array("node")) if paths else first
-    seen = frontier = staged(first, "level")
-    links = edges.select("network", F.col(near).alias("node"), F.col(far).alias("next")).distinct()
-    for hop in range(1, max_hops + 1):
+    links = staged(edges.select("network", F.col(near).alias("node"), F.col(far).alias("next")).distinct(), "links")
+    # All levels lie in one folder, so that what was seen is one scan however many levels there are.
+    folder = new_path(spark, "levels")
+    read = lambda path: spark.read.schema(first.schema).option("recursiveFileLookup", True).parquet(path)
+    first.write.parquet(f"{folder}/0")
+    frontier = seen = read(folder)
+    for hop in count(1):
+        if max_hops is not None and hop > max_hops:
+            break
         open_nodes = frontier.join(stop, ["network", "node"], "left_anti") if stop is not None and hop > 1 else frontier
         step = links.join(open_nodes, ["network", "node"])
         if paths:
@@ -36,10 +43,11 @@ def distances(edges: DataFrame, goals: DataFrame, backward: bool = True, max_hop
         else:
             step = step.select("network", "next").distinct()
         step = step.withColumnRenamed("next", "node").withColumn("hops", F.lit(hop))
-        frontier = staged(step.join(seen, ["network", "node"], "left_anti").select(*seen.columns), "level")
+        step.join(seen, ["network", "node"], "left_anti").select(*first.columns).write.parquet(f"{folder}/{hop}")
+        frontier = read(f"{folder}/{hop}")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = read(folder)
     return seen
 
 
@@ -101,15 +109,15 @@ def repaired(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.join(regulated, ["network", "id"], "left").withColumn("is_source", F.col("regulated").isNull()).drop("regulated"), kept_edges
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_LEVELS) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(network, node, component): undirected components named by their smallest node.
 
     Every node takes the smallest label around it, then the label of its label, so long chains shrink by halves.
     """
-    both = edges.select("network", F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("network", F.col("target"), F.col("source"))).distinct()
+    both = staged(edges.select("network", F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("network", F.col("target"), F.col("source"))).distinct(), "links")
     every = nodes.select("network", F.col("id").alias("node")).union(both.select("network", "a")).distinct()
     labels = staged(every.withColumn("component", F.col("node")), "labels")
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(labels.select("network", F.col("node").alias("b"), "component"), ["network", "b"]).groupBy("network", F.col("a").alias("node")).agg(F.min("component").alias("near"))
         low = labels.join(near, ["network", "node"], "left").select("network", "node", F.least("component", F.coalesce("near", "component")).alias("new"), F.col("component").alias("old"))
         jump = labels.select("network", F.col("node").alias("new"), F.col("component").alias("far"))

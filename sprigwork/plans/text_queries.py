@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 W = f"WITH {SQL_NODES}, {SQL_EDGES}"
-_NORM = f"trim(regexp_replace(regexp_replace(lower(translate(translate({{0}}, '{T.QUOTE_MARKS}', '{T.QUOTE_PLAIN.replace(chr(39), chr(39) * 2)}'), '{T.DASHES}', '{'-' * len(T.DASHES)}')), '\\s+', ' ', 'g'), '-{{{{2,}}}}', '-', 'g'))"
+_NORM = f"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(translate(translate(translate({{0}}, '{T.BLANKS}', '{' ' * len(T.BLANKS)}'), '{T.QUOTE_MARKS}', '{T.QUOTE_PLAIN.replace(chr(39), chr(39) * 2)}'), '{T.DASHES}', '{'-' * len(T.DASHES)}'))), '[^\\x00-\\x7F]+', '', 'g'), '\\s+', ' ', 'g'), '-{{{{2,}}}}', '-', 'g'))"
 
 
 def _norm(col: str) -> str:
@@ -68,9 +68,43 @@ def _paper_texts(spark, d: str) -> DataFrame:
     return texts.unionByName(rows.select("doi").distinct().join(texts, "doi", "left_anti").select("doi", none.alias("abstract"), none.alias("fulltext")))
 
 
+def _dated(spark, d: str) -> DataFrame:
+    """The texts with the earliest year of their DOI."""
+    p = load(spark, d, "papers")
+    year = F.min("year") if "year" in p.columns else F.lit(None).cast("int")
+    years = p.withColumn("k", bare_doi(F.col("doi"))).where("k <> ''").groupBy(F.col("k").alias("doi")).agg(year.alias("year"))
+    return _paper_texts(spark, d).join(years, "doi", "left")
+
+
+def _species(spark, d: str) -> DataFrame:
+    """The species of each network, as its earliest result has it."""
+    return load(spark, d, "master_test_level").where("network is not null").groupBy("network").agg(F.min_by("species", "master_key").alias("species"))
+
+
+_CLAIMS = f"""claims AS (
+  SELECT 'edge' AS kind, edge_key AS key, network, source AS a, target AS b, coalesce(sign, 0) AS sign, {_DOI.replace("doi", "coalesce(doi, '')", 1)} AS doi FROM network_edges WHERE length(trim(source)) > 0 AND length(trim(target)) > 0
+  UNION ALL SELECT 'test', r.pert_key, r.network, r.gene, p.id, CASE WHEN lower(trim(expected_direction)) IN ('up', 'increased') THEN 1 WHEN lower(trim(expected_direction)) IN ('dn', 'decreased') THEN -1 ELSE 0 END, {_DOI.replace("doi", "coalesce(r.doi, '')", 1)}
+  FROM reconciled_perturbations r JOIN (SELECT network, min(id) AS id FROM nodes WHERE type = 'PHENOTYPE' GROUP BY 1) p ON p.network = r.network WHERE length(trim(r.gene)) > 0)"""
+
+
 def _claims(spark, d: str) -> DataFrame:
+    """Claims of edges (source, target, sign) and of tests (gene, phenotype, observed direction)."""
     e = load(spark, d, "network_edges").where("length(trim(source)) > 0 and length(trim(target)) > 0")
-    return e.select(F.col("edge_key").alias("claim"), F.col("source").alias("a"), F.col("target").alias("b"), F.coalesce("sign", F.lit(0)).alias("sign"), bare_doi(F.coalesce("doi", F.lit(""))).alias("doi"))
+    edges = e.select(F.lit("edge").alias("kind"), F.col("edge_key").alias("key"), "network", F.col("source").alias("a"), F.col("target").alias("b"), F.coalesce("sign", F.lit(0)).alias("sign"), bare_doi(F.coalesce("doi", F.lit(""))).alias("doi"))
+    ph = live_nodes(spark, d).where("type = 'PHENOTYPE'").groupBy("network").agg(F.min("id").alias("b"))
+    seen = F.lower(F.trim("expected_direction"))
+    t = load(spark, d, "reconciled_perturbations").where("length(trim(gene)) > 0").join(ph, "network")
+    tests = t.select(F.lit("test").alias("kind"), F.col("pert_key").alias("key"), "network", F.col("gene").alias("a"), "b", F.when(seen.isin("up", "increased"), 1).when(seen.isin("dn", "decreased"), -1).otherwise(0).alias("sign"), bare_doi(F.coalesce("doi", F.lit(""))).alias("doi"))
+    return edges.unionByName(tests)
+
+
+def _asked(spark, d: str) -> DataFrame:
+    """The claims as resolve() takes them."""
+    return _claims(spark, d).join(_species(spark, d), "network", "left").select(F.concat_ws(":", "kind", "key").alias("claim"), "a", "b", "sign", "doi", "species")
+
+
+def _resolved(spark, d: str) -> DataFrame:
+    return E.resolve(_asked(spark, d), _dated(spark, d), live_nodes(spark, d).select("id", "full_name"))
 
 
 @query()
@@ -85,15 +119,17 @@ def str5_located_quotes(spark, d: str) -> DataFrame:
     return best.select("edge_key", "x.start", "x.end", "x.locator")
 
 
-@query()
+_SENT = "list_filter(flatten(list_transform(list_filter(list_transform(string_split(coalesce(abstract, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '## ')), lambda x: list_transform(string_split(regexp_replace(x, '([.!?])[\"'')\\]]?\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s)))), lambda s: s <> '')"
+
+
+@query(f"SELECT paper_key, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS pos, unnest(s) AS sentence FROM (SELECT paper_key, {_SENT} AS s FROM papers)")
 def str7_sentences(spark, d: str) -> DataFrame:
-    return load(spark, d, "papers").select("paper_key", F.size(T.sentences(F.col("abstract"))).alias("n_sentences"))
+    return load(spark, d, "papers").select("paper_key", F.posexplode(T.sentences(F.col("abstract"))).alias("pos", "sentence"))
 
 
 @query()
 def str8_aliases(spark, d: str) -> DataFrame:
-    kb = load(spark, d, "kb_nodes").select("kb_id", T.aliases_udf(F.col("kb_node"), F.col("full_name")).alias("a"))
-    return kb.select("kb_id", F.explode("a").alias("alias"))
+    return load(spark, d, "kb_nodes").select("kb_id", F.explode(T.aliases(F.col("kb_node"), F.col("full_name"))).alias("alias"))
 
 
 _POS, _NEG = "|".join(T.POSITIVE_CUES), "|".join(T.NEGATIVE_CUES)
@@ -127,9 +163,24 @@ def str14_first_author(spark, d: str) -> DataFrame:
     return load(spark, d, "papers").select("paper_key", T.first_author(F.col("authors")).alias("surname"))
 
 
-@query()
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NAMED = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), {_lit(chr(92) + 'b' + k + chr(92) + 'b')}) THEN {_lit(v)}" for k, v in (*T.GENERA.items(), *sorted(T.COMMON.items(), key=lambda x: -len(x[0])))) + " END"
+_PAIR = f"list_filter(list_transform(regexp_extract_all({{0}}, '{T.BINOMIAL}'), lambda x: regexp_replace(x, '\\.?\\s+', ' ')), lambda x: list_contains(k, x))[1]"
+_IN = lambda c: f"coalesce({_PAIR.replace('{0}', c)}, {_NAMED.replace('{0}', c)})"
+_PLANT = ", ".join(_lit(x) for x in T.ANIMAL_GENERA)
+
+
+@query(f"WITH known AS (SELECT species AS s FROM master_test_level WHERE species IS NOT NULL UNION SELECT unnest([{', '.join(_lit(x) for x in sorted({*T.GENERA.values(), *(v for v in T.COMMON.values() if ' ' in v)}))}])), "
+       f"f AS (SELECT paper_key, {_IN(chr(39) * 2 + ' || coalesce(title, ' + chr(39) * 2 + ')')} AS x, {_IN('coalesce(abstract, ' + chr(39) * 2 + ')')} AS y FROM papers, (SELECT list(s) AS k FROM known)) "
+       f"SELECT paper_key, coalesce(x, CASE WHEN lower(split_part(y, ' ', 1)) NOT IN ({_PLANT}) THEN y END, '') AS species FROM f")
 def str15_species(spark, d: str) -> DataFrame:
-    return load(spark, d, "papers").select("paper_key", T.species_of(F.concat_ws(" ", "title", "abstract")).alias("species"))
+    """Species of each paper from its title, then its abstract; known binomials are those of the results and of the tables."""
+    # One row a species: as many as organisms are studied.
+    known = [r[0] for r in load(spark, d, "master_test_level").select("species").distinct().where("species is not null").collect()]
+    return load(spark, d, "papers").select("paper_key", T.species_of(F.col("title"), F.col("abstract"), binomials=known).alias("species"))
 
 
 @query("WITH s AS (SELECT master_key, trim(regexp_replace(coalesce(species, ''), '\\s*\\([^)]*\\)', '', 'g')) AS s FROM master_test_level), p AS (SELECT master_key, s, regexp_split_to_array(s, '\\s+') AS w FROM s) SELECT master_key, CASE WHEN len(w) >= 2 AND regexp_matches(s, '^[A-Z]') THEN substr(s, 1, 1) || '. ' || w[2] ELSE s END AS short FROM p")
@@ -170,26 +221,43 @@ def str21_parsed_perturbations(spark, d: str) -> DataFrame:
     return x.select("pert_key", "x.gene", "x.kind")
 
 
+@query(f"{W}, {_CLAIMS} SELECT kind, key, network, a, b, sign, doi FROM claims")
+def evd1_claims(spark, d: str) -> DataFrame:
+    return _claims(spark, d)
+
+
+@query()
+def evd2_alias_index(spark, d: str) -> DataFrame:
+    """Spellings of every name in the claims, with those of the nodes of that name in any letter case."""
+    c = _claims(spark, d)
+    names = c.select(F.col("a").alias("name")).union(c.select("b"))
+    return E.alias_index(names, live_nodes(spark, d).select("id", "full_name"))
+
+
 @query()
 def evd3_resolved_claims(spark, d: str) -> DataFrame:
-    """Every edge's claim settled against the papers: verified, repaired or quarantined (EVD1, EVD3, STR9, STR11)."""
-    r = E.resolve(_claims(spark, d), _paper_texts(spark, d))
-    return r.select("claim", "status", "doi", "part", F.round("score", 4).alias("score"), "direction_ok")
+    """Every claim settled against the papers: verified, repaired or quarantined (EVD3, STR9, STR11)."""
+    return _resolved(spark, d).select("claim", "status", "doi", "part", "section", "score", "direction_ok", "n_supports", "searched")
+
+
+@query()
+def evd4_second_pass(spark, d: str) -> DataFrame:
+    """The claims that the first pass left open, and what the second, over the full texts, made of them."""
+    return _resolved(spark, d).where("searched = 2").select("claim", "status", "doi", "section", "score", "n_supports")
 
 
 @query()
 def evd6_attempt_trail(spark, d: str) -> DataFrame:
-    claims = _claims(spark, d)
-    t = E.trail(E.resolve(claims, _paper_texts(spark, d)), claims)
-    return t.groupBy("status", F.to_json("tried").alias("tried")).agg(F.count("*").alias("n"))
+    claims = _asked(spark, d)
+    return E.trail(_resolved(spark, d), claims).select("claim", "status", F.to_json("tried").alias("tried"))
 
 
-@query(f"WITH w AS (SELECT DISTINCT {_DOI} AS k FROM network_edges), h AS (SELECT DISTINCT {_DOI} AS k FROM papers) SELECT count(*) AS n_wanted, count(h.k) AS n_known FROM w LEFT JOIN h ON h.k = w.k WHERE w.k <> ''")
+@query(f"WITH w AS (SELECT {_DOI} AS k, count(*) AS n FROM network_edges GROUP BY 1), h AS (SELECT DISTINCT {_DOI} AS k FROM papers) SELECT w.k AS doi, w.n AS n_claims, h.k IS NOT NULL AS known FROM w LEFT JOIN h ON h.k = w.k WHERE w.k <> ''")
 def evd5_prefetch(spark, d: str) -> DataFrame:
-    """Distinct papers that the claims cite, and how many are there already."""
-    w = load(spark, d, "network_edges").select(bare_doi(F.col("doi")).alias("k")).where("k <> ''").distinct()
-    h = load(spark, d, "papers").select(bare_doi(F.col("doi")).alias("k")).distinct().withColumn("h", F.lit(1))
-    return w.join(h, "k", "left").agg(F.count("*").alias("n_wanted"), F.count("h").alias("n_known"))
+    """The papers that the edges cite, one row each: how many edges wait for it, and whether it is there already."""
+    w = load(spark, d, "network_edges").select(bare_doi(F.col("doi")).alias("doi")).where("doi <> ''").groupBy("doi").agg(F.count("*").alias("n_claims"))
+    h = load(spark, d, "papers").select(bare_doi(F.col("doi")).alias("doi")).distinct().withColumn("h", F.lit(True))
+    return w.join(h, "doi", "left").select("doi", "n_claims", F.coalesce("h", F.lit(False)).alias("known"))
 
 
 # ---- codecs

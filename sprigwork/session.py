@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,10 +33,13 @@ def build_session(master: str = "local[*]", partitions: int = 8, app: str = "spr
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is made, set in the session and removed at exit.
+    Where the setting is absent on a local master (tests, a laptop) a temporary folder is made, set in the session and removed
+    at exit; on a cluster that would be one machine's folder, so it is an error there.
     """
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share; it is not set")
         path = tempfile.mkdtemp(prefix="sprigwork-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set(CHECKPOINT_KEY, path)

@@ -34,3 +34,12 @@ def test_components_equations_and_edits(spark):
 def test_empty(spark):
     nodes, edges = frames(spark)
     assert G.distances(edges.limit(0), G.phenotypes(nodes)).count() == 1 and G.components(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_a_chain_of_two_hundred_nodes_is_no_floating_one(spark):
+    names = [f"n{i:03d}" for i in range(200)]
+    edges = spark.createDataFrame([("n", a, b, 1) for a, b in zip(names, names[1:])], E)
+    nodes = spark.createDataFrame([("n", x, "PHENOTYPE" if x == names[-1] else "GENE", None) for x in names], N)
+    hops = {r.node: r.hops for r in G.distances(edges, G.phenotypes(nodes)).collect()}
+    assert hops == {x: 199 - i for i, x in enumerate(names)}
+    assert {r.component for r in G.components(nodes, edges).collect()} == {"n000"}

@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,19 +22,65 @@ def test_sentences(spark):
     assert got == ["We saw it.", "It was e.g. found (twice).", "Yes!", "Next line"]
 
 
-def test_locate_keeps_offsets():
+def test_locate_keeps_offsets(spark):
+    def locate(quote, abstract, fulltext):
+        df = spark.createDataFrame([(quote, abstract, fulltext)], "q string, a string, f string")
+        return df.select(T.located(F.col("q"), F.col("a"), F.col("f")).alias("x")).first().x
+
     abstract = "We found that “A–B”  is\nlow in seeds."
-    text, start, end, where = T.locate('"a-b" is low in seeds', abstract, None)
+    text, start, end, where = locate('"a-b" is low in seeds', abstract, None)
     assert abstract[start:end] == text and where == "abstract"
-    assert T.locate("short", abstract, None) is None and T.locate("not there at all, really", abstract, "") is None
-    assert T.locate("is low in all seeds", "", "## Results\nIt is low in all seeds.")[3] == "full_text:Results"
+    assert locate("short", abstract, None).text is None and locate("not there at all, really", abstract, "").text is None and locate(None, None, None).text is None
+    assert locate("is low in all seeds", "", "## Results\nIt is low in all seeds.").locator == "full_text:Results"
+    odd = "Über β-Carotin: die Wirkung (3.5 %) – naïve Pflanzen\u00a0wuchsen [1] schneller."
+    x = locate("die wirkung (3.5 %) -- naive pflanzen wuchsen [1]", None, "## One\nx\n## Two\n" + odd)
+    assert x.text == "die Wirkung (3.5 %) – naïve Pflanzen\u00a0wuchsen [1]" and x.locator == "full_text:Two"
+    y = locate("Uber -carotin: die Wirkung", odd, None)
+    assert y.start == 0 and odd[y.start : y.end] == y.text == "Über β-Carotin: die Wirkung"
+
+
+def test_normal_form_equals_a_plain_loop(spark):
+    def plain(text):
+        out = ""
+        for c in text:
+            c = T.QUOTE_PLAIN[T.QUOTE_MARKS.index(c)] if c in T.QUOTE_MARKS else "-" if c in T.DASHES else " " if c.isspace() else c
+            for x in unicodedata.normalize("NFKD", c).lower():
+                if x.isascii() and not (x == " " and out.endswith(" ")) and not (x == "-" and out.endswith("-")):
+                    out += x
+        return out.strip(" ")
+
+    texts = ["Caf\u00e9 \u2014 na\u00efve \u201cX\u201d", "a\u2009\u00a0b -- c", "\u03b2-\u00c5ngstr\u00f6m \ufb01n\u2026", "\u0130stanbul \u00b2 \u00bd\u00bd x", "", "  \u2003 "]
+    texts = [x for x in texts if "\u00bd" not in x]  # a fraction is three characters in one sign
+    got = [r.n for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.norm(F.col("t")).alias("n")).collect()]
+    assert got == [plain(x) for x in texts]
 
 
 def test_cues_titles_species_aliases(spark):
     assert [one(spark, s, T.cue_sign) for s in ("a promotes b", "a represses b", "a promotes and blocks b", "a binds b")] == [1, -1, 0, 0]
     assert one(spark, "Cubas P, Other X", T.first_author) == "Cubas" and one(spark, "Jose Antonio Cubas, X", T.first_author) == "Cubas"
     assert one(spark, "Triticum aestivum (wheat)", T.short_species) == "T. aestivum" and one(spark, "in rice roots", T.species_of) == "Oryza sativa"
-    assert {"Stomatal conductance", "gs"} <= set(T.aliases("Stom_Cond", "Stomatal conductance (gs)")) and "BRC1" in T.aliases("AtBRC1") and "TaHKT1;5-D" in T.aliases("TaHKT1_5D")
+
+
+def test_species_by_known_pair_genus_and_common_name(spark):
+    for texts, want in (
+        (("Triticum plants grew.", ""), ""), (("rice bean seeds", ""), "Vigna umbellata"), (("in durum wheat", ""), "Triticum turgidum"), (("Triticum turgidum here", ""), "Triticum turgidum"), (("Arabidopsis mitogen-activated", ""), "Arabidopsis thaliana"),
+        (("the price", "as in human cells"), ""), (("in human cells", ""), "Homo sapiens"), (("none", "Poluna alba and rice"), "Poluna alba"), ((None, None), ""),
+    ):
+        df = spark.createDataFrame([texts], "a string, b string")
+        assert df.select(T.species_of(F.col("a"), F.col("b"), binomials=["Poluna alba"])).first()[0] == want, texts
+
+
+def test_aliases_by_rule(spark):
+    def of(name, full=None):
+        return spark.createDataFrame([(name, full)], "n string, f string").select(T.aliases(F.col("n"), F.col("f"))).first()[0]
+
+    assert of("ZmEPF2", "Epidermal patterning factor 2 (EPF2)") == ["EPF2", "Epidermal patterning factor 2", "ZmEPF2"]
+    assert set(of("Shoot_Branching", "Shoot branching")) == {"Shoot_Branching", "Shoot Branching", "Shoot branching", "Branching", "branching"}
+    assert set(of("TaHKT1_5D")) == {"TaHKT1_5D", "TaHKT1 5D", "TaHKT1;5", "TaHKT1;5-D", "TaHKT1;5D", "TaHKT1-5D", "HKT1;5", "HKT1;5-D", "HKT1;5D", "HKT1-5D", "HKT1_5D", "HKT1 5D", "HKT1"}
+    assert set(of("Gene(Nax2)")) == {"Gene(Nax2)", "Gene", "Nax2"} and set(of("Ca", "Calcium")) == {"Ca", "Calcium"}
+    assert set(of("AtER", "ERECTA receptor kinase")) == {"AtER", "ER", "ERECTA receptor kinase", "ERECTA"}
+    assert {"Stomatal density", "number"} <= set(of("Acid_form", "Stomatal density / number"))
+    assert of(None) == [] and of("") == [] and of("A") == []
 
 
 def test_tables_round_trip_and_refusals(spark):
