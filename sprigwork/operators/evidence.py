@@ -147,7 +147,13 @@ def resolve(claims: DataFrame, papers: DataFrame, nodes: DataFrame | None = None
     asked = staged(claims.select("claim", "a", "b", F.coalesce("sign", F.lit(0)).alias("sign"), "doi", species.alias("species")), "claims")
     text = staged(sentence_table(papers), "sentences")
     names = asked.select(F.col("a").alias("name")).union(asked.select("b")).distinct()
-    named = staged(mentions(staged(alias_index(names, nodes), "aliases"), text), "mentions")
+    index = staged(alias_index(names, nodes), "aliases")
+    # Names of the same spellings are one: the smallest of them stands for all.
+    alike = index.groupBy("name").agg(F.sort_array(F.collect_set("alias")).alias("all")).withColumn("as", F.min("name").over(Window.partitionBy("all"))).select("name", "as")
+    alike = staged(alike, "alike")
+    stands = lambda x: alike.select(F.col("name").alias(x), F.col("as").alias(f"_{x}"))
+    asked = staged(asked.join(stands("a"), "a", "left").join(stands("b"), "b", "left").select("claim", F.col("_a").alias("a"), F.col("_b").alias("b"), "sign", "doi", "species"), "claims")
+    named = staged(mentions(index.join(alike.where("name = as").select("name"), "name", "left_semi"), text), "mentions")
     own = staged(verified(asked, named, text), "verified")
     left = asked.join(own.select("claim"), "claim", "left_anti")
     first = staged(searched(left, named, text, "abstract", 1, min_supports), "repaired")

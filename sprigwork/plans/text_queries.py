@@ -81,10 +81,11 @@ def _species(spark, d: str) -> DataFrame:
     return load(spark, d, "master_test_level").where("network is not null").groupBy("network").agg(F.min_by("species", "master_key").alias("species"))
 
 
+_GENE = f"trim(regexp_replace(gene, '{T.NOTATION}', '', 'g'))"
 _CLAIMS = f"""claims AS (
   SELECT 'edge' AS kind, edge_key AS key, network, source AS a, target AS b, coalesce(sign, 0) AS sign, {_DOI.replace("doi", "coalesce(doi, '')", 1)} AS doi FROM network_edges WHERE length(trim(source)) > 0 AND length(trim(target)) > 0
-  UNION ALL SELECT 'test', r.pert_key, r.network, r.gene, p.id, CASE WHEN lower(trim(expected_direction)) IN ('up', 'increased') THEN 1 WHEN lower(trim(expected_direction)) IN ('dn', 'decreased') THEN -1 ELSE 0 END, {_DOI.replace("doi", "coalesce(r.doi, '')", 1)}
-  FROM reconciled_perturbations r JOIN (SELECT network, min(id) AS id FROM nodes WHERE type = 'PHENOTYPE' GROUP BY 1) p ON p.network = r.network WHERE length(trim(r.gene)) > 0)"""
+  UNION ALL SELECT 'test', r.pert_key, r.network, {_GENE.replace("gene", "r.gene")}, p.id, CASE WHEN lower(trim(expected_direction)) IN ('up', 'increased') THEN 1 WHEN lower(trim(expected_direction)) IN ('dn', 'decreased') THEN -1 ELSE 0 END, {_DOI.replace("doi", "coalesce(r.doi, '')", 1)}
+  FROM reconciled_perturbations r JOIN (SELECT network, min(id) AS id FROM nodes WHERE type = 'PHENOTYPE' GROUP BY 1) p ON p.network = r.network WHERE length({_GENE.replace("gene", "r.gene")}) > 0)"""
 
 
 def _claims(spark, d: str) -> DataFrame:
@@ -93,8 +94,9 @@ def _claims(spark, d: str) -> DataFrame:
     edges = e.select(F.lit("edge").alias("kind"), F.col("edge_key").alias("key"), "network", F.col("source").alias("a"), F.col("target").alias("b"), F.coalesce("sign", F.lit(0)).alias("sign"), bare_doi(F.coalesce("doi", F.lit(""))).alias("doi"))
     ph = live_nodes(spark, d).where("type = 'PHENOTYPE'").groupBy("network").agg(F.min("id").alias("b"))
     seen = F.lower(F.trim("expected_direction"))
-    t = load(spark, d, "reconciled_perturbations").where("length(trim(gene)) > 0").join(ph, "network")
-    tests = t.select(F.lit("test").alias("kind"), F.col("pert_key").alias("key"), "network", F.col("gene").alias("a"), "b", F.when(seen.isin("up", "increased"), 1).when(seen.isin("dn", "decreased"), -1).otherwise(0).alias("sign"), bare_doi(F.coalesce("doi", F.lit(""))).alias("doi"))
+    # The gene as it is named, without the words for what was done to it.
+    t = load(spark, d, "reconciled_perturbations").withColumn("a", T.parse_perturbation(F.col("gene"))["gene"]).where("length(a) > 0").join(ph, "network")
+    tests = t.select(F.lit("test").alias("kind"), F.col("pert_key").alias("key"), "network", "a", "b", F.when(seen.isin("up", "increased"), 1).when(seen.isin("dn", "decreased"), -1).otherwise(0).alias("sign"), bare_doi(F.coalesce("doi", F.lit(""))).alias("doi"))
     return edges.unionByName(tests)
 
 
