@@ -2,7 +2,8 @@
 
 One row is one scenario. The state is an array over the network's nodes; all nodes read the state before the step. Two
 engines give the same numbers: an expression engine (higher-order functions, JVM only, nothing is shuffled), and an Arrow
-engine that advances all scenarios of a network in a batch as one matrix, for many scenarios or large networks.
+engine that advances many scenarios of a network as one matrix. The scenarios of a network are dealt to as many tasks as
+their number asks for, and the network travels once with each such part, not with each scenario.
 
 Semantics. Algebraic: start 1; sources (no regulators) hold max(modifier + supply, 0); others move to
 (1 - damping) * f + damping * old with f = max(geomean(max(a, floor)) * min(1 / max(prod h, eps), K) * modifier + supply, 0).
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sprigwork.functions import scalars as S
+from sprigwork.session import partitions_of
 
 METHODS = ("algebraic", "ode", "rwr")
 #: Parameters of each method.
@@ -115,11 +117,29 @@ def solve_expr(scenarios: DataFrame, networks: DataFrame, method: str, params: d
     return out.select(*keep, "ids", F.col("_end.v").alias("state"), F.col("_end.done").alias("converged"), F.col("_end.it").alias("iterations"), *([F.col("_end.trace").alias("trace")] if trace else []))
 
 
+#: The menu of functions of a node's activators and inhibitors (rows: scenarios), as the scalar functions of these names.
+ACTIVATION = {
+    "geomean": lambda x, p: np.maximum(x, p["floor"]).prod(axis=1) ** (1.0 / x.shape[1]),
+    "arithmean": lambda x, p: np.maximum(x, p["floor"]).mean(axis=1),
+    "max_pool": lambda x, p: np.maximum(x, p["floor"]).max(axis=1),
+    "min_pool": lambda x, p: np.maximum(x, p["floor"]).min(axis=1),
+}
+INHIBITION = {
+    "bounded_inverse": lambda x, p: np.minimum(1.0 / np.maximum(x.prod(axis=1), p["eps"]), p["limit"]),
+    "independent_inverse": lambda x, p: np.minimum(1.0 / np.maximum(x, p["eps"]), p["limit"]).prod(axis=1),
+    "linear_clamp": lambda x, p: np.clip(2.0 - x, 0.0, 1.0).prod(axis=1),
+}
+DEFAULT_MENU = ("geomean", "bounded_inverse")
+
+
 class Compiled:
     """A network's regulators as flat arrays for whole-matrix steps."""
 
-    def __init__(self, ids: list[str], regs: list[dict]) -> None:
+    def __init__(self, ids: list[str], regs: list[dict], menu: list[dict] | None = None) -> None:
         self.ids, n = ids, len(ids)
+        self.special = {i: (m["a"] or DEFAULT_MENU[0], m["h"] or DEFAULT_MENU[1], regs[i]["a"], regs[i]["h"]) for i, m in enumerate(menu or ()) if m and (m["a"] or m["h"])}
+        if unknown := sorted({x for m in self.special.values() for x in m[:2]} - {*ACTIVATION, *INHIBITION}):
+            raise ValueError(f"no such function: {', '.join(unknown)}")
         self.at = {x: i for i, x in enumerate(ids)}
         self.lone = np.array([not r["a"] and not r["h"] for r in regs], bool)
         flat = lambda key: (np.array([k for r in regs for k in r[key]], int), np.array([i for i, r in enumerate(regs) for _ in r[key]], int))
@@ -135,10 +155,13 @@ class Compiled:
             out[:, dst[starts]] = (np.multiply if times else np.add).reduceat(values, starts, axis=1)
         return out
 
-    def run(self, method: str, gm: np.ndarray, ex: np.ndarray, p: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def run(self, method: str, gm: np.ndarray, ex: np.ndarray, p: dict[str, float], seen: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """End states, whether they stand still, and steps; seen: gets the states of all steps (for runs of one scenario)."""
         m, n = gm.shape
         v = gm.copy() if method == "rwr" else np.where(self.lone, np.maximum(gm + ex, 0.0), 1.0)
         steps, done, live = np.zeros(m, np.int32), np.zeros(m, bool), np.arange(m)
+        if seen is not None:
+            seen.append(v.copy())
         for it in range(1, int(p["steps"]) + 1):
             if not len(live):
                 break
@@ -149,6 +172,9 @@ class Compiled:
             elif method == "algebraic":
                 act = self._fold(np.maximum(x[:, self.a_src], p["floor"]), self.a_dst, n, True) ** (1.0 / np.maximum(self.na, 1))
                 inh = np.where(self.nh > 0, np.minimum(1.0 / np.maximum(self._fold(x[:, self.h_src], self.h_dst, n, True), p["eps"]), p["limit"]), 1.0)
+                for i, (a_name, h_name, a, h) in self.special.items():
+                    act[:, i] = ACTIVATION[a_name](x[:, a], p) if a else 1.0
+                    inh[:, i] = INHIBITION[h_name](x[:, h], p) if h else 1.0
                 f = np.maximum(act * inh * g + e, 0.0)
                 new = np.where(self.lone, f, (1 - p["damping"]) * f + p["damping"] * x)
             else:
@@ -159,56 +185,126 @@ class Compiled:
                 new = np.where(self.lone, f, np.maximum(0.0, x + (f - x) * p["dt"]))
             still = np.abs(new - x).max(axis=1, initial=0.0) >= p["tol"]
             v[live], steps[live], done[live] = new, it, ~still
+            if seen is not None:
+                seen.append(v.copy())
             live = live[still]
         return v, done, steps
 
 
-#: Scenarios that one matrix holds at most.
-MATRIX_ROWS = 512
+#: Scenarios that one matrix holds at most, and that one part of a network's scenarios holds about.
+MATRIX_ROWS, PART = 512, 2048
+_SENT = "network string, part int, kind int, key string, modifiers map<string,double>, supply map<string,double>, watched string, params map<string,double>, ids array<string>, regs array<struct<a:array<int>,h:array<int>>>, menu array<struct<a:string,h:string>>"
+
+
+def _parts(scenarios: DataFrame, networks: DataFrame) -> DataFrame:
+    """Scenarios and networks as one stream: of each part of a network first the network, then its scenarios by parameters."""
+    spark = scenarios.sparkSession
+    sizes = scenarios.groupBy("network").agg((F.floor(F.count("*") / PART) + 1).cast("int").alias("parts"))
+    has = lambda df, c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    number = "map<string,double>"
+    ask = scenarios.join(sizes, "network").select(
+        "network", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("key").cast("string").alias("key"), F.col("modifiers").cast(number).alias("modifiers"), F.col("supply").cast(number).alias("supply"),
+        F.col("watched").cast("string").alias("watched"), has(scenarios, "params", number), none("ids", "array<string>"), none("regs", "array<struct<a:array<int>,h:array<int>>>"), none("menu", "array<struct<a:string,h:string>>"),
+    )
+    nets = networks.join(sizes, "network").select(
+        "network", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), none("key", "string"), none("modifiers", number), none("supply", number), none("watched", "string"), none("params", number),
+        "ids", "regs", has(networks, "menu", "array<struct<a:string,h:string>>"),
+    )
+    order = F.coalesce(F.to_json("params"), F.lit(""))
+    return ask.unionByName(nets).withColumn("o", order).repartition(partitions_of(spark), "network", "part").sortWithinPartitions("network", "part", "kind", "o").drop("o")
+
+
+def _vectors_of(net: Compiled, method: str, mods: list, sups: list) -> tuple[np.ndarray, np.ndarray]:
+    """Modifier (start signal for the walk) and supply of each scenario and node."""
+    shape = (len(mods), len(net.ids))
+    gm, ex = np.full(shape, 0.0 if method == "rwr" else 1.0), np.zeros(shape)
+    for r, (mod, sup) in enumerate(zip(mods, sups)):
+        for node, x in mod or ():
+            if node in net.at and x is not None:
+                gm[r, net.at[node]] = (-1.0 if x == 0 else -0.5 if x == 0.5 else 1.0 if x >= 2 else x - 1.0) if method == "rwr" else x
+        for node, x in sup or ():
+            if node in net.at and x is not None:
+                if method == "rwr":
+                    gm[r, net.at[node]] += min(x, 1.0)
+                else:
+                    ex[r, net.at[node]] = x
+    return gm, ex
+
+
+def _solve(scenarios: DataFrame, networks: DataFrame, method: str, given: dict[str, float], trace: bool) -> DataFrame:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Compiled, list[tuple], dict[str, float]]]:
+        """Stretches of scenarios of one network and one set of parameters, at most MATRIX_ROWS long."""
+        net, held, params, at = None, [], None, None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for i, (name, part, kind, key, mod, sup, watched, own) in enumerate(zip(*columns)):
+                if kind == 0 or (name, part) != at or own != params or len(held) == MATRIX_ROWS:
+                    if held and net:
+                        yield net, held, given | dict(params or ())
+                    held = []
+                if kind == 0:
+                    net, at = Compiled(batch.column(8)[i].as_py(), batch.column(9)[i].as_py(), batch.column(10)[i].as_py()), (name, part)
+                else:
+                    if (name, part) != at:  # no such network
+                        net, at = None, (name, part)
+                    params = own
+                    held.append((key, mod, sup, watched))
+        if held and net:
+            yield net, held, given | dict(params or ())
+
+    missing = 0.0 if method == "rwr" else 1.0
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for net, rows, p in runs(batches):
+            v, done, steps = net.run(method, *_vectors_of(net, method, [r[1] for r in rows], [r[2] for r in rows]), p)
+            value = [float(v[i, net.at[r[3]]]) if r[3] in net.at else missing for i, r in enumerate(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(value, pa.float64()), pa.array(done), pa.array(steps, pa.int32())], names=["key", "value", "converged", "iterations"])
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for net, rows, p in runs(batches):
+            for i, r in enumerate(rows):
+                seen: list[np.ndarray] = []
+                net.run(method, *_vectors_of(net, method, [r[1]], [r[2]]), p, seen)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0]] * len(seen), pa.string()), pa.array(range(len(seen)), pa.int32()), pa.array([net.ids] * len(seen), pa.list_(pa.string())), pa.array([x[0].tolist() for x in seen], pa.list_(pa.float64()))], names=["key", "step", "ids", "v"])
+
+    sent = _parts(scenarios, networks)
+    return sent.mapInArrow(states, "key string, step int, ids array<string>, v array<double>") if trace else sent.mapInArrow(values, "key string, value double, converged boolean, iterations int")
 
 
 def solve_arrow(scenarios: DataFrame, networks: DataFrame, method: str, params: dict[str, float] | None = None, watch: str = "phenotype_node") -> DataFrame:
-    """Arrow engine for scenarios(key, network, modifiers, supply, <watch>): (key, value of the watched node, converged, iterations).
+    """Arrow engine for scenarios(key, network, modifiers, supply, <watch>[, params]): (key, value of the watched node, converged,
+    iterations). A scenario of a network that is not there has no row.
 
-    Only the watched node's value leaves the task. Each task keeps the compiled networks it has met.
+    params of a scenario, MAP<name, number>, go before those of the call. networks may have a column menu, for each node the
+    names of its activation and inhibition function (null: the default), which the algebraic method follows.
     """
-    p = _params(method, params)
-    missing = 0.0 if method == "rwr" else 1.0
+    return _solve(scenarios.withColumn("watched", F.col(watch)), networks, method, _params(method, params), False)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nets: dict[str, Compiled] = {}
-        for batch in batches:
-            keys, names, mods, sups, watched = (batch.column(i).to_pylist() for i in range(5))
-            by_net: dict[str, list[int]] = {}
-            for i, name in enumerate(names):
-                by_net.setdefault(name, []).append(i)
-            out = [(0.0, False, 0)] * len(keys)
-            for name, rows in by_net.items():
-                if name not in nets:
-                    if len(nets) > 64:
-                        nets.clear()
-                    nets[name] = Compiled(batch.column(5)[rows[0]].as_py(), batch.column(6)[rows[0]].as_py())
-                net = nets[name]
-                for at in range(0, len(rows), MATRIX_ROWS):
-                    part = rows[at : at + MATRIX_ROWS]
-                    gm, ex = np.full((len(part), len(net.ids)), 0.0 if method == "rwr" else 1.0), np.zeros((len(part), len(net.ids)))
-                    for r, i in enumerate(part):
-                        for node, x in mods[i] or ():
-                            if node in net.at and x is not None:
-                                gm[r, net.at[node]] = (-1.0 if x == 0 else -0.5 if x == 0.5 else 1.0 if x >= 2 else x - 1.0) if method == "rwr" else x
-                        for node, x in sups[i] or ():
-                            if node in net.at and x is not None:
-                                if method == "rwr":
-                                    gm[r, net.at[node]] += min(x, 1.0)
-                                else:
-                                    ex[r, net.at[node]] = x
-                    v, done, steps = net.run(method, gm, ex, p)
-                    for r, i in enumerate(part):
-                        out[i] = (float(v[r, net.at[watched[i]]]) if watched[i] in net.at else missing, bool(done[r]), int(steps[r]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out]), pa.array([o[1] for o in out]), pa.array([o[2] for o in out], pa.int32())], names=["key", "value", "converged", "iterations"])
-
-    picked = scenarios.select(F.col("key").cast("string"), "network", "modifiers", "supply", F.col(watch).alias("watched")).join(networks, "network").select("key", "network", "modifiers", "supply", "watched", "ids", "regs")
-    return picked.mapInArrow(apply, "key string, value double, converged boolean, iterations int")
+
+def trace_arrow(scenarios: DataFrame, networks: DataFrame, method: str, params: dict[str, float] | None = None) -> DataFrame:
+    """(key, step, node, value): all states of scenarios(key, network, modifiers, supply), a row a node and step."""
+    steps = _solve(scenarios.withColumn("watched", F.lit("")), networks, method, _params(method, params), True)
+    return steps.select("key", "step", F.explode(F.arrays_zip("ids", "v")).alias("z")).select("key", "step", F.col("z.ids").alias("node"), F.col("z.v").alias("value"))
+
+
+def with_menu(networks: DataFrame, menu: DataFrame) -> DataFrame:
+    """networks with a column menu from menu(network, id, activation, inhibition); unknown names are refused when it is used."""
+    by_node = menu.groupBy("network").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct(F.col("activation").alias("a"), F.col("inhibition").alias("h"))))).alias("m"))
+    none = F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("h"))
+    return networks.join(by_node, "network", "left").withColumn("menu", F.transform("ids", lambda i: F.coalesce(F.try_element_at("m", i), none))).drop("m")
+
+
+def with_influences(scenarios: DataFrame, influences: DataFrame) -> DataFrame:
+    """scenarios whose supply also holds what influences(network, node, source, sign) add to a node: the supply of the source,
+    or less it for a negative one. A node's own supply counts too; sources without supply bring nothing."""
+    given = F.coalesce("supply", F.create_map().cast("map<string,double>"))
+    of = influences.groupBy("network").agg(F.collect_list(F.struct("node", "source", "sign")).alias("inf"))
+    j = scenarios.join(of, "network", "left").withColumn("_s", given)
+    hits = F.filter(F.coalesce("inf", F.array().cast("array<struct<node:string,source:string,sign:int>>")), lambda x: F.map_contains_key(F.col("_s"), x["source"]))
+    more = lambda node: F.aggregate(F.filter(hits, lambda x: x["node"] == node), F.lit(0.0), lambda acc, x: acc + x["sign"] * F.element_at(F.col("_s"), x["source"]))
+    nodes = F.array_distinct(F.concat(F.map_keys("_s"), F.transform(hits, lambda x: x["node"])))
+    return j.withColumn("supply", F.map_from_arrays(nodes, F.transform(nodes, lambda n: F.coalesce(F.try_element_at(F.col("_s"), n), F.lit(0.0)) + more(n)))).drop("_s", "inf")
 
 
 def with_node(solved: DataFrame, node: str | Column, name: str = "value") -> DataFrame:

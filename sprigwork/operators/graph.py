@@ -160,3 +160,63 @@ def top_by(rows: DataFrame, keys: list[str], k: int, *order: Column) -> DataFram
     """The first k rows of each group; a per-group limit that is the feature."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
+
+
+# ---- the part of a network that a run moves
+
+#: Most members of an active subgraph before its budget counts, and most nodes that join its pieces.
+MAX_FOCUS, MAX_BRIDGES = 28, 5
+
+
+def active_members(edges: DataFrame, moved: DataFrame, seeds: DataFrame, phenotype: DataFrame, focus: int = MAX_FOCUS) -> DataFrame:
+    """(network, node, role) of the active subgraph: core (perturbed nodes and phenotype), spine, responder.
+
+    moved(network, node, peak), seeds(network, node), phenotype(network, node). Where core and moved nodes are more than the
+    focus, the core, the spine (the nodes of a shortest way from each seed to the phenotype) and then the largest responders
+    stay, up to the focus. A network in which nothing moved is shown whole, all its nodes as responders.
+    """
+    core = seeds.select("network", "node").unionByName(phenotype.select("network", "node")).distinct()
+    every = edges.select("network", F.col("source").alias("node")).union(edges.select("network", "target")).distinct()
+    still = seeds.select("network").distinct().join(moved.select("network").distinct(), "network", "left_anti")
+    all_moved = moved.select("network", "node", "peak").unionByName(every.join(still, "network").select("network", "node", F.lit(0.0).alias("peak")))
+    paths = distances(edges, phenotype.select("network", "node"), paths=True)
+    spine = seeds.select("network", "node").join(paths, ["network", "node"]).select("network", F.explode("path").alias("node")).distinct()
+    roles = core.withColumn("rank", F.lit(0)).unionByName(spine.withColumn("rank", F.lit(1))).withColumn("peak", F.lit(0.0)).unionByName(all_moved.withColumn("rank", F.lit(2)))
+    one = roles.groupBy("network", "node").agg(F.min("rank").alias("rank"), F.max("peak").alias("peak"), F.bool_or(F.col("rank") != 1).alias("kept"))
+    by_network = Window.partitionBy("network")
+    sized = one.withColumn("n", F.count_if("kept").over(by_network)).join(still.withColumn("still", F.lit(True)), "network", "left")
+    placed = sized.withColumn("at", F.row_number().over(by_network.orderBy("rank", F.col("peak").desc(), "node")))
+    whole = (F.col("n") <= focus) | F.coalesce("still", F.lit(False))
+    # Within the budget the spine is no reason of its own to stay.
+    stay = F.when(whole, F.col("kept")).otherwise((F.col("rank") < 2) | (F.col("at") <= focus))
+    return placed.where(stay).select("network", "node", F.when(F.col("rank") == 0, "core").when(F.col("rank") == 1, F.when(whole, "responder").otherwise("spine")).otherwise("responder").alias("role"))
+
+
+def bridged(edges: DataFrame, members: DataFrame, most: int = MAX_BRIDGES) -> DataFrame:
+    """members with the nodes (role bridge) that join their pieces, direction set aside: again and again the shortest way from the
+    largest piece to any other of its network, until one piece is left, no way is found or most nodes were added.
+
+    Of equally large pieces the one of the smallest name is the largest; of equally short ways the one over the smallest names.
+    """
+    both = staged(edges.select("network", "source", "target").union(edges.select("network", F.col("target"), F.col("source"))).distinct().withColumn("sign", F.lit(1)), "links")
+    members = staged(members, "members")
+    open_ = members.select("network").distinct()
+    while True:
+        inside = induced(both, members).join(open_, "network", "left_semi")
+        pieces = components(members.join(open_, "network", "left_semi").select("network", F.col("node").alias("id")), inside)
+        sizes = pieces.groupBy("network", "component").agg(F.count("*").alias("n"))
+        first = top_by(sizes, ["network"], 1, F.col("n").desc(), F.col("component")).select("network", F.col("component").alias("largest"))
+        ranked = staged(pieces.join(first, "network"), "pieces")
+        goals = ranked.where("component <> largest").select("network", "node")
+        if goals.isEmpty():
+            return members
+        ways = distances(both.join(goals.select("network").distinct(), "network", "left_semi"), goals, paths=True)
+        best = top_by(ranked.where("component = largest").join(ways, ["network", "node"]), ["network"], 1, F.col("hops"), F.col("path"))
+        added = best.select("network", F.explode("path").alias("node")).distinct().join(members, ["network", "node"], "left_anti")
+        grown = staged(members.unionByName(added.withColumn("role", F.lit("bridge"))), "members")
+        bridges = grown.where("role = 'bridge'").groupBy("network").agg(F.count("*").alias("n"))
+        # Networks that got a bridge and may get more go on.
+        open_ = staged(added.select("network").distinct().join(bridges.where(F.col("n") >= most), "network", "left_anti"), "open")
+        members = grown
+        if open_.isEmpty():
+            return members

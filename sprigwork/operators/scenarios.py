@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sprigwork.functions import scalars as S
 from sprigwork.operators import fixpoint as X
@@ -49,17 +50,27 @@ def _key(modifiers: Column, supply: Column) -> Column:
     return F.concat_ws("|", "network", "phenotype_node", text(modifiers), text(supply))
 
 
-def run_tests(tests: DataFrame, networks: DataFrame, method: str, params: dict[str, float] | None = None, threshold: float = 0.05, signal_threshold: float = 1e-5) -> DataFrame:
+def at_points(df: DataFrame, points: list[dict[str, float]]) -> DataFrame:
+    """df at every parameter point: columns point (number) and params MAP<name, number>."""
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.create_map(*[F.lit(x) for k, v in p.items() for x in (k, float(v))]).alias("params")) for i, p in enumerate(points)])).alias("_g")
+    return df.select("*", grid).select("*", "_g.point", "_g.params").drop("_g")
+
+
+def run_tests(tests: DataFrame, networks: DataFrame, method: str, params: dict[str, float] | None = None, threshold: float = 0.05, signal_threshold: float = 1e-5, points: list[dict[str, float]] | None = None) -> DataFrame:
     """tests(test, network, phenotype_node, modifiers, supply, comparison_baseline, baseline_modifiers, baseline_exogenous,
-    expected) -> one result a test. Each different run is solved once, whoever asks for it, and joined back by its key."""
+    expected) -> one result a test, or with points one a test and parameter point (column point). Each different run is solved
+    once, whoever asks for it, and joined back by its key."""
+    points = points or [{}]
     asked = baselines(tests).withColumn("run", _key(F.col("modifiers"), F.col("supply"))).withColumn("b_run", _key(F.col("b_modifiers"), F.col("b_supply"))).withColumn("wt_run", _key(_map(), _map()))
     pick = lambda run, m, s: asked.select(F.col(run).alias("key"), "network", "phenotype_node", m.alias("modifiers"), s.alias("supply"))
     # Maps cannot be grouped by; runs of one key are alike, so any one stands for all.
     runs = pick("run", F.col("modifiers"), F.col("supply")).unionByName(pick("b_run", F.col("b_modifiers"), F.col("b_supply"))).unionByName(pick("wt_run", _map(), _map()))
     distinct = runs.groupBy("key").agg(F.first("network").alias("network"), F.first("phenotype_node").alias("phenotype_node"), F.first("modifiers").alias("modifiers"), F.first("supply").alias("supply"))
-    solved = staged(X.solve_arrow(distinct, networks, method, params), f"runs-{method}")
-    at = lambda run, name, more=(): solved.select(F.col("key").alias(run), F.col("value").alias(name), *more)
-    out = asked.join(at("run", "perturbed_value", ("converged", "iterations")), "run").join(at("b_run", "baseline_value"), "b_run").join(at("wt_run", "wt_value"), "wt_run")
+    runs = at_points(distinct, points).withColumn("key", F.concat_ws("|", "point", "key"))
+    end = X.solve_arrow(runs, networks, method, params)
+    solved = staged(end.select(F.split_part("key", F.lit("|"), F.lit(1)).cast("int").alias("point"), F.regexp_replace("key", r"^\d+\|", "").alias("key"), "value", "converged", "iterations"), f"runs-{method}")
+    at = lambda run, name, more=(): solved.select("point", F.col("key").alias(run), F.col("value").alias(name), *more)
+    out = asked.join(at("run", "perturbed_value", ("converged", "iterations")), "run").join(at("b_run", "baseline_value"), ["point", "b_run"]).join(at("wt_run", "wt_value"), ["point", "wt_run"])
     if method == "rwr":
         absolute = F.lower("comparison_baseline") == "wt"
         signal = F.when(absolute, F.col("perturbed_value")).otherwise(F.col("perturbed_value") - F.col("baseline_value"))
@@ -75,21 +86,30 @@ def log_fold(value: Column, wild: Column) -> Column:
     return F.when(wild > 0, S.safe_log2(F.try_divide(value, wild))).otherwise(F.lit(-S.INF))
 
 
-def phenotype_values(scenarios: DataFrame, networks: DataFrame, phenotype: str, method: str, params: dict[str, float] | None = None) -> DataFrame:
-    """scenarios' columns without maps, and value: the phenotype's state by the expression engine."""
-    solved = X.with_node(X.solve_expr(scenarios, networks, method, params), phenotype)
-    return solved.drop("ids", "state", "modifiers", "supply")
+def phenotype_values(scenarios: DataFrame, networks: DataFrame, phenotypes: DataFrame, method: str, params: dict[str, float] | None = None) -> DataFrame:
+    """scenarios' columns without maps, and value, converged, iterations: the state of the network's phenotype(network, phenotype).
+
+    A network may have several phenotypes: one row each.
+    """
+    named = [c for c in scenarios.columns if c not in ("modifiers", "supply", "params")]
+    asked = scenarios.join(phenotypes, "network").withColumn("key", F.to_json(F.struct(*[F.col(c) for c in (*named, "phenotype")], *(["params"] if "params" in scenarios.columns else []))))
+    kinds = dict(scenarios.dtypes)
+    solved = X.solve_arrow(asked, networks, method, params, "phenotype")
+    back = F.from_json("key", ", ".join(f"`{c}` {kinds[c]}" for c in named) + ", phenotype string")
+    return solved.select(back.alias("k"), "value", "converged", "iterations").select("k.*", "value", "converged", "iterations")
 
 
-def epistasis(nodes: DataFrame, networks: DataFrame, phenotype: str, method: str = "algebraic", params: dict[str, float] | None = None, tau: float = 0.1, tau_mask: float = 0.1, modes: dict[str, float] = S.MODES) -> DataFrame:
+def epistasis(nodes: DataFrame, networks: DataFrame, phenotypes: DataFrame, method: str = "algebraic", params: dict[str, float] | None = None, tau: float = 0.1, tau_mask: float = 0.1, modes: dict[str, float] = S.MODES) -> DataFrame:
     """Interaction of every pair: the double's log fold against the singles', which are solved once and joined twice."""
-    wt = phenotype_values(wild_type(networks), networks, phenotype, method, params).select("network", F.col("value").alias("wt"))
-    one = staged(phenotype_values(singles(nodes, modes), networks, phenotype, method, params).join(wt, "network").select("network", "node", "mode", log_fold(F.col("value"), F.col("wt")).alias("l")), "singles")
-    two = phenotype_values(doubles(nodes, modes), networks, phenotype, method, params).join(wt, "network").select("network", "node_a", "mode_a", "node_b", "mode_b", log_fold(F.col("value"), F.col("wt")).alias("l_ab"))
-    side = lambda x: one.select("network", F.col("node").alias(f"node_{x}"), F.col("mode").alias(f"mode_{x}"), F.col("l").alias(f"l_{x}"))
-    j = two.join(side("a"), ["network", "node_a", "mode_a"]).join(side("b"), ["network", "node_b", "mode_b"])
+    ph = ["network", "phenotype"]
+    wt = phenotype_values(wild_type(networks), networks, phenotypes, method, params).select(*ph, F.col("value").alias("wt"))
+    wt = staged(wt, "wild-type")
+    one = staged(phenotype_values(singles(nodes, modes), networks, phenotypes, method, params).join(wt, ph).select(*ph, "node", "mode", log_fold(F.col("value"), F.col("wt")).alias("l")), "singles")
+    two = phenotype_values(doubles(nodes, modes), networks, phenotypes, method, params).join(wt, ph).select(*ph, "node_a", "mode_a", "node_b", "mode_b", log_fold(F.col("value"), F.col("wt")).alias("l_ab"))
+    side = lambda x: one.select(*ph, F.col("node").alias(f"node_{x}"), F.col("mode").alias(f"mode_{x}"), F.col("l").alias(f"l_{x}"))
+    j = two.join(side("a"), [*ph, "node_a", "mode_a"]).join(side("b"), [*ph, "node_b", "mode_b"])
     a, b, ab = F.col("l_a"), F.col("l_b"), F.col("l_ab")
-    return j.select("network", "node_a", "mode_a", "node_b", "mode_b", "l_a", "l_b", "l_ab", S.interaction(a, b, ab).alias("epsilon"), S.masking_distance(a, b, ab).alias("masking_distance"), S.interaction_class(a, b, ab, tau, tau_mask).alias("interaction_class"))
+    return j.select(*ph, "node_a", "mode_a", "node_b", "mode_b", "l_a", "l_b", "l_ab", S.interaction(a, b, ab).alias("epsilon"), S.masking_distance(a, b, ab).alias("masking_distance"), S.interaction_class(a, b, ab, tau, tau_mask).alias("interaction_class"))
 
 
 def gxe_grid(genes: DataFrame, levers: DataFrame, doses: list[float], modes: dict[str, float] = S.MODES) -> DataFrame:
@@ -102,38 +122,63 @@ def gxe_grid(genes: DataFrame, levers: DataFrame, doses: list[float], modes: dic
     return one.unionByName(wt).join(env.unionByName(none), "network").select("network", "gene", "mode", "env", "dose", "modifiers", "supply")
 
 
-def gxe(genes: DataFrame, levers: DataFrame, networks: DataFrame, phenotype: str, doses: list[float], method: str = "algebraic", params: dict[str, float] | None = None, tau: float = 0.1, modes: dict[str, float] = S.MODES) -> DataFrame:
+def gxe(genes: DataFrame, levers: DataFrame, networks: DataFrame, phenotypes: DataFrame, doses: list[float], method: str = "algebraic", params: dict[str, float] | None = None, tau: float = 0.1, modes: dict[str, float] = S.MODES) -> DataFrame:
     """Anchored table: a gene's log fold under a lever less its log fold at ambient, for all doses in one run."""
-    v = staged(phenotype_values(gxe_grid(genes, levers, doses, modes), networks, phenotype, method, params), "gxe")
-    wt_amb = v.where("gene is null and env is null").select("network", F.col("value").alias("wt_ambient"))
-    wt_env = v.where("gene is null and env is not null").select("network", "env", "dose", F.col("value").alias("wt_env"))
-    amb = v.where("gene is not null and env is null").select("network", "gene", "mode", F.col("value").alias("gene_ambient"))
-    env = v.where("gene is not null and env is not null").select("network", "gene", "mode", "env", "dose", F.col("value").alias("gene_env"))
-    j = env.join(amb, ["network", "gene", "mode"]).join(wt_env, ["network", "env", "dose"]).join(wt_amb, "network")
+    ph = ["network", "phenotype"]
+    v = staged(phenotype_values(gxe_grid(genes, levers, doses, modes), networks, phenotypes, method, params), "gxe")
+    wt_amb = v.where("gene is null and env is null").select(*ph, F.col("value").alias("wt_ambient"))
+    wt_env = v.where("gene is null and env is not null").select(*ph, "env", "dose", F.col("value").alias("wt_env"))
+    amb = v.where("gene is not null and env is null").select(*ph, "gene", "mode", F.col("value").alias("gene_ambient"))
+    env = v.where("gene is not null and env is not null").select(*ph, "gene", "mode", "env", "dose", F.col("value").alias("gene_env"))
+    j = env.join(amb, [*ph, "gene", "mode"]).join(wt_env, [*ph, "env", "dose"]).join(wt_amb, ph)
     l_env, l_amb = log_fold(F.col("gene_env"), F.col("wt_env")), log_fold(F.col("gene_ambient"), F.col("wt_ambient"))
     diff = S.finite_difference(l_env, l_amb)
-    return j.select("network", "gene", "mode", "env", "dose", "wt_ambient", "wt_env", "gene_ambient", "gene_env", l_amb.alias("l_ambient"), l_env.alias("l_env"), diff.alias("gxe"), F.coalesce(F.abs(diff) > tau, F.lit(False)).alias("significant"))
+    return j.select(*ph, "gene", "mode", "env", "dose", "wt_ambient", "wt_env", "gene_ambient", "gene_env", l_amb.alias("l_ambient"), l_env.alias("l_env"), diff.alias("gxe"), F.coalesce(F.abs(diff) > tau, F.lit(False)).alias("significant"))
 
 
 def gxe_cross(anchored: DataFrame, tau: float = 0.1) -> DataFrame:
     """A gene's log fold under one lever less that under another, for all pairs of a network's levers (first name smaller)."""
-    side = lambda x: anchored.select("network", "gene", "mode", "dose", F.col("env").alias(f"env_{x}"), F.col("l_env").alias(f"l_{x}"))
+    side = lambda x: anchored.select("network", "phenotype", "gene", "mode", "dose", F.col("env").alias(f"env_{x}"), F.col("l_env").alias(f"l_{x}"))
     diff = S.finite_difference(F.col("l_a"), F.col("l_b"))
-    return side("a").join(side("b"), ["network", "gene", "mode", "dose"]).where("env_a < env_b").select("network", "gene", "mode", "dose", "env_a", "env_b", "l_a", "l_b", diff.alias("gxe_cross"), F.coalesce(F.abs(diff) > tau, F.lit(False)).alias("significant"))
+    return side("a").join(side("b"), ["network", "phenotype", "gene", "mode", "dose"]).where("env_a < env_b").select("network", "phenotype", "gene", "mode", "dose", "env_a", "env_b", "l_a", "l_b", diff.alias("gxe_cross"), F.coalesce(F.abs(diff) > tau, F.lit(False)).alias("significant"))
 
 
 def saturation(anchored: DataFrame, limit: float = 2.0) -> DataFrame:
-    """(network, env, dose, swing, saturated): log2 of the wild type's answer to a lever."""
-    one = anchored.select("network", "env", "dose", "wt_ambient", "wt_env").distinct()
+    """(network, phenotype, env, dose, swing, saturated): log2 of the wild type's answer to a lever."""
+    one = anchored.select("network", "phenotype", "env", "dose", "wt_ambient", "wt_env").distinct()
     swing = F.when((F.col("wt_ambient") > 0) & (F.col("wt_env") > 0), F.log2(F.try_divide(F.col("wt_env"), F.col("wt_ambient"))))
-    return one.select("network", "env", "dose", swing.alias("swing"), F.coalesce(F.abs(swing) > limit, F.lit(False)).alias("saturated"))
+    return one.select("network", "phenotype", "env", "dose", swing.alias("swing"), F.coalesce(F.abs(swing) > limit, F.lit(False)).alias("saturated"))
+
+
+def changes(trace: DataFrame) -> DataFrame:
+    """trace(key, step, node, value) with the change of each node since the step before."""
+    w = Window.partitionBy("key", "node").orderBy("step")
+    return trace.withColumn("change", F.abs(F.col("value") - F.lag("value").over(w)))
+
+
+def arrivals(trace: DataFrame, perturbed: DataFrame, tol: float = 1e-4) -> DataFrame:
+    """(key, node, arrival): first step at which a node has left its start by more than tol; perturbed(key, node) at step 0."""
+    start = trace.where("step = 0").select("key", "node", F.col("value").alias("start"))
+    left = trace.join(start, ["key", "node"]).groupBy("key", "node").agg(F.min(F.when(F.abs(F.col("value") - F.col("start")) > tol, F.col("step"))).alias("left"))
+    return left.join(perturbed.select("key", "node").distinct().withColumn("own", F.lit(0)), ["key", "node"], "left").select("key", "node", F.coalesce("own", "left").alias("arrival"))
+
+
+def progress(trace: DataFrame) -> DataFrame:
+    """(key, step, progress, max_change): 1 less the state's distance to the end over the start's distance to the end."""
+    end = trace.groupBy("key", "node").agg(F.max_by("value", "step").alias("end"))
+    dist = changes(trace).join(end, ["key", "node"]).groupBy("key", "step").agg(F.sqrt(F.sum(F.pow(F.col("value") - F.col("end"), F.lit(2)))).alias("dist"), F.max("change").alias("max_change"))
+    whole = F.first("dist").over(Window.partitionBy("key").orderBy("step"))
+    return dist.select("key", "step", F.when(whole > 0, 1 - F.try_divide(F.col("dist"), whole)).otherwise(1.0).alias("progress"), "max_change")
+
 
+def chapters(trace: DataFrame, perturbed: DataFrame) -> DataFrame:
+    """(key, chapter, first_step, last_step): wave while nodes still arrive, relax until 99 percent of the way, then steady."""
+    last = arrivals(trace, perturbed).groupBy("key").agg(F.max("arrival").alias("last"))
+    chapter = F.when(F.col("step") <= F.coalesce("last", F.lit(0)), "wave").when(F.col("progress") < 0.99, "relax").otherwise("steady")
+    return progress(trace).join(last, "key").groupBy("key", chapter.alias("chapter")).agg(F.min("step").alias("first_step"), F.max("step").alias("last_step"))
 
-def trace_table(solved: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, step, node, value, change): the states of a traced run in long form."""
-    steps = solved.select(*keys, "ids", F.posexplode("trace").alias("step", "v"))
-    long = steps.select(*keys, "step", F.explode(F.arrays_zip("ids", "v")).alias("z")).select(*keys, "step", F.col("z.ids").alias("node"), F.col("z.v").alias("value"))
-    from pyspark.sql.window import Window
 
-    w = Window.partitionBy(*keys, "node").orderBy("step")
-    return long.withColumn("change", F.abs(F.col("value") - F.lag("value").over(w)))
+def responders(trace: DataFrame) -> DataFrame:
+    """(key, node, peak): the largest departure of each node from its start, those that moved at all."""
+    start = trace.where("step = 0").select("key", "node", F.col("value").alias("start"))
+    return trace.join(start, ["key", "node"]).groupBy("key", "node").agg(F.max(F.abs(F.col("value") - F.col("start"))).alias("peak")).where("peak > 0")

@@ -52,22 +52,3 @@ def net_edges(spark, d: str) -> DataFrame:
 SQL_EDGES = """edges AS (SELECT network, source, target, sign, edge_key FROM (
   SELECT network, source, target, CASE WHEN sign > 0 THEN 1 ELSE -1 END AS sign, edge_key, row_number() OVER (PARTITION BY network, source, target ORDER BY edge_key) AS rn
   FROM network_edges WHERE network IS NOT NULL AND length(trim(source)) > 0 AND length(trim(target)) > 0) WHERE rn = 1)"""
-
-
-def flow_edges(spark, d: str) -> DataFrame:
-    """A signed network of nations from the order flows: s, t, x (at most three regulators a target)."""
-    line, orders = load(spark, d, "lineitem"), load(spark, d, "orders")
-    customer, supplier = load(spark, d, "customer"), load(spark, d, "supplier")
-    pair = (
-        line.join(orders, line.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == customer.c_custkey).join(supplier, F.col("l_suppkey") == supplier.s_suppkey)
-        .where("s_nationkey <> c_nationkey").groupBy(F.col("s_nationkey").alias("s"), F.col("c_nationkey").alias("t")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("back"))
-    )
-    from pyspark.sql.window import Window
-
-    rank = F.row_number().over(Window.partitionBy("t").orderBy(F.expr("(s * 31 + t * 17) % 97"), "s"))
-    return pair.withColumn("rk", rank).where("rk <= 1 + t % 3 and t not in (0, 1, 2)").select(F.col("s").cast("int").alias("s"), F.col("t").cast("int").alias("t"), F.expr("CASE WHEN back * 3 >= n THEN 1 ELSE -1 END").alias("x"))
-
-
-SQL_FLOW = """pair AS (SELECT s_nationkey AS s, c_nationkey AS t, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS back
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
-flow AS (SELECT s, t, CASE WHEN back * 3 >= n THEN 1 ELSE -1 END AS x FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY (s * 31 + t * 17) % 97, s) AS rk FROM pair) WHERE rk <= 1 + t % 3 AND t NOT IN (0, 1, 2))"""

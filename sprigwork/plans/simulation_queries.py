@@ -1,10 +1,13 @@
-"""Queries of the simulators, scans and scalar functions, and their SQL (fixed numbers of steps, no early stop)."""
+"""Queries of the simulators, scans and scalar functions over the networks of the tables, and their SQL.
+
+The SQL runs every scenario step by step until it stands still, as the simulators do: with a flag of movement per scenario.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,13 +16,12 @@ from sprigwork.operators import fixpoint as X
 from sprigwork.operators import graph as G
 from sprigwork.operators import metrics as M
 from sprigwork.operators import scenarios as R
-from sprigwork.plans.frames import SQL_FLOW, flow_edges, live_nodes, net_edges
+from sprigwork.plans.frames import SQL_EDGES, SQL_NODES, live_nodes, net_edges
 from sprigwork.session import staged
 from sprigwork.tables import load
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-PHENOTYPE, LEVERS = "24", ("0", "1", "2")
 
 
 def query(sql: str | None = None) -> Callable:
@@ -32,77 +34,132 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-def flow_network(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and network row of the nations' signed flow network."""
-    name = F.lit("flow").alias("network")
-    key = F.col("n_nationkey")
-    kind = F.when(key.isin(0, 1, 2), "ENVIRONMENT").when(key == 24, "PHENOTYPE").otherwise("GENE").alias("type")
-    nodes = load(spark, d, "nation").select(name, key.cast("string").alias("id"), kind)
-    edges = staged(flow_edges(spark, d).select(name, F.col("s").cast("string").alias("source"), F.col("t").cast("string").alias("target"), F.col("x").alias("sign")), "flow")
-    return nodes, edges, staged(X.network_rows(nodes, edges), "network")
+#: Runs of a network without a fixed point may grow without bound: values are shown up to this limit.
+SHOWN = 1e5
+#: Added before rounding, as damped values often lie exactly between two roundings.
+NUDGE = 1e-9
 
 
-def _genes(nodes: DataFrame) -> DataFrame:
-    return nodes.where("type = 'GENE'").select("network", "id")
+def shown(col: str) -> Column:
+    return F.round(F.greatest(F.least(F.col(col), F.lit(SHOWN)), F.lit(-SHOWN)) + NUDGE, 6).alias(col)
 
 
-_SCEN = (
-    f"WITH RECURSIVE {SQL_FLOW}, ids AS (SELECT n_nationkey AS id FROM nation), modes AS (SELECT * FROM (VALUES ('KO', 0.0::DOUBLE, -1.0::DOUBLE), ('KD', 0.5, -0.5), ('OE', 2.0, 1.0)) v(mode, m, sig)), "
-    "scen AS (SELECT id AS p, mode, m, sig FROM ids, modes WHERE id NOT IN (0, 1, 2, 24)), links AS (SELECT s, t, x FROM flow UNION ALL SELECT id, id, 0 FROM ids), lone AS (SELECT id FROM ids WHERE id NOT IN (SELECT t FROM flow))"
-)
-_END = " SELECT CAST(p AS VARCHAR) AS node, mode, round(v, 6) AS value FROM st WHERE node = 24 AND it = {0}"
-_STATE = "count(*) FILTER (WHERE x = 1) AS na, count(*) FILTER (WHERE x = -1) AS nh, max(v) FILTER (WHERE x = 0) AS old"
+def sql_shown(expr: str) -> str:
+    return f"round(greatest(least({expr}, {SHOWN}), -{SHOWN}) + {NUDGE}, 6)"
+
+
+FIXED = ("ENVIRONMENT", "PHENOTYPE", "PROCESS")
+
+
+def networks(spark, d: str) -> DataFrame:
+    return staged(X.network_rows(live_nodes(spark, d).select("network", "id"), net_edges(spark, d)), "networks")
+
+
+def phenotypes(spark, d: str) -> DataFrame:
+    """(network, phenotype): of each network the first phenotype by name."""
+    return G.phenotypes(live_nodes(spark, d)).groupBy("network").agg(F.min("node").alias("phenotype"))
+
+
+def genes(spark, d: str) -> DataFrame:
+    return live_nodes(spark, d).where(~F.col("type").isin(*FIXED)).select("network", "id")
+
+
+# ---- the same in SQL
 
+_W = f"""WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}, ph AS (SELECT network, min(id) AS ph FROM nodes WHERE type = 'PHENOTYPE' GROUP BY 1),
+ids AS (SELECT network, id FROM nodes UNION SELECT network, source FROM edges UNION SELECT network, target FROM edges),
+links AS (SELECT network, source AS s, target AS t, sign AS x FROM edges UNION ALL SELECT network, id, id, 0 FROM ids),
+regs AS (SELECT DISTINCT network, target AS id FROM edges)"""
+_SINGLES = """, scen AS (SELECT n.network, n.id AS node, mode, m, n.network || '|' || n.id || '|' || mode AS key, ph FROM nodes n JOIN ph ON ph.network = n.network, (VALUES ('KO', 0.0::DOUBLE), ('KD', 0.5), ('OE', 2.0)) v(mode, m) WHERE n.type NOT IN ('ENVIRONMENT', 'PHENOTYPE', 'PROCESS')),
+mods AS (SELECT key, node, m FROM scen), sups AS (SELECT key, node, m AS x FROM scen WHERE false)"""
+#: Start of a node; its next value from g (pa, ph_: products over activators and inhibitors; sm: signed mean; old) and p (gm, ex, lone).
+_STEP = {
+    "algebraic": ("CASE WHEN lone THEN greatest(gm + ex, 0.0) ELSE 1.0 END", "product(greatest(v, 0.01)) FILTER (WHERE x = 1) AS pa, product(v) FILTER (WHERE x = -1) AS pi",
+                  "greatest(CASE WHEN na > 0 THEN power(pa, 1.0 / na) ELSE 1.0 END * CASE WHEN nh > 0 THEN least(1.0 / greatest(pi, 0.1), 10.0) ELSE 1.0 END * gm + ex, 0.0)", "0.3 * f + 0.7 * old", 100, 1.0),
+    "ode": ("CASE WHEN lone THEN greatest(gm + ex, 0.0) ELSE 1.0 END", "product(power(greatest(v, 0.01), 2) * 2.0 / (1.0 + power(greatest(v, 0.01), 2))) FILTER (WHERE x = 1) AS pa, product(2.0 / (1.0 + power(greatest(v, 0.0), 2))) FILTER (WHERE x = -1) AS pi",
+            "greatest(coalesce(pa, 1.0) * coalesce(pi, 1.0) * gm + ex, 0.0)", "greatest(0.0, old + (f - old) * 0.1)", 500, 1.0),
+    "rwr": ("gm", "avg(x * v) FILTER (WHERE x <> 0) AS pa, 0 AS pi", "gm", "0.85 * pa + 0.15 * gm", 50, 0.0),
+}
 
-def _fixed(method: str, steps: int, **more: float) -> Callable:
+
+def sql_solve(method: str) -> str:
+    """CTEs inp, st and solved(key, value, converged, iterations) over scen(key, network, ph), mods(key, node, m), sups(key, node, x)."""
+    start, parts, f, damped, steps, rest = _STEP[method]
+    signal = "(CASE WHEN m.m IS NULL THEN 0.0 WHEN m.m = 0 THEN -1.0 WHEN m.m = 0.5 THEN -0.5 WHEN m.m >= 2 THEN 1.0 ELSE m.m - 1.0 END + CASE WHEN u.x IS NULL THEN 0.0 ELSE least(u.x, 1.0) END)"
+    gm = signal if method == "rwr" else "coalesce(m.m, 1.0)"
+    return f""", inp AS MATERIALIZED (SELECT s.key, s.network, i.id, CAST({gm} AS DOUBLE) AS gm, CAST(coalesce(u.x, 0.0) AS DOUBLE) AS ex, r.id IS NULL AS lone FROM scen s JOIN ids i ON i.network = s.network
+  LEFT JOIN mods m ON m.key = s.key AND m.node = i.id LEFT JOIN sups u ON u.key = s.key AND u.node = i.id LEFT JOIN regs r ON r.network = i.network AND r.id = i.id),
+st(key, network, id, v, it, moved) AS (SELECT key, network, id, CAST({start} AS DOUBLE), 0, 1e9::DOUBLE FROM inp UNION ALL
+  SELECT key, network, id, new, it, max(abs(new - old)) OVER (PARTITION BY key) FROM (SELECT key, network, id, it, old, CASE WHEN lone THEN f ELSE {damped} END AS new FROM (SELECT g.*, p.gm, p.ex, p.lone, {f} AS f FROM (
+    SELECT st.key, st.network, l.t AS id, st.it + 1 AS it, max(v) FILTER (WHERE x = 0) AS old, count(*) FILTER (WHERE x = 1) AS na, count(*) FILTER (WHERE x = -1) AS nh, {parts}
+    FROM st JOIN links l ON l.network = st.network AND l.s = st.id WHERE st.it < {steps} AND st.moved >= 1e-4 GROUP BY 1, 2, 3, 4) g JOIN inp p ON p.key = g.key AND p.id = g.id))),
+solved AS (SELECT s.key, coalesce(arg_max(st.v, st.it) FILTER (WHERE st.id = s.ph), {rest}) AS value, arg_max(st.moved, st.it) < 1e-4 AS converged, max(st.it) AS iterations FROM scen s JOIN st ON st.key = s.key GROUP BY s.key)"""
+
+
+def _sql_singles(method: str) -> str:
+    return _W + _SINGLES + sql_solve(method) + " SELECT s.network, s.node, s.mode, " + sql_shown("v.value") + " AS value, v.converged, v.iterations FROM scen s JOIN solved v ON v.key = s.key"
+
+
+def _singles(method: str, params: dict[str, float] | None = None) -> Callable:
     def run(spark, d: str) -> DataFrame:
-        nodes, _, net = flow_network(spark, d)
-        values = R.phenotype_values(R.singles(_genes(nodes)), net, PHENOTYPE, method, {"steps": steps, "tol": -1.0} | more)
-        return values.select("node", "mode", F.round("value", 6).alias("value"))
+        v = R.phenotype_values(R.singles(genes(spark, d)), networks(spark, d), phenotypes(spark, d), method, params)
+        return v.select("network", "node", "mode", shown("value"), "converged", "iterations")
 
     return run
 
 
-@query(_SCEN + ", st(p, mode, node, v, it) AS (SELECT p, mode, id, CASE WHEN id IN (SELECT id FROM lone) THEN CASE WHEN id = p THEN m ELSE 1.0 END ELSE 1.0 END, 0 FROM scen, ids UNION ALL "
-       f"SELECT p, mode, t, CASE WHEN na + nh = 0 THEN f ELSE 0.3 * f + 0.7 * old END, it + 1 FROM (SELECT *, greatest(CASE WHEN na > 0 THEN power(pa, 1.0 / na) ELSE 1.0 END * CASE WHEN nh > 0 THEN least(1.0 / greatest(ph, 0.1), 10.0) ELSE 1.0 END * CASE WHEN t = p THEN m ELSE 1.0 END, 0.0) AS f FROM "
-       f"(SELECT st.p, st.mode, scen.m, links.t, st.it, {_STATE}, product(greatest(v, 0.01)) FILTER (WHERE x = 1) AS pa, product(v) FILTER (WHERE x = -1) AS ph FROM st JOIN links ON links.s = st.node JOIN scen ON scen.p = st.p AND scen.mode = st.mode WHERE st.it < 8 GROUP BY st.p, st.mode, scen.m, links.t, st.it)))" + _END.format(8))
+@query(_sql_singles("algebraic"))
 def sim1_algebraic(spark, d: str) -> DataFrame:
-    return _fixed("algebraic", 8)(spark, d)
+    """Every single perturbation of every network, algebraic (SIM1, SIM11)."""
+    return _singles("algebraic")(spark, d)
 
 
-@query(_SCEN + ", st(p, mode, node, v, it) AS (SELECT p, mode, id, CASE WHEN id IN (SELECT id FROM lone) THEN CASE WHEN id = p THEN m ELSE 1.0 END ELSE 1.0 END, 0 FROM scen, ids UNION ALL "
-       f"SELECT p, mode, t, CASE WHEN na + nh = 0 THEN f ELSE greatest(0.0, old + (f - old) * 0.1) END, it + 1 FROM (SELECT *, greatest(coalesce(pa, 1.0) * coalesce(ph, 1.0) * CASE WHEN t = p THEN m ELSE 1.0 END, 0.0) AS f FROM "
-       f"(SELECT st.p, st.mode, scen.m, links.t, st.it, {_STATE}, product(power(greatest(v, 0.01), 2) * 5.0 / (4.0 + power(greatest(v, 0.01), 2))) FILTER (WHERE x = 1) AS pa, product(5.0 / (4.0 + power(v, 2))) FILTER (WHERE x = -1) AS ph FROM st JOIN links ON links.s = st.node JOIN scen ON scen.p = st.p AND scen.mode = st.mode WHERE st.it < 12 GROUP BY st.p, st.mode, scen.m, links.t, st.it)))" + _END.format(12))
+@query(_sql_singles("ode"))
 def sim2_ode(spark, d: str) -> DataFrame:
-    return _fixed("ode", 12, k=2.0, n=2.0)(spark, d)
+    return _singles("ode")(spark, d)
 
 
-@query(_SCEN + ", st(p, mode, node, v, it) AS (SELECT p, mode, id, CASE WHEN id = p THEN sig ELSE 0.0 END, 0 FROM scen, ids UNION ALL "
-       f"SELECT p, mode, t, CASE WHEN na + nh = 0 THEN init ELSE 0.85 * mean + 0.15 * init END, it + 1 FROM (SELECT *, CASE WHEN t = p THEN sig ELSE 0.0 END AS init FROM (SELECT st.p, st.mode, scen.sig, links.t, st.it, {_STATE}, avg(x * v) FILTER (WHERE x <> 0) AS mean FROM st JOIN links ON links.s = st.node JOIN scen ON scen.p = st.p AND scen.mode = st.mode WHERE st.it < 10 GROUP BY st.p, st.mode, scen.sig, links.t, st.it)))" + _END.format(10))
+@query(_sql_singles("rwr"))
 def sim3_walk(spark, d: str) -> DataFrame:
-    return _fixed("rwr", 10)(spark, d)
+    return _singles("rwr")(spark, d)
 
 
 def domain_tests(spark, d: str) -> DataFrame:
     """The reconciled tests as scenarios of their own networks; each network's phenotype is the first by name."""
     s = load(spark, d, "reconciled_perturbations")
-    ph = G.phenotypes(live_nodes(spark, d)).groupBy("network").agg(F.min("node").alias("phenotype_node"))
+    ph = phenotypes(spark, d).withColumnRenamed("phenotype", "phenotype_node")
     none = F.create_map().cast(R.EMPTY)
     mods, sup = F.coalesce("gene_modifiers", none), F.coalesce("exogenous_supply", none)
     base = S.infer_baseline(F.col("comparison_baseline"), F.col("perturbation_type"), mods, sup)
     return s.join(ph, "network").select(F.col("pert_key").alias("test"), "network", "phenotype_node", mods.alias("modifiers"), sup.alias("supply"), base.alias("comparison_baseline"), none.alias("baseline_modifiers"), none.alias("baseline_exogenous"), S.direction(F.col("expected_direction")).alias("expected"), S.complexity_score(mods, sup).alias("complexity"))
 
 
+_TESTS = """, t AS (SELECT r.pert_key, r.network, ph, gene_modifiers AS gm, exogenous_supply AS xs,
+  CASE WHEN lower(trim(expected_direction)) IN ('up', 'increased') THEN 'increased' WHEN lower(trim(expected_direction)) IN ('dn', 'decreased') THEN 'decreased' WHEN lower(trim(expected_direction)) IN ('nc', 'unchanged') THEN 'unchanged' ELSE expected_direction END AS expected,
+  CASE WHEN coalesce(comparison_baseline, 'WT') = 'epistasis' THEN 'epistasis' WHEN (coalesce(len(map_keys(exogenous_supply)), 0) > 0 AND coalesce(len(list_filter(map_values(gene_modifiers), lambda x: x <> 1.0)), 0) > 0) OR lower(coalesce(perturbation_type, '')) LIKE '%rescue%' OR lower(coalesce(perturbation_type, '')) LIKE '%ko+exogenous%' THEN 'mutant' ELSE coalesce(comparison_baseline, 'WT') END AS base
+  FROM reconciled_perturbations r JOIN ph ON ph.network = r.network),
+scen AS (SELECT 'p' || pert_key AS key, network, ph FROM t UNION ALL SELECT 'b' || pert_key, network, ph FROM t WHERE lower(base) <> 'wt' UNION ALL SELECT 'w' || network, network, ph FROM ph),
+mods AS (SELECT k || pert_key AS key, e.key AS node, e.value AS m FROM (SELECT pert_key, unnest(map_entries(gm)) AS e FROM t), (VALUES ('p'), ('b')) v(k)), sups AS (SELECT 'p' || pert_key AS key, e.key AS node, e.value AS x FROM (SELECT pert_key, unnest(map_entries(xs)) AS e FROM t))"""
+
+
+def _sql_tests(method: str) -> str:
+    ratio = "CASE WHEN lower(base) = 'wt' THEN 1 + pv ELSE 1 + (pv - bv) END" if method == "rwr" else "CASE WHEN bv = 0 THEN CASE WHEN pv > 0 THEN 'Infinity'::DOUBLE ELSE 1.0 END ELSE pv / bv END"
+    label = "CASE WHEN CASE WHEN lower(base) = 'wt' THEN pv ELSE pv - bv END > 0.00001 THEN 'increased' WHEN CASE WHEN lower(base) = 'wt' THEN pv ELSE pv - bv END < -0.00001 THEN 'decreased' ELSE 'unchanged' END" if method == "rwr" else "CASE WHEN ratio > 1.05 THEN 'increased' WHEN ratio < 0.95 THEN 'decreased' ELSE 'unchanged' END"
+    return _W + _TESTS + sql_solve(method) + f""", r AS (SELECT t.*, w.value AS wv, p.value AS pv, coalesce(b.value, w.value) AS bv, p.converged, p.iterations FROM t JOIN solved p ON p.key = 'p' || t.pert_key JOIN solved w ON w.key = 'w' || t.network LEFT JOIN solved b ON b.key = 'b' || t.pert_key),
+q AS (SELECT *, {ratio} AS ratio FROM r), l AS (SELECT *, {label} AS predicted FROM q)
+SELECT pert_key AS test, network, base AS comparison_baseline, {sql_shown('wv')} AS wt_value, {sql_shown('pv')} AS perturbed_value, {sql_shown('bv')} AS baseline_value, {sql_shown('ratio')} AS ratio, predicted, expected, predicted IS NOT DISTINCT FROM expected AS correct, converged, iterations FROM l"""
+
+
 def _tests(method: str) -> Callable:
     def run(spark, d: str) -> DataFrame:
-        net = staged(X.network_rows(live_nodes(spark, d).select("network", "id"), net_edges(spark, d)), "networks")
-        out = R.run_tests(domain_tests(spark, d), net, method)
-        return out.select("test", "network", "comparison_baseline", F.round("wt_value", 6).alias("wt_value"), F.round("perturbed_value", 6).alias("perturbed_value"), F.round("baseline_value", 6).alias("baseline_value"), F.round("ratio", 6).alias("ratio"), "predicted", "expected", "correct", "converged", "iterations", "complexity")
+        out = R.run_tests(domain_tests(spark, d), networks(spark, d), method)
+        return out.select("test", "network", "comparison_baseline", shown("wt_value"), shown("perturbed_value"), shown("baseline_value"), shown("ratio"), "predicted", "expected", "correct", "converged", "iterations")
 
     return run
 
 
 QUERIES |= {"sim6_tests_algebraic": _tests("algebraic"), "sim6_tests_ode": _tests("ode"), "sim7_tests_walk": _tests("rwr")}
+ORACLE |= {"sim6_tests_algebraic": _sql_tests("algebraic"), "sim6_tests_ode": _sql_tests("ode"), "sim7_tests_walk": _sql_tests("rwr")}
 
 
 @query()
@@ -116,28 +173,20 @@ def sim19_validation_report(spark, d: str) -> DataFrame:
 
 
 def _sweep(spark, d: str, method: str, points: list[dict[str, float]]) -> DataFrame:
-    """Singles of the flow network at every parameter point: the points are columns, so the sweep is one job."""
-    nodes, _, net = flow_network(spark, d)
-    names = list(points[0])
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), *[F.lit(float(p[n])).alias(n) for n in names]) for i, p in enumerate(points)])).alias("g")
-    scen = R.singles(_genes(nodes)).select("*", grid).select("network", "node", "mode", "modifiers", "supply", "g.*")
-    v = R.phenotype_values(scen, net, PHENOTYPE, method)
-    predicted = S.classify_signal(F.col("value")) if method == "rwr" else S.classify_ratio(F.col("value"))
-    # The expected label is a fixed rule on node and mode, so that the report has something to agree with.
-    rule = (F.col("node").cast("int") * 7 + F.when(F.col("mode") == "KO", 0).when(F.col("mode") == "KD", 1).otherwise(2)) % 3
-    return v.select("point", *names, predicted.alias("predicted"), F.when(rule == 0, "increased").when(rule == 1, "decreased").otherwise("unchanged").alias("expected"))
+    """Metrics of all reconciled tests at every parameter point: all points are one job."""
+    results = R.run_tests(domain_tests(spark, d), networks(spark, d), method, points=points)
+    names = spark.createDataFrame([(i, *map(float, p.values())) for i, p in enumerate(points)], "point int, " + ", ".join(f"{k} double" for k in points[0]))
+    return M.summary(results, ["point"]).join(F.broadcast(names), "point").select("point", *points[0], "total", "accuracy", "kappa", "mcc")
 
 
 @query()
 def sim8_ode_sweep(spark, d: str) -> DataFrame:
-    rows = _sweep(spark, d, "ode", [{"k": k, "n": n} for k, n in X.ODE_SWEEP])
-    return M.summary(rows, ["point", "k", "n"]).select("point", "k", "n", "total", "accuracy", "kappa", "mcc")
+    return _sweep(spark, d, "ode", [{"k": k, "n": n} for k, n in X.ODE_SWEEP])
 
 
 @query()
 def sim9_walk_sweep(spark, d: str) -> DataFrame:
-    rows = _sweep(spark, d, "rwr", [{"alpha": a} for a in X.RWR_SWEEP])
-    return M.summary(rows, ["point", "alpha"]).select("point", "alpha", "total", "accuracy", "kappa", "mcc")
+    return _sweep(spark, d, "rwr", [{"alpha": a} for a in X.RWR_SWEEP])
 
 
 @query()
@@ -146,59 +195,86 @@ def win1_best_sweep_point(spark, d: str) -> DataFrame:
     return sim9_walk_sweep(spark, d).orderBy(F.col("accuracy").desc(), "point").limit(1)
 
 
-@query()
+@query(_sql_singles("algebraic").replace("0.3 * f + 0.7 * old", "(1 - 0.8) * f + 0.8 * old").replace("st.it < 100", "st.it < 150"))
 def sim10_parameter_override(spark, d: str) -> DataFrame:
-    nodes, _, net = flow_network(spark, d)
-    v = R.phenotype_values(R.singles(_genes(nodes)), net, PHENOTYPE, "algebraic", {"damping": 0.8, "steps": 1000})
-    return v.select("node", "mode", F.round("value", 6).alias("value"), "converged", "iterations")
+    """Singles with propagation parameters of their own."""
+    return _singles("algebraic", {"damping": 0.8, "steps": 150})(spark, d)
 
 
-@query()
-def sim11_singles(spark, d: str) -> DataFrame:
-    nodes, _, net = flow_network(spark, d)
-    return R.phenotype_values(R.singles(_genes(nodes)), net, PHENOTYPE, "algebraic").select("node", "mode", F.round("value", 6).alias("value"), "converged", "iterations")
+@query(
+    _sql_singles("algebraic")
+    .replace("product(greatest(v, 0.01)) FILTER (WHERE x = 1) AS pa", "min(greatest(v, 0.01)) FILTER (WHERE x = 1) AS pa").replace("power(pa, 1.0 / na)", "pa")
+    .replace("product(v) FILTER (WHERE x = -1) AS pi", "product(greatest(0.0, least(2.0 - v, 1.0))) FILTER (WHERE x = -1) AS pi").replace("least(1.0 / greatest(pi, 0.1), 10.0)", "pi")
+)
+def sca3_function_menu(spark, d: str) -> DataFrame:
+    """Singles where every node has functions of its own: the smallest activator, linear inhibition (SCA3, SIM10)."""
+    nets = networks(spark, d)
+    menu = nets.select("network", F.explode("ids").alias("id"), F.lit("min_pool").alias("activation"), F.lit("linear_clamp").alias("inhibition"))
+    v = R.phenotype_values(R.singles(genes(spark, d)), staged(X.with_menu(nets, menu), "menu"), phenotypes(spark, d), "algebraic")
+    return v.select("network", "node", "mode", shown("value"), "converged", "iterations")
+
+
+@query(_W + _TESTS.replace("SELECT 'p' || pert_key AS key, e.key AS node, e.value AS x FROM (SELECT pert_key, unnest(map_entries(xs)) AS e FROM t))", "SELECT key, node, sum(x) AS x FROM (SELECT 'p' || pert_key AS key, e.key AS node, e.value AS x FROM (SELECT pert_key, unnest(map_entries(xs)) AS e FROM t) UNION ALL SELECT 'p' || u.pert_key, g.target, g.sign * u.e.value FROM (SELECT pert_key, network, unnest(map_entries(xs)) AS e FROM t) u JOIN edges g ON g.network = u.network AND g.source = u.e.key) GROUP BY 1, 2)")
+       + sql_solve("algebraic") + " SELECT t.pert_key AS test, " + sql_shown("p.value") + " AS value, p.converged, p.iterations FROM t JOIN solved p ON p.key = 'p' || t.pert_key")
+def sim4_influences(spark, d: str) -> DataFrame:
+    """Tests whose supplies also act, with the sign of the edge, on the nodes that the supplied node regulates (SIM4)."""
+    t = domain_tests(spark, d).select(F.col("test").alias("key"), "network", "modifiers", "supply", "phenotype_node")
+    acts = net_edges(spark, d).select("network", F.col("target").alias("node"), "source", "sign")
+    solved = X.solve_arrow(X.with_influences(t, acts), networks(spark, d), "algebraic")
+    return solved.select(F.col("key").cast("bigint").alias("test"), shown("value"), "converged", "iterations")
 
 
 def _epistasis(spark, d: str) -> DataFrame:
-    nodes, _, net = flow_network(spark, d)
-    return R.epistasis(_genes(nodes), net, PHENOTYPE)
+    return R.epistasis(genes(spark, d), networks(spark, d), phenotypes(spark, d))
 
 
 @query()
 def sim13_epistasis(spark, d: str) -> DataFrame:
-    """All doubles against their singles (SIM12, SIM13, JN9, JN10, SCA15, SCA16)."""
+    """All doubles of all networks against their singles (SIM12, SIM13, JN9, JN10, SCA15, SCA16)."""
     e = _epistasis(spark, d)
-    return e.select("node_a", "mode_a", "node_b", "mode_b", *[F.round(c, 6).alias(c) for c in ("l_a", "l_b", "l_ab", "epsilon", "masking_distance")], "interaction_class")
+    return e.select("network", "node_a", "mode_a", "node_b", "mode_b", *[F.round(c, 6).alias(c) for c in ("l_a", "l_b", "l_ab", "epsilon", "masking_distance")], "interaction_class")
 
 
 @query()
 def agg29_interaction_counts(spark, d: str) -> DataFrame:
-    return _epistasis(spark, d).groupBy("interaction_class").agg(F.count("*").alias("n"))
+    return _epistasis(spark, d).groupBy("network", "interaction_class").agg(F.count("*").alias("n"))
 
 
 @query()
 def srt5_strongest_interactions(spark, d: str) -> DataFrame:
+    """The five strongest interactions of each network."""
     e = _epistasis(spark, d).where(~F.col("interaction_class").isin("additive", "masking", "undefined"))
-    return e.orderBy(F.abs("epsilon").desc_nulls_last(), "node_a", "mode_a", "node_b", "mode_b").limit(5).select("node_a", "mode_a", "node_b", "mode_b", F.round("epsilon", 6).alias("epsilon"), "interaction_class")
+    return G.top_by(e, ["network"], 5, F.abs("epsilon").desc_nulls_last(), *[F.col(c) for c in ("node_a", "mode_a", "node_b", "mode_b")]).select("network", "node_a", "mode_a", "node_b", "mode_b", F.round("epsilon", 6).alias("epsilon"), "interaction_class")
 
 
 DOSES = [0.25, 0.5, 1.0, 2.0]
 
 
 def _gxe(spark, d: str, method: str = "algebraic") -> DataFrame:
-    nodes, _, net = flow_network(spark, d)
-    return R.gxe(_genes(nodes), nodes.where("type = 'ENVIRONMENT'").select("network", "id"), net, PHENOTYPE, DOSES, method, modes={"KO": 0.0, "OE": 2.0})
+    levers = live_nodes(spark, d).where("type = 'ENVIRONMENT'").select("network", "id")
+    return R.gxe(genes(spark, d), levers, networks(spark, d), phenotypes(spark, d), DOSES, method, modes={"KO": 0.0, "OE": 2.0})
 
 
-@query()
+_GXE = """, env AS (SELECT network, id AS env FROM nodes WHERE type = 'ENVIRONMENT'), gene AS (SELECT network, id AS gene FROM nodes WHERE type NOT IN ('ENVIRONMENT', 'PHENOTYPE', 'PROCESS')),
+ge AS (SELECT network, gene, mode, m FROM gene, (VALUES ('KO', 0.0::DOUBLE), ('OE', 2.0)) v(mode, m) UNION ALL SELECT DISTINCT network, '', '', 1.0 FROM gene),
+ee AS (SELECT network, env, dose FROM env, (VALUES (0.25::DOUBLE), (0.5), (1.0), (2.0)) v(dose) UNION ALL SELECT DISTINCT network, '', 0.0 FROM gene),
+scen AS (SELECT ge.network, gene, mode, m, env, dose, ge.network || '|' || gene || '|' || mode || '|' || env || '|' || dose AS key, ph FROM ge JOIN ee ON ee.network = ge.network JOIN ph ON ph.network = ge.network),
+mods AS (SELECT key, gene AS node, m FROM scen WHERE gene <> ''), sups AS (SELECT key, env AS node, dose AS x FROM scen WHERE env <> '')"""
+_GXE_END = """, v AS (SELECT s.*, value FROM scen s JOIN solved o ON o.key = s.key),
+w AS (SELECT a.network, a.gene, a.mode, a.env, a.dose, CASE WHEN we.value > 0 THEN CASE WHEN a.value / we.value <= 0 THEN '-Infinity'::DOUBLE ELSE log2(a.value / we.value) END ELSE '-Infinity'::DOUBLE END AS le, CASE WHEN wa.value > 0 THEN CASE WHEN b.value / wa.value <= 0 THEN '-Infinity'::DOUBLE ELSE log2(b.value / wa.value) END ELSE '-Infinity'::DOUBLE END AS la
+  FROM v a JOIN v b ON b.network = a.network AND b.gene = a.gene AND b.mode = a.mode AND b.env = '' JOIN v we ON we.network = a.network AND we.gene = '' AND we.env = a.env AND we.dose = a.dose JOIN v wa ON wa.network = a.network AND wa.gene = '' AND wa.env = '' WHERE a.gene <> '' AND a.env <> '')
+SELECT network, gene, mode, env, dose, round(la, 6) AS l_ambient, round(le, 6) AS l_env, CASE WHEN isfinite(le) AND isfinite(la) THEN round(le - la, 6) END AS gxe, coalesce(isfinite(le) AND isfinite(la) AND abs(le - la) > 0.1, false) AS significant FROM w"""
+
+
+@query(_W + _GXE + sql_solve("algebraic") + _GXE_END)
 def sim14_gxe(spark, d: str) -> DataFrame:
-    """Anchored table over all doses in one run (SIM14, SIM15, JN12, SCA17)."""
-    return _gxe(spark, d).select("gene", "mode", "env", "dose", *[F.round(c, 6).alias(c) for c in ("l_ambient", "l_env", "gxe")], "significant")
+    """Anchored table of all networks over all doses in one run (SIM14, SIM15, JN12, SCA17)."""
+    return _gxe(spark, d).select("network", "gene", "mode", "env", "dose", *[F.round(c, 6).alias(c) for c in ("l_ambient", "l_env", "gxe")], "significant")
 
 
 @query()
 def jn11_gxe_cross(spark, d: str) -> DataFrame:
-    return R.gxe_cross(_gxe(spark, d)).select("gene", "mode", "dose", "env_a", "env_b", F.round("gxe_cross", 6).alias("gxe_cross"), "significant")
+    return R.gxe_cross(_gxe(spark, d)).select("network", "gene", "mode", "dose", "env_a", "env_b", F.round("gxe_cross", 6).alias("gxe_cross"), "significant")
 
 
 @query()
@@ -207,78 +283,99 @@ def agg30_engine_agreement(spark, d: str) -> DataFrame:
     a, o = _gxe(spark, d), _gxe(spark, d, "ode")
     j = a.select(*key, F.col("gxe").alias("a")).join(o.select(*key, F.col("gxe").alias("o")), key)
     both = (F.abs("a") > 0.1) & (F.abs("o") > 0.1)
-    return j.groupBy("env").agg(F.count_if(both).alias("n_both"), F.count_if(both & ((F.col("a") > 0) == (F.col("o") > 0))).alias("n_agree"))
+    return j.groupBy("network", "env").agg(F.count_if(both).alias("n_both"), F.count_if(both & ((F.col("a") > 0) == (F.col("o") > 0))).alias("n_agree"))
 
 
 @query()
 def agg31_saturation(spark, d: str) -> DataFrame:
-    return R.saturation(_gxe(spark, d)).select("env", "dose", F.round("swing", 6).alias("swing"), "saturated")
+    return R.saturation(_gxe(spark, d)).select("network", "env", "dose", F.round("swing", 6).alias("swing"), "saturated")
 
 
 @query()
 def srt3_top_hits(spark, d: str) -> DataFrame:
     """The three largest contrasts of each lever at its largest unsaturated dose, else its smallest."""
-    t = _gxe(spark, d)
+    t = staged(_gxe(spark, d), "anchored")
     s = R.saturation(t)
     dose = s.groupBy("network", "env").agg(F.coalesce(F.max(F.when(~F.col("saturated"), F.col("dose"))), F.min("dose")).alias("dose"))
     hits = t.join(dose, ["network", "env", "dose"]).where("gxe is not null")
-    return G.top_by(hits, ["network", "env"], 3, F.abs("gxe").desc(), F.col("gene"), F.col("mode")).select("env", "dose", "gene", "mode", F.round("gxe", 6).alias("gxe"))
+    return G.top_by(hits, ["network", "env"], 3, F.abs("gxe").desc(), F.col("gene"), F.col("mode")).select("network", "env", "dose", "gene", "mode", F.round("gxe", 6).alias("gxe"))
 
 
-def _trace(spark, d: str) -> DataFrame:
-    nodes, _, net = flow_network(spark, d)
-    one = R.singles(nodes.where("id = '3'").select("network", "id")).where("mode = 'KO'")
-    return R.trace_table(X.solve_expr(one, net, "algebraic", trace=True), ["network", "mode"])
+# ---- traced runs: of each network the knock-out of its best connected gene
 
 
-@query()
+def _seeds(spark, d: str) -> DataFrame:
+    """(key, node): of each network the gene of the highest degree, of equals the first by name."""
+    deg = G.degrees(net_edges(spark, d)).select("network", "node", "degree").join(genes(spark, d).select("network", F.col("id").alias("node")), ["network", "node"])
+    return G.top_by(deg, ["network"], 1, F.col("degree").desc(), F.col("node")).select(F.col("network").alias("key"), "node")
+
+
+def _traced(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """The trace (key, step, node, value), and the perturbed nodes (key, node)."""
+    seeds = staged(_seeds(spark, d), "seeds")
+    one = F.create_map(F.col("node"), F.lit(0.0))
+    runs = seeds.select("key", F.col("key").alias("network"), one.alias("modifiers"), F.create_map().cast(R.EMPTY).alias("supply"))
+    return staged(X.trace_arrow(runs, networks(spark, d), "algebraic"), "trace"), seeds
+
+
+_SEEDS = """, deg AS (SELECT network, node, count(*) AS n FROM (SELECT network, source AS node FROM edges UNION ALL SELECT network, target FROM edges) GROUP BY ALL),
+scen AS (SELECT network, network AS key, node, '' AS ph FROM (SELECT g.network, g.id AS node, row_number() OVER (PARTITION BY g.network ORDER BY n DESC, g.id) AS rn FROM nodes g JOIN deg ON deg.network = g.network AND deg.node = g.id WHERE g.type NOT IN ('ENVIRONMENT', 'PHENOTYPE', 'PROCESS')) WHERE rn = 1),
+mods AS (SELECT key, node, 0.0::DOUBLE AS m FROM scen), sups AS (SELECT key, node, 0.0::DOUBLE AS x FROM scen WHERE false)"""
+_TRACE = _W + _SEEDS + sql_solve("algebraic")
+
+
+@query(_TRACE + f" SELECT key AS network, it AS step, id AS node, {sql_shown('v')} AS value FROM st")
 def sim16_trace(spark, d: str) -> DataFrame:
-    return _trace(spark, d).select("step", "node", F.round("value", 6).alias("value"), F.round("change", 6).alias("change"))
+    return _traced(spark, d)[0].select(F.col("key").alias("network"), "step", "node", shown("value"))
 
 
-@query()
+@query(_TRACE + ", s0 AS (SELECT key, id, v FROM st WHERE it = 0) SELECT st.key AS network, st.id AS node, CASE WHEN scen.key IS NOT NULL THEN 0 ELSE min(st.it) FILTER (WHERE abs(st.v - s0.v) > 1e-4) END AS arrival FROM st JOIN s0 ON s0.key = st.key AND s0.id = st.id LEFT JOIN scen ON scen.key = st.key AND scen.node = st.id GROUP BY st.key, st.id, scen.key")
 def win6_arrival(spark, d: str) -> DataFrame:
     """First step at which a node has left its start by more than the tolerance; the perturbed node at step 0."""
-    t = _trace(spark, d)
-    start = t.where("step = 0").select("node", F.col("value").alias("start"))
-    j = t.join(start, "node")
-    return j.groupBy("node").agg(F.when(F.col("node") == "3", 0).otherwise(F.min(F.when(F.abs(F.col("value") - F.col("start")) > 1e-4, F.col("step")))).alias("arrival"))
+    return R.arrivals(*_traced(spark, d)).select(F.col("key").alias("network"), "node", "arrival")
 
 
-@query()
+@query(_TRACE + ", e AS (SELECT key, id, arg_max(v, it) AS v FROM st GROUP BY ALL), c AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY key, id ORDER BY it)) AS ch FROM st), dd AS (SELECT c.key, c.it, sqrt(sum(power(c.v - e.v, 2))) AS dist, max(ch) AS mc FROM c JOIN e ON e.key = c.key AND e.id = c.id GROUP BY 1, 2), w AS (SELECT *, first_value(dist) OVER (PARTITION BY key ORDER BY it) AS whole FROM dd) SELECT key AS network, it AS step, round(CASE WHEN whole > 0 THEN 1 - dist / whole ELSE 1.0 END, 6) AS progress, " + sql_shown("mc") + " AS max_change FROM w")
 def win7_progress(spark, d: str) -> DataFrame:
     """How far the state has come at each step: 1 less its distance to the end over the start's distance to the end."""
-    t = _trace(spark, d)
-    end = t.groupBy("node").agg(F.max_by("value", "step").alias("end"))
-    dist = t.join(end, "node").groupBy("step").agg(F.sqrt(F.sum(F.pow(F.col("value") - F.col("end"), F.lit(2)))).alias("dist"), F.max("change").alias("max_change"))
-    whole = F.first("dist").over(Window.partitionBy().orderBy("step"))  # one row a step: a few dozen
-    return dist.select("step", F.round(F.when(whole > 0, 1 - F.try_divide(F.col("dist"), whole)).otherwise(1.0), 6).alias("progress"), F.round("max_change", 6).alias("max_change"))
+    return R.progress(_traced(spark, d)[0]).select(F.col("key").alias("network"), "step", F.round("progress", 6).alias("progress"), shown("max_change"))
 
 
 @query()
 def sim18_chapters(spark, d: str) -> DataFrame:
-    """Steps of a run by chapter: wave while nodes still arrive, relax until 99 percent of the way, then steady."""
-    last = win6_arrival(spark, d).agg(F.max("arrival").alias("last"))
-    p = win7_progress(spark, d)
-    chapter = F.when(F.col("step") <= F.coalesce("last", F.lit(0)), "wave").when(F.col("progress") < 0.99, "relax").otherwise("steady")
-    return p.join(last).groupBy(chapter.alias("chapter")).agg(F.min("step").alias("first_step"), F.max("step").alias("last_step"))
+    """Steps of each run by chapter: wave, relax, steady."""
+    return R.chapters(*_traced(spark, d)).withColumnRenamed("key", "network")
 
 
-@query()
+@query(_TRACE + ", s0 AS (SELECT key, id, v FROM st WHERE it = 0), p AS (SELECT st.key AS network, st.id AS node, least(max(abs(st.v - s0.v)), 1e5) AS peak FROM st JOIN s0 ON s0.key = st.key AND s0.id = st.id GROUP BY 1, 2) SELECT network, node, round(peak, 6) AS peak FROM (SELECT *, row_number() OVER (PARTITION BY network ORDER BY round(peak, 6) DESC, node) AS rn FROM p WHERE round(peak, 6) > 0) WHERE rn <= 28")
 def srt6_responders(spark, d: str) -> DataFrame:
-    """Nodes by their largest departure from the start, at most 28 (GRF10's budget)."""
-    t = _trace(spark, d)
-    start = t.where("step = 0").select("node", F.col("value").alias("start"))
-    peak = t.join(start, "node").groupBy("node").agg(F.round(F.max(F.abs(F.col("value") - F.col("start"))), 6).alias("peak")).where("peak > 0")
-    return peak.orderBy(F.col("peak").desc(), "node").limit(28)
+    """Of each network the nodes of the largest departure from the start, at most 28 (GRF10's budget)."""
+    peak = R.responders(_traced(spark, d)[0]).select(F.col("key").alias("network"), "node", shown("peak")).where("peak > 0")
+    return G.top_by(peak, ["network"], 28, F.col("peak").desc(), F.col("node"))
+
+
+def _active(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Members (network, node, role) of the active subgraph of each network, and the edges of all networks."""
+    trace, seeds = _traced(spark, d)
+    edges = staged(net_edges(spark, d), "edges")
+    moved = R.responders(trace).where("peak > 1e-4").select(F.col("key").alias("network"), "node", "peak")
+    seeds = seeds.withColumnRenamed("key", "network")
+    ph = phenotypes(spark, d).withColumnRenamed("phenotype", "node")
+    members = G.active_members(edges, moved, seeds, ph)
+    return G.bridged(edges, members), edges
 
 
 @query()
 def grf10_active_subgraph(spark, d: str) -> DataFrame:
-    """Edges among the responders, the perturbed node and the phenotype."""
-    _, edges, _ = flow_network(spark, d)
-    members = srt6_responders(spark, d).select(F.lit("flow").alias("network"), "node").union(spark.createDataFrame([("flow", "3"), ("flow", PHENOTYPE)], "network string, node string")).distinct()
-    return G.induced(edges, members).select("source", "target", "sign")
+    """Members of each network's active subgraph with what they are there for: core, spine, responder or bridge (GRF10, GRF11)."""
+    return _active(spark, d)[0]
+
+
+@query()
+def grf10_active_edges(spark, d: str) -> DataFrame:
+    """Edges among the members."""
+    members, edges = _active(spark, d)
+    return G.induced(edges, members).select("network", "source", "target", "sign")
 
 
 # ---- scalar functions over whole tables

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from sprigwork.functions import scalars as S
 from sprigwork.operators import fixpoint as X
 from sprigwork.operators import scenarios as R
 
@@ -40,7 +41,8 @@ def test_damping_keeps_the_old_value(spark):
 def test_epistasis_is_symmetric_and_vanishes_without_a_way(spark):
     net = network(spark, [("A", "P", 1), ("B", "P", 1), ("X", "Y", 1)])
     nodes = spark.createDataFrame([("n", x) for x in "ABX"], "network string, id string")
-    rows = R.epistasis(nodes, net, "P").collect()
+    ph = spark.createDataFrame([("n", "P")], "network string, phenotype string")
+    rows = R.epistasis(nodes, net, ph).collect()
     assert len(rows) == 3 * 9 and all(r.node_a < r.node_b for r in rows)
     assert all(abs(r.epsilon) <= 1e-2 for r in rows if "X" in (r.node_a, r.node_b) and r.epsilon is not None)
 
@@ -87,3 +89,46 @@ def test_engine_equals_plain_loops(spark, method):
         state, done, n = by_hand(edges, method, mods, sup, X.DEFAULTS[method]["steps"])
         assert (got[key].converged, got[key].iterations) == (done, n)
         assert dict(zip(got[key].ids, got[key].state)) == pytest.approx(state, abs=1e-9)
+
+
+def test_parts_of_a_network_and_parameters_of_a_scenario(spark, monkeypatch):
+    monkeypatch.setattr(X, "PART", 3)
+    net = network(spark, LOOP)
+    rows = [(f"{i}", "n" if i % 7 else "gone", {"A": i / 10}, {}, "P", {"damping": 0.5} if i % 2 else None) for i in range(40)]
+    scen = spark.createDataFrame(rows, "key string, network string, modifiers map<string,double>, supply map<string,double>, phenotype_node string, params map<string,double>")
+    got = {r.key: (r.value, r.iterations) for r in X.solve_arrow(scen, net, "algebraic").collect()}
+    assert set(got) == {str(i) for i in range(40) if i % 7}
+    for damping, odd in ((0.7, 0), (0.5, 1)):
+        one = {r.key: (r.value, r.iterations) for r in X.with_node(X.solve_expr(scen.drop("params"), net, "algebraic", {"damping": damping}), "P").collect()}
+        assert all(got[k] == (pytest.approx(v[0], abs=1e-9), v[1]) for k, v in one.items() if int(k) % 2 == odd and k in got)
+
+
+@pytest.mark.parametrize("activation", list(X.ACTIVATION))
+@pytest.mark.parametrize("inhibition", list(X.INHIBITION))
+def test_menu_equals_the_scalar_functions(spark, activation, inhibition):
+    edges = [("A", "P", 1), ("B", "P", 1), ("C", "P", -1), ("D", "P", -1)]
+    net = network(spark, edges)
+    menu = spark.createDataFrame([("n", "P", activation, inhibition)], "network string, id string, activation string, inhibition string")
+    values = {"A": 0.5, "B": 1.5, "C": 0.0, "D": 1.8}
+    got = X.solve_arrow(scenarios(spark, [("k", values, {})]), X.with_menu(net, menu), "algebraic", {"damping": 0.0, "steps": 3}).first().value
+    df = spark.createDataFrame([([0.5, 1.5], [0.0, 1.8])], "a array<double>, h array<double>")
+    want = df.select(S.ACTIVATIONS[activation](F.col("a")).alias("a"), S.INHIBITIONS[inhibition](F.col("h")).alias("h")).first()
+    assert got == pytest.approx(want.a * want.h, abs=1e-9)
+
+
+def test_unknown_functions_are_refused():
+    with pytest.raises(ValueError, match="no such function: nope"):
+        X.Compiled(["A"], [{"a": [], "h": []}], [{"a": "nope", "h": None}])
+
+
+def test_influences_add_and_take_away_supply(spark):
+    acts = spark.createDataFrame([("n", "B", "X", 1), ("n", "B", "Y", -1), ("n", "C", "Z", 1), ("m", "B", "X", 1)], "network string, node string, source string, sign int")
+    got = {r.key: r.supply for r in X.with_influences(scenarios(spark, [("a", {}, {"X": 2.0, "Y": 0.5, "B": 1.0}), ("b", {}, None), ("c", {}, {"Q": 1.0})]), acts).collect()}
+    assert got == {"a": {"X": 2.0, "Y": 0.5, "B": 2.5}, "b": {}, "c": {"Q": 1.0}}
+
+
+def test_trace_arrow_equals_the_other_engine(spark):
+    net, scen = network(spark, LOOP), scenarios(spark, RUNS[:3])
+    want = {(r.key, n, x): v for r in X.solve_expr(scen, net, "ode", trace=True).collect() for n, state in enumerate(r.trace) for x, v in zip(r.ids, state)}
+    got = {(r.key, r.step, r.node): r.value for r in X.trace_arrow(scen, net, "ode").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)

@@ -37,9 +37,34 @@ def test_empty(spark):
 
 
 def test_a_chain_of_two_hundred_nodes_is_no_floating_one(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     names = [f"n{i:03d}" for i in range(200)]
     edges = spark.createDataFrame([("n", a, b, 1) for a, b in zip(names, names[1:])], E)
     nodes = spark.createDataFrame([("n", x, "PHENOTYPE" if x == names[-1] else "GENE", None) for x in names], N)
     hops = {r.node: r.hops for r in G.distances(edges, G.phenotypes(nodes)).collect()}
     assert hops == {x: 199 - i for i, x in enumerate(names)}
     assert {r.component for r in G.components(nodes, edges).collect()} == {"n000"}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_active_subgraph_keeps_core_spine_and_budget(spark):
+    chain = ["S", "M1", "M2", "P"]
+    pairs = list(zip(chain, chain[1:])) + [(f"R{i}", "P") for i in range(6)]
+    edges = spark.createDataFrame([("n", a, b, 1) for a, b in pairs] + [("q", "S", "P", 1), ("q", "A", "P", 1)], E)
+    moved = spark.createDataFrame([("n", f"R{i}", 1.0 + i) for i in range(6)], "network string, node string, peak double")
+    seeds = spark.createDataFrame([("n", "S"), ("q", "S")], "network string, node string")
+    ph = spark.createDataFrame([("n", "P"), ("q", "P")], "network string, node string")
+    small = {(r.network, r.node): r.role for r in G.active_members(edges, moved, seeds, ph, 6).collect()}
+    assert {k[1]: v for k, v in small.items() if k[0] == "n"} == {"S": "core", "P": "core", "M1": "spine", "M2": "spine", "R5": "responder", "R4": "responder"}
+    assert {k[1] for k in small if k[0] == "q"} == {"S", "A", "P"}  # nothing moved there: shown whole
+    wide = {r.node for r in G.active_members(edges, moved, seeds, ph, 28).where("network = 'n'").collect()}
+    assert wide == {"S", "P", *(f"R{i}" for i in range(6))}
+
+
+def test_bridges_join_the_pieces_over_the_shortest_ways(spark):
+    pairs = [("A", "B"), ("B", "C"), ("C", "X"), ("D", "X"), ("D", "Y"), ("Y", "Z"), ("Z", "E"), ("F", "F2"), ("C", "L1"), ("L1", "L2"), ("L2", "D")]
+    edges = spark.createDataFrame([("n", a, b, 1) for a, b in pairs], E)
+    members = spark.createDataFrame([("n", x, "responder") for x in "ABCDEF"], "network string, node string, role string")
+    got = {r.node for r in G.bridged(edges, members).where("role = 'bridge'").collect()}
+    assert got == {"X", "Y", "Z"}  # F has no way to the others
+    assert {r.node for r in G.bridged(edges, members, 1).where("role = 'bridge'").collect()} == {"X"}
