@@ -61,12 +61,13 @@ HARSH = frozenset(
 )
 YOU = frozenset("you your yours yourself yourselves u ur du dich dir dein deine deinen deiner euch tu te toi ton ta tes vous vos votre ti tus eres usted ustedes".split())
 OTHERS = frozenset("he she him her his they them their somebody someone anybody nobody everyone everybody whoever people guy guys man woman those er sie ihn ihr il elle lui ils elles el ella ellos".split())
-GROUP = re.compile(
-    r"\b(?:(?:im|e)?migrants?|foreigners?|refugees?|asylum seekers?|women|girls|wives|gays?|lesbians?|homosexuals?|trans(?:gender|sexual)?s?|queers?|(?:gay|old|young|disabled|black|white|poor|fat|deaf|blind|brown|homeless|transgender|jewish|muslim|religious) people|"
-    r"cripples?|the elderly|(?:un|non )?believers?|atheists?|jews?|muslims?|christians?|hindus?|buddhists?|catholics?|blacks?|whites?|asians?|arabs?|africans?|indians?|mexicans?|chinese|turks?|poles|russians?|gypsies|roma|natives|people (?:from|of|with) (?:the )?\w+|"
-    r"frauen|weiber|auslander|fluchtlinge|juden|muslime|schwule|lesben|behinderte|alte leute|migranten|turken|femmes|etrangers|immigres|refugies|juifs|musulmans|arabes|noirs|homosexuels|handicapes|vieux|"
-    r"mujeres|inmigrantes|extranjeros|refugiados|judios|musulmanes|negros|gitanos|homosexuales|discapacitados|viejos)\b"
+GROUP = frozenset(
+    "immigrant immigrants migrant migrants emigrants foreigner foreigners refugee refugees women girls wives gay gays lesbian lesbians homosexual homosexuals trans transgender transsexuals queer queers cripple cripples atheist atheists believer believers "
+    "jew jews muslim muslims christian christians hindu hindus buddhists catholics blacks whites asians arab arabs african africans indian indians mexican mexicans chinese turks poles russians gypsy gypsies roma natives elderly "
+    "frauen weiber auslander fluchtlinge juden muslime schwule lesben behinderte migranten turken femmes etrangers immigres refugies juifs musulmans arabes noirs homosexuels handicapes vieux "
+    "mujeres inmigrantes extranjeros refugiados judios musulmanes negros gitanos homosexuales discapacitados viejos".split()
 )
+PEOPLE = re.compile(r"\b(?:(?:gay|old|young|disabled|black|white|poor|fat|deaf|blind|brown|homeless|transgender|jewish|muslim|religious) people|people (?:from|of|with) (?:the )?\w+|asylum seekers?|alte leute)\b")
 DEROGATE = frozenset(
     "vermin cage cages caged zoo disease diseases plague cancer infest infesting invade invading breed breeding subhuman subhumans inferior animals apes locked shipped deport deported deportation deserve deserves exterminate gas stupid dumb brains "
     "brainless liars liar thieves thief steal steals stealing stolen criminals rapists terrorists trash garbage scum filth filthy dirty stink stinks parasites parasite lazy hate despise detest kitchen ruin ruins ruined banned unwelcome throw kick rid "
@@ -145,14 +146,22 @@ def _undone(word: str) -> set[str]:
     return {low.translate(LEET), low.replace("1", "l").translate(LEET)}
 
 
-def _sign(m: re.Match) -> str:
-    """A name or number as one sign, but a disguised word of the lexicons as it is."""
-    return m[0] if not m[0].isdigit() and not _OPEN.isdisjoint(_undone(m[0])) else "0"
+class _Signs(dict):
+    """Names and numbers with the sign that stands for them, disguised words of the lexicons with themselves."""
 
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        own = self[word] = "0" if word.isdigit() or _OPEN.isdisjoint(_undone(word)) else word
+        return own
 
-def masked(passage: str) -> str:
-    """A passage with names and numbers as one sign: they do not matter here."""
-    return _NAME.sub(_sign, passage)
+
+_SIGNS = _Signs()
+
+
+def masked(text: str) -> str:
+    """A text with names and numbers as one sign: they do not matter here."""
+    return _NAME.sub(lambda m: _SIGNS[m[0]], text)
 
 
 def _plain_word(word: str) -> list[str]:
@@ -207,14 +216,29 @@ FAMILIES = {
     "groups": ("group",), "sexual": ("explicit", "intimate", "solicit"), "harmless": ("rule", "technical", "critique"),
 }
 VOTERS = tuple(v for family in FAMILIES.values() for v in family)
+_NO_VOTES = (0,) * (len(VOTERS) - len(FAMILIES["harmless"]))
+
+
+def names_group(words: set[str], text: str) -> bool:
+    return not GROUP.isdisjoint(words) or not _PEOPLE.isdisjoint(words) and PEOPLE.search(text) is not None
+
+
+_PEOPLE = frozenset(("people", "seeker", "seekers", "leute"))
+#: One of these words every positive vote needs: the lexicons, the groups, and the words that the stock phrases begin with.
+_TRIGGERS = INSULT | HARSH | YOU | DEROGATE | VIOLENCE | HARM | ANIMAL | WASTE | EXPLICIT | INTIMATE | GROUP | _PEOPLE | frozenset(
+    "shut get go screw fuck piss bugger drop crawl burn stay back die halt halts verpiss fick leck hau geh va ferme ta casse nique degage cierra callate vete largate que chinga i watch ich je se yourself jump hook starredword "
+    "mother mom mum mama father dad parents family sister mutter eltern mere madre padres".split()
+)
 
 
 def votes(text: str) -> tuple[int, ...]:
     """The votes of all voters on a plain text, in the order of VOTERS."""
     words = set(text.split())
+    if _TRIGGERS.isdisjoint(words):
+        return (*_NO_VOTES, -int(len(words & RULES) > 1), -int(len(words & SCIENCE) > 1), -int(not WORK.isdisjoint(words)))
     has = {name: len(words & lexicon) for name, lexicon in CLASSES.items()}
     you, person = has["you"] > 0, has["you"] + has["others"] > 0
-    group = GROUP.search(text) is not None
+    group = names_group(words, text)
     calm = not (has["insult"] or you)
     own = {
         "insult_word": has["insult"] > 0,
@@ -329,31 +353,48 @@ class LabelModel:
 
 # ---------------------------------------------------------------- linear classifier
 
-_CLASS_OF = {w: [j for j, lexicon in enumerate(CLASSES.values()) if w in lexicon] for w in frozenset().union(*CLASSES.values())}
-_N = len(CLASSES) + 1  # the lexicon classes and the groups of people
+_LEXICONS = [*CLASSES.values(), GROUP]
+_N = len(_LEXICONS)
 #: Hashed words and pairs, classes, pairs of classes, bias.
 SIZE = WIDTH + _N + _N * _N + 1
 
 
+class _Words(dict):
+    """Words with their hash and their lexicon classes; a word with a digit is a name."""
+
+    def __missing__(self, word: str) -> tuple[int, tuple[int, ...]]:
+        if len(self) > 500_000:
+            self.clear()
+        plain_ = "#" if any(c.isdigit() for c in word) else word
+        own = self[word] = zlib.crc32(plain_.encode()), tuple(j for j, lexicon in enumerate(_LEXICONS) if plain_ in lexicon)
+        return own
+
+
+_WORDS = _Words()
+
+
 def features(text: str) -> list[int]:
     """Hashed words and word pairs of a plain text, its lexicon classes and their pairs. The votes are not among them."""
-    words = ["#" if any(c.isdigit() for c in w) else w for w in text.split()]
-    hashes = [zlib.crc32(w.encode()) for w in words]
+    known = [_WORDS[w] for w in text.split()]
+    hashes = [h for h, _ in known]
     out = {h % WIDTH for h in hashes}
-    out.update((a * 1_000_003 ^ b) % WIDTH for a, b in zip(hashes, hashes[1:]))
-    classes = {j for w in words for j in _CLASS_OF.get(w, ())} | ({_N - 1} if GROUP.search(text) else set())
+    out.update([(a * 1_000_003 ^ b) % WIDTH for a, b in zip(hashes, hashes[1:])])
+    classes = {j for _, own in known for j in own}
+    if not _PEOPLE.isdisjoint(text.split()) and PEOPLE.search(text):
+        classes.add(_N - 1)
     out.update(WIDTH + j for j in classes)
     out.update(WIDTH + _N + a * _N + b for a in classes for b in classes if a < b)
-    return sorted(out)
+    return list(out)
 
 
 class Rows:
     """Feature lists as flat arrays, each row scaled to unit length."""
 
-    def __init__(self, rows: list[list[int]]) -> None:
-        sizes = np.array([len(r) for r in rows], np.int64)
+    def __init__(self, rows: list[list[int]] | pa.ListArray) -> None:
+        column = rows if isinstance(rows, pa.ListArray) else pa.array(rows, pa.list_(pa.int32()))
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.ends = np.concatenate([[0], np.cumsum(sizes)])
-        self.at = np.array([x for r in rows for x in r], np.int64)
+        self.at = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         self.scale = 1.0 / np.sqrt(np.maximum(sizes, 1))
 
     def margins(self, weights: np.ndarray) -> np.ndarray:
@@ -404,7 +445,7 @@ def cross_fitted(rows: list[list[int]], labels: np.ndarray, open_rows: np.ndarra
     return out
 
 
-def probabilities(weights: np.ndarray, rows: list[list[int]]) -> np.ndarray:
+def probabilities(weights: np.ndarray, rows: list[list[int]] | pa.ListArray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(Rows(rows).margins(weights), -30, 30)))
 
 
@@ -443,7 +484,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, source, keys) and their distinct passages (key, text, n, votes), from one pass over the texts."""
+    """Documents (doc_id, source, keys) and their distinct passages (key, text, n, votes, at: features), from one pass over the texts."""
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string"))
     both = staged(spread(rows).mapInArrow(_cut, "doc_id bigint, source string, keys array<bigint>, text string, n bigint"), "passages")
     distinct = both.where("text is not null").select(F.col("keys")[0].alias("key"), "text", "n").groupBy("key").agg(F.min("text").alias("text"), F.sum("n").alias("n"))
@@ -451,9 +492,9 @@ def cut(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [plain(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array(["".join("-0+"[v + 1] for v in votes(t)) for t in texts], pa.string())], names=["key", "text", "n", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array(["".join(["-0+"[v + 1] for v in votes(t)]) for t in texts], pa.string()), pa.array([features(t) for t in texts], pa.list_(pa.int32()))], names=["key", "text", "n", "votes", "at"])
 
-    voted = staged(spread(distinct, "key").mapInArrow(vote, "key bigint, text string, n bigint, votes string"), "votes")
+    voted = staged(spread(distinct, "key").mapInArrow(vote, "key bigint, text string, n bigint, votes string, at array<int>"), "votes")
     return both.where("text is null").select("doc_id", "source", "keys"), voted
 
 
@@ -483,8 +524,8 @@ def fit(voted: DataFrame, without: tuple[str, ...] = ()) -> tuple[LabelModel, np
     positive = F.contains("votes", F.lit("+"))
     sample = []
     for which, most in ((positive, TRAIN_VOTED), (~positive, TRAIN_PLAIN)):
-        sample += voted.where(which).orderBy(place, "text").limit(most).select("text", "votes").collect()
-    rows, votes_of = [features(r["text"]) for r in sample], coded(sample)
+        sample += voted.where(which).orderBy(place, "text").limit(most).select("votes", "at").collect()
+    rows, votes_of = [list(r["at"]) for r in sample], coded(sample)
     labels = model.posterior(votes_of)
     return model, train(rows, cross_fitted(rows, labels, (votes_of == 0).all(1)))
 
@@ -496,10 +537,10 @@ def passage_scores(voted: DataFrame, weights: np.ndarray) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value.astype(float)
         for batch in batches:
-            scores = np.round(probabilities(w, [features(t) for t in batch.column(1).to_pylist()]), 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64())], names=["key", "n", "score"])
+            scores = np.round(probabilities(w, batch.column(2)), 6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["key", "n", "score"])
 
-    return spread(voted.select("key", "text", "n")).mapInArrow(apply, "key bigint, n bigint, score double")
+    return spread(voted.select("key", "n", "at")).mapInArrow(apply, "key bigint, n bigint, score double")
 
 
 def scored(documents: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
