@@ -128,9 +128,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def equations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(network, node, type, is_source, activators, inhibitors): regulators by name; every node has a row."""
-    own = lambda sign: F.array_sort(F.collect_list(F.when(F.col("sign") == sign, F.col("source"))))
+def equations(nodes: DataFrame, edges: DataFrame, order: str | None = None) -> DataFrame:
+    """(network, node, type, activators, inhibitors, is_source): every node has a row, regulators stand by name.
+
+    order: a column of the edges that they stand by first (their first appearance), then by name.
+    """
+    first = F.col(order) if order else F.lit(0)
+    own = lambda sign: F.transform(F.array_sort(F.collect_list(F.when(F.col("sign") == sign, F.struct(first.alias("o"), F.col("source").alias("s"))))), lambda x: x["s"])
     regs = edges.groupBy("network", F.col("target").alias("id")).agg(own(1).alias("activators"), own(-1).alias("inhibitors"))
     none = F.array().cast("array<string>")
     out = nodes.join(regs, ["network", "id"], "left")

@@ -8,8 +8,11 @@ converged, perturbation_type. Unknown labels count as unchanged in the matrix; n
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -150,32 +153,49 @@ def stratified(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     return every.join(measured, [*keys, "stratum"], "left").select(*keys, "stratum", F.coalesce("total", zero).alias("n"), F.coalesce("n_correct", zero).alias("n_correct"), "accuracy", "kappa")
 
 
-def bootstrap(results: DataFrame, keys: Sequence[str], id_col: str, replicates: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+def _replicates(replicates: int, seed: int, confidence: float, n_keys: int):
+    """Per group of nine cell counts: the percentile limits of accuracy, kappa and MCC over the replicates."""
+    low, high = int((1 - confidence) / 2 * replicates), min(int((1 + confidence) / 2 * replicates), replicates - 1)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[float | None]] = []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)))) or [()] * batch.num_rows
+            for key, counts in zip(keys, zip(*(batch.column(n_keys + i).to_pylist() for i in range(9)))):
+                n = sum(counts)
+                rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+                c = rng.multinomial(n, np.array(counts) / n, size=replicates).reshape(replicates, 3, 3).astype(float)
+                rows, cols, hit = c.sum(2), c.sum(1), c[:, range(3), range(3)]
+                right = hit.sum(1) / n
+                chance = (rows * cols).sum(1) / n**2
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    kappa_ = np.where(chance == 1, 0.0, (right - chance) / (1 - chance))
+                    fp, fn = cols - hit, rows - hit
+                    tn = n - hit - fp - fn
+                    d = np.sqrt((hit + fp) * (hit + fn) * (tn + fp) * (tn + fn))
+                    each = np.where(d > 0, (hit * tn - fp * fn) / d, 0.0)
+                used = (d > 0).sum(1)
+                mcc_ = np.where(used > 0, each.sum(1) / np.maximum(used, 1), 0.0)
+                out.append([round(float(np.sort(x)[i]), 4) for x in (right * 100, kappa_, mcc_) for i in (low, high)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], *(pa.array([r[i] for r in out], pa.float64()) for i in range(6))], names=[*batch.schema.names[:n_keys], *_LIMITS])
+
+    return apply
+
+
+_LIMITS = [f"{name}_{end}" for name in ("accuracy", "kappa", "mcc") for end in ("low", "high")]
+
+
+def bootstrap(results: DataFrame, keys: Sequence[str], replicates: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """Percentile intervals of accuracy, kappa and MCC.
 
-    Drawing n of n results with replacement changes only the nine cell counts, so each replicate draws these: each result
-    gets a Poisson(1) weight per replicate from a hash of its id, and the weights are summed by cell in one aggregate.
-    Rows are first summed by cell inside the map side; nothing but (group, replicate, cell) is shuffled.
+    Drawing n of n results with replacement changes only the nine cell counts, and these are then multinomial; so the results are
+    counted once, and each group's replicates are drawn from its counts, however many results there are. The draws of a group
+    depend on the seed and its key only.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    limits, acc, term = [], 0.0, math.exp(-1)
-    for k in range(8):
-        acc += term
-        limits.append(acc)
-        term /= k + 1
-    weight = F.lit(8)
-    for k in range(7, -1, -1):
-        weight = F.when(F.col("u") < limits[k], k).otherwise(weight)
-    e, p = _known(F.col("expected")), _known(F.col("predicted"))
-    cells = [F.sum(F.when((e == a) & (p == b), F.col("w")).otherwise(0)).alias(_cell(i, j)) for i, a in enumerate(LABELS) for j, b in enumerate(LABELS)]
-    drawn = results.select(*keys, id_col, "expected", "predicted", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("u", u).withColumn("w", weight)
-    totals = drawn.groupBy(*keys, "rep").agg(*cells)
-    n = _sum([F.col(_cell(i, j)) for i in range(3) for j in range(3)])
-    right = _sum([F.col(_cell(i, i)) for i in range(3)])
-    each = totals.withColumn("total", n).withColumn("n_correct", right).select(*keys, accuracy().alias("a"), kappa().alias("k"), mcc().alias("m"))
-    low, high = int((1 - confidence) / 2 * replicates), int((1 + confidence) / 2 * replicates)
-    at = lambda c, i: F.round(F.element_at(F.sort_array(F.collect_list(c)), min(i, replicates - 1) + 1), 4)
-    return each.groupBy(*keys).agg(*[at(c, i).alias(f"{name}_{end}") for c, name in (("a", "accuracy"), ("k", "kappa"), ("m", "mcc")) for i, end in ((low, "low"), (high, "high"))])
+    cells = [_cell(i, j) for i in range(3) for j in range(3)]
+    counted = confusion(results, keys).select(*keys, *cells)
+    kinds = dict(counted.dtypes)
+    return counted.mapInArrow(_replicates(replicates, seed, confidence, len(keys)), ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{x} double" for x in _LIMITS)]))
 
 
 def observed_kappa(results: DataFrame, keys: Sequence[str]) -> DataFrame:

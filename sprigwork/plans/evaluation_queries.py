@@ -164,7 +164,7 @@ def agg11_stratified(spark, d: str) -> DataFrame:
 @query()
 def agg15_bootstrap(spark, d: str) -> DataFrame:
     """Seeded hash draws; no SQL twin (the draws are not portable), tested for width and coverage."""
-    return M.bootstrap(master(spark, d), ["method"], "master_key")
+    return M.bootstrap(master(spark, d), ["method"])
 
 
 def _pairs(spark, d: str, a: str, b: str) -> DataFrame:

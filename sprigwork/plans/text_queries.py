@@ -12,11 +12,14 @@ from sprigwork.functions import scalars as S
 from sprigwork.functions import text as T
 from sprigwork.functions.doi import bare_doi, doi_slug
 from sprigwork.operators import evidence as E
+from sprigwork.operators import graph as G
 from sprigwork.operators import metrics as M
-from sprigwork.plans.frames import SQL_EDGES, SQL_NODES, live_nodes, net_edges
+from sprigwork.operators import scenarios as R
+from sprigwork.plans.frames import SQL_EDGES, SQL_NODES, live_nodes, net_edges, sql_expand
 from sprigwork.plans.graph_queries import _DOI, cascade
 from sprigwork.session import staged
 from sprigwork.sources import codecs as C
+from sprigwork.sources import exports as P
 from sprigwork.tables import load
 
 QUERIES: dict[str, Callable] = {}
@@ -212,9 +215,10 @@ def str19_alias_harvest(spark, d: str) -> DataFrame:
     return x.select("equation_key", "x.left", "x.right").where("left <> ''")
 
 
-@query("SELECT paper_key, CAST(len(list_filter(string_split(coalesce(authors, ''), ';'), lambda a: trim(a) <> '')) AS INTEGER) AS n_authors FROM papers")
+@query("SELECT paper_key, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos, unnest(a) AS author FROM (SELECT paper_key, list_filter(list_transform(string_split(coalesce(authors, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS a FROM papers)")
 def str20_authors(spark, d: str) -> DataFrame:
-    return load(spark, d, "papers").select("paper_key", F.size(F.filter(F.split(F.coalesce("authors", F.lit("")), ";"), lambda a: F.trim(a) != "")).alias("n_authors"))
+    names = F.filter(F.transform(F.split(F.coalesce("authors", F.lit("")), ";"), lambda a: F.btrim(a, F.lit(" \t\r\n" + T.BLANKS))), lambda a: a != "")
+    return load(spark, d, "papers").select("paper_key", F.posexplode(names).alias("pos", "author"))
 
 
 @query()
@@ -268,18 +272,49 @@ def evd5_prefetch(spark, d: str) -> DataFrame:
 @query(f"{W} SELECT network, source, target, sign FROM edges")
 def snk2_table_round_trip(spark, d: str) -> DataFrame:
     """Edges as counted tab tables (one a network) and back (SNK2, SRC2)."""
-    enc = C.encode_table(net_edges(spark, d), "edges", ["source", "target", "sign"], "network", ["source", "target"])
-    dec = C.decode_tables(enc.where("text is not null").select(F.col("network").alias("path"), F.col("text").alias("value")))
+    lines = C.table_lines(net_edges(spark, d), "edges", ["source", "target", "sign"], "network", ["source", "target"])
+    dec = C.decode_lines(lines.select(F.col("network").alias("path"), "part", "line"))
     at = lambda c: F.try_element_at("cells", F.lit(c))
     return dec.where("error is null").select(F.col("path").alias("network"), at("source").alias("source"), at("target").alias("target"), at("sign").cast("int").alias("sign"))
 
 
-@query(f"{W} SELECT e.network, e.source, e.target, e.sign FROM edges e WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.network = e.network)")
+_SHORT_EDGES = {k: v for k, v in C.EDGE_KEYS.items() if k != "v"}
+
+
+@query("SELECT edge_key, CASE WHEN trim(edge_id) <> '' THEN edge_id END AS edge_id, CASE WHEN trim(source) <> '' THEN source END AS source, CASE WHEN trim(target) <> '' THEN target END AS target, sign, CASE WHEN trim(doi) <> '' THEN doi END AS doi FROM network_edges")
+def snk1_short_edges(spark, d: str) -> DataFrame:
+    """Edges as short-key JSON without blanks, and back to long names (SNK1, SRC1)."""
+    e = load(spark, d, "network_edges")
+    text = e.select("edge_key", C.short_json(e, _SHORT_EDGES).alias("t"))
+    return text.select("edge_key", *C.long_record(F.col("t"), _SHORT_EDGES, dict(e.dtypes)))
+
+
+@query(f"SELECT node_key, CASE WHEN trim(node_id) <> '' THEN node_id END AS id, CASE WHEN trim(node_type) <> '' THEN {sql_expand('node_type', S.NODE_TYPES)} END AS type, CASE WHEN trim(full_name) <> '' THEN full_name END AS full_name, CASE WHEN is_source THEN true END AS is_source FROM network_nodes")
+def snk1_short_nodes(spark, d: str) -> DataFrame:
+    """Nodes as short-key JSON with short type codes, and back."""
+    n = load(spark, d, "network_nodes").select("node_key", F.col("node_id").alias("id"), S.expand(F.col("node_type"), S.NODE_TYPES).alias("type"), "full_name", "is_source")
+    codes = {"type": S.NODE_TYPES}
+    text = n.select("node_key", C.short_json(n, C.NODE_KEYS, codes).alias("t"))
+    return text.select("node_key", *C.long_record(F.col("t"), C.NODE_KEYS, dict(n.dtypes), codes))
+
+
+@query(f"{W} SELECT network, source, target, sign FROM edges")
 def snk7_graphml_round_trip(spark, d: str) -> DataFrame:
-    lines = C.graphml_lines(live_nodes(spark, d), net_edges(spark, d).join(live_nodes(spark, d).select("network").distinct(), "network", "left_semi"))
+    lines = C.graphml_lines(live_nodes(spark, d), net_edges(spark, d))
     return C.read_graphml(lines.select("network", F.col("line").alias("value")))[1]
 
 
+@query(f"{W} SELECT network, id, type FROM nodes")
+def snk7_graphml_nodes(spark, d: str) -> DataFrame:
+    lines = C.graphml_lines(live_nodes(spark, d), net_edges(spark, d))
+    return C.read_graphml(lines.select("network", F.col("line").alias("value")))[0]
+
+
+@query(f"{W} SELECT network, source, target, CASE WHEN sign > 0 THEN 'activation' ELSE 'inhibition' END AS interaction, CASE WHEN sign > 0 THEN '#2E7D32' ELSE '#C62828' END AS colour FROM edges")
+def snk9_edge_attributes(spark, d: str) -> DataFrame:
+    return C.edge_attributes(net_edges(spark, d))
+
+
 @query(f"{W} SELECT network, source || chr(9) || CASE WHEN sign > 0 THEN 'activates' WHEN sign < 0 THEN 'inhibits' ELSE 'regulates' END || chr(9) || target AS line FROM edges")
 def snk8_sif(spark, d: str) -> DataFrame:
     return C.sif_lines(net_edges(spark, d))
@@ -296,12 +331,16 @@ def snk6_sentinels(spark, d: str) -> DataFrame:
     return load(spark, d, "ode_validation_results").select("result_key", C.sentinel_text(F.col("ratio")).alias("ratio_text"))
 
 
-@query(f"{W} SELECT t AS \"table\", count(*) AS n FROM (SELECT 'nodes' AS t FROM nodes UNION ALL SELECT 'edges' FROM edges UNION ALL SELECT 'papers' FROM papers) GROUP BY 1")
+@query(f"{W} SELECT 'nodes' AS \"table\", network, id AS name, type AS what FROM nodes UNION ALL SELECT 'edges', network, source || ' > ' || target, CAST(sign AS VARCHAR) FROM edges UNION ALL SELECT 'papers', NULL, CAST(paper_key AS VARCHAR), title FROM papers")
 def snk10_tagged_rows(spark, d: str) -> DataFrame:
-    """Rows of three tables in one tagged stream of JSON lines."""
+    """Three tables in one tagged stream of JSON lines, and read back from it."""
     tag = lambda df, name: df.select(F.lit(name).alias("table"), C.slim_json(F.struct("*")).alias("row"))
     rows = tag(live_nodes(spark, d), "nodes").unionByName(tag(net_edges(spark, d), "edges")).unionByName(tag(load(spark, d, "papers"), "papers"))
-    return rows.where("row is not null").groupBy("table").agg(F.count("*").alias("n"))
+    r = F.from_json("row", "network string, id string, type string, source string, target string, sign int, paper_key bigint, title string")
+    x = rows.select("table", r.alias("r"))
+    name = F.when(F.col("table") == "nodes", F.col("r.id")).when(F.col("table") == "edges", F.concat_ws(" > ", "r.source", "r.target")).otherwise(F.col("r.paper_key").cast("string"))
+    what = F.when(F.col("table") == "nodes", F.col("r.type")).when(F.col("table") == "edges", F.col("r.sign").cast("string")).otherwise(F.col("r.title"))
+    return x.select("table", "r.network", name.alias("name"), what.alias("what"))
 
 
 @query(f"{W}, j AS (SELECT e.network, (a.id IS NOT NULL AND b.id IS NOT NULL) AS whole FROM edges e LEFT JOIN nodes a ON a.network = e.network AND a.id = e.source LEFT JOIN nodes b ON b.network = e.network AND b.id = e.target) SELECT network, count(*) FILTER (WHERE whole) AS n_edges, count(*) FILTER (WHERE NOT whole) AS n_dangling FROM j GROUP BY 1")
@@ -362,13 +401,61 @@ def jn13_flag_write_back(spark, d: str) -> DataFrame:
     return load(spark, d, "network_edges").join(f, key, "left").select("edge_key", F.when(F.col("hit") == 1, "q").alias("verification"))
 
 
-@query(f"{W}, g AS (SELECT network, id FROM nodes WHERE type NOT IN ('ENVIRONMENT', 'PHENOTYPE', 'PROCESS')), l AS (SELECT network, count(*) AS n FROM nodes WHERE type = 'ENVIRONMENT' GROUP BY 1) SELECT g.network, CAST(sum(3 * l.n * 4) AS BIGINT) AS n_runs FROM g JOIN l ON l.network = g.network GROUP BY 1")
-def jn12_grid_size(spark, d: str) -> DataFrame:
-    """Runs of the gene x mode x lever x dose grid of each network, counted without building it."""
+@query(f"{W}, g AS (SELECT network, id FROM nodes WHERE type NOT IN ('ENVIRONMENT', 'PHENOTYPE', 'PROCESS')), l AS (SELECT network, id FROM nodes WHERE type = 'ENVIRONMENT') SELECT g.network, g.id AS gene, mode, l.id AS env, dose FROM g JOIN l ON l.network = g.network, (VALUES ('KO'), ('KD'), ('OE')) m(mode), (VALUES (0.25::DOUBLE), (0.5), (1.0), (2.0)) v(dose)")
+def jn12_grid(spark, d: str) -> DataFrame:
+    """The gene x mode x lever x dose grid of each network."""
     n = live_nodes(spark, d)
-    genes = n.where(~F.col("type").isin("ENVIRONMENT", "PHENOTYPE", "PROCESS")).groupBy("network").agg(F.count("*").alias("g"))
-    levers = n.where("type = 'ENVIRONMENT'").groupBy("network").agg(F.count("*").alias("l"))
-    return genes.join(levers, "network").select("network", (F.col("g") * 3 * F.col("l") * 4).alias("n_runs"))
+    genes = n.where(~F.col("type").isin("ENVIRONMENT", "PHENOTYPE", "PROCESS")).select("network", "id")
+    grid = R.gxe_grid(genes, n.where("type = 'ENVIRONMENT'").select("network", "id"), [0.25, 0.5, 1.0, 2.0])
+    return grid.where("gene is not null and env is not null").select("network", "gene", "mode", "env", "dose")
+
+
+@query(f"{W} SELECT network || '' AS network, r.test_id || '__' || n.id AS outcome_id, {sql_expand('r.expected_direction', S.DIRECTIONS)} AS expected FROM reconciled_perturbations r JOIN nodes n USING (network) WHERE n.type = 'PHENOTYPE' AND r.test_id IS NOT NULL")
+def arr2_outcomes(spark, d: str) -> DataFrame:
+    """Tests with one outcome for each phenotype of their network, an outcome a row (ARR2)."""
+    ph = live_nodes(spark, d).where("type = 'PHENOTYPE'").select("network", F.col("id").alias("phenotype_node"))
+    t = load(spark, d, "reconciled_perturbations").where("test_id is not null").select("pert_key", "network", "test_id", "expected_direction")
+    nested = t.join(ph.groupBy("network").agg(F.collect_list("phenotype_node").alias("ph")), "network").select("network", "test_id", F.transform("ph", lambda p: F.struct(p.alias("phenotype_node"), F.col("expected_direction").alias("expected_direction"))).alias("expected_outcomes"))
+    return P.explode_outcomes(nested).select("network", "outcome_id", "expected")
+
+
+_IMPLIED = "CASE WHEN lower(trim(perturbation_type)) IN ('ko', 'knockout', 'loss_of_function', 'lof', 'null') THEN 0.0::DOUBLE WHEN lower(trim(perturbation_type)) IN ('kd', 'knockdown', 'rnai', 'heterozygous', 'hypomorph') THEN 0.5 WHEN lower(trim(perturbation_type)) IN ('oe', 'overexpression', 'gain_of_function', 'gof') THEN 2.0 WHEN perturbation_type LIKE '%double%' AND perturbation_type LIKE '%ko%' THEN 0.0 ELSE 1.0 END"
+
+
+@query(f"WITH g AS (SELECT DISTINCT pert_key, unnest(network_gene) AS gene, {_IMPLIED} AS m FROM reconciled_perturbations), e AS (SELECT pert_key, e.key AS gene, e.value AS m FROM (SELECT pert_key, unnest(map_entries(gene_modifiers)) AS e FROM reconciled_perturbations)) "
+       "SELECT pert_key, gene, m AS modifier FROM e UNION ALL SELECT pert_key, gene, m FROM g WHERE gene IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.pert_key = g.pert_key AND e.gene = g.gene)")
+def src4_modifiers(spark, d: str) -> DataFrame:
+    """Tests written as JSON texts of the old shape and read back: named genes get the implied modifier, given ones win (SRC4, ARR4)."""
+    body = F.to_json(F.struct("test_id", "gene", "perturbation_type", "expected_direction", "network_gene", "gene_modifiers", "exogenous_supply", "comparison_baseline"))
+    t = P.canonical_tests(load(spark, d, "reconciled_perturbations").select("pert_key", body.alias("body")))
+    return t.select("pert_key", F.explode("modifiers").alias("gene", "modifier"))
+
+
+@query(f"{W} SELECT n.network, n.id AS node, 'd/dt ' || n.id || ' = ' || coalesce((SELECT string_agg('hillA(' || e.source || ')', ' * ' ORDER BY e.source) FROM edges e WHERE e.network = n.network AND e.target = n.id AND e.sign = 1) || ' * ', '') || coalesce((SELECT string_agg('hillI(' || e.source || ')', ' * ' ORDER BY e.source) FROM edges e WHERE e.network = n.network AND e.target = n.id AND e.sign = -1) || ' * ', '') || 'modifier + supply - ' || n.id AS formula FROM nodes n")
+def snk5_ode_formulas(spark, d: str) -> DataFrame:
+    """Documented rate equation of every node (SNK5)."""
+    return P.ode_formulas(G.equations(live_nodes(spark, d), net_edges(spark, d)))
+
+
+@query(f"{W} SELECT n.network, n.id AS node, coalesce((SELECT string_agg(e.source, '; ' ORDER BY e.edge_key, e.source) FROM edges e WHERE e.network = n.network AND e.target = n.id AND e.sign = 1), '') AS activators, coalesce((SELECT string_agg(e.source, '; ' ORDER BY e.edge_key, e.source) FROM edges e WHERE e.network = n.network AND e.target = n.id AND e.sign = -1), '') AS inhibitors FROM nodes n")
+def set3_ordered_equations(spark, d: str) -> DataFrame:
+    """Equations whose regulators stand in the order of their first appearance, then by name (SET3)."""
+    q = G.equations(live_nodes(spark, d), net_edges(spark, d), "edge_key")
+    return q.select("network", "node", F.array_join("activators", "; ").alias("activators"), F.array_join("inhibitors", "; ").alias("inhibitors"))
+
+
+@query("WITH b AS (SELECT record_id, regexp_replace(body, '([\\[:,]\\s*)(NaN|-?Infinity)\\b', '\\1\"\\2\"', 'g') AS b FROM raw_records) SELECT record_id, coalesce(CASE WHEN json_valid(b) THEN json_extract_string(b, '$.metadata.phenotype') END, 'NA') AS phenotype, coalesce(CASE WHEN json_valid(b) THEN json_extract_string(b, '$.ode.best.n') END, 'NA') AS best_n FROM b")
+def arr3_safe_get(spark, d: str) -> DataFrame:
+    """A value deep inside a record, or a default where any step is missing or the record cannot be read (ARR3)."""
+    return load(spark, d, "raw_records").select("record_id", C.safe_get(F.col("body"), "$.metadata.phenotype", "NA").alias("phenotype"), C.safe_get(F.col("body"), "$.ode.best.n", "NA").alias("best_n"))
+
+
+@query("SELECT doi, paper_key FROM (SELECT doi, paper_key, row_number() OVER (PARTITION BY doi ORDER BY fetched_at DESC NULLS LAST, withdrawn_at IS NULL, paper_key DESC) AS rn FROM papers WHERE doi IS NOT NULL) WHERE rn = 1")
+def src9_upsert(spark, d: str) -> DataFrame:
+    """Papers that were withdrawn put over those that were not: one row a DOI text, the latest fetch, of equal ones the withdrawn (SRC9)."""
+    p = load(spark, d, "papers").where("doi is not null").select("doi", "paper_key", "fetched_at", "withdrawn_at")
+    one = lambda x: M.best_by(x, ["doi"], F.col("fetched_at").desc_nulls_last(), F.col("paper_key").desc()).select("doi", "paper_key", "fetched_at")
+    return C.upsert(one(p.where("withdrawn_at is null")), one(p.where("withdrawn_at is not null")), "doi", "fetched_at").select("doi", "paper_key")
 
 
 @query("SELECT record_id, CASE WHEN body IS NULL OR trim(body) = '' THEN 'empty' WHEN kind NOT IN ('accuracy_metrics', 'fix_package', 'build_log_iteration_3') THEN 'unknown kind' ELSE 'present' END AS gate FROM raw_records")

@@ -66,16 +66,33 @@ def typed(text: Column) -> Column:
     return F.when(text.isin("True", "False"), "bool").when(text.rlike(r"^-?\d+$"), "int").when(text.rlike(r"^-?\d*\.\d+$"), "double").otherwise("string")
 
 
-def encode_table(rows: DataFrame, name: str, columns: list[str], group: str, order: list[str]) -> DataFrame:
-    """(group, text): each group's rows as one counted tab table. A group with a tab or line end in a cell has null text."""
+def table_lines(rows: DataFrame, name: str, columns: list[str], group: str, order: list[str]) -> DataFrame:
+    """(group, part, o, line): the lines of each group's counted tab table; ordered by part and o they form it.
+
+    Part 0 is the header, part 1 has one row a record, so a large group is written by many tasks: sort by (group, part, o) and
+    write as text. A group with a tab or line end in a cell has no lines.
+    """
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     unsafe = F.lit(False)
     for c in cells:
-        unsafe = unsafe | c.rlike("[\t\n]")
-    lines = rows.select(group, F.struct(*order).alias("o"), F.concat_ws("\t", *cells).alias("line"), unsafe.alias("bad"))
-    whole = lines.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("o", "line"))).alias("rows"), F.bool_or("bad").alias("bad"))
-    header = F.concat(F.lit(f"{name}["), F.size("rows").cast("string"), F.lit("]{" + ",".join(columns) + "}:\n"))
-    return whole.select(group, F.when(~F.col("bad"), F.concat(header, F.array_join(F.col("rows.line"), "\n"))).alias("text"))
+        unsafe = unsafe | c.rlike("[\t\r\n]")
+    lines = rows.select(group, F.lit(1).alias("part"), F.to_json(F.struct(*order)).alias("o"), F.concat_ws("\t", *cells).alias("line"), unsafe.alias("bad"))
+    sizes = lines.groupBy(group).agg(F.count("*").alias("n"), F.bool_or("bad").alias("bad")).where(~F.col("bad"))
+    header = F.concat(F.lit(f"{name}["), F.col("n").cast("string"), F.lit("]{" + ",".join(columns) + "}:"))
+    top = sizes.select(group, F.lit(0).alias("part"), F.lit("").alias("o"), header.alias("line"))
+    return top.unionByName(lines.drop("bad").join(sizes.select(group), group, "left_semi").select(group, "part", "o", "line"))
+
+
+def decode_lines(lines: DataFrame) -> DataFrame:
+    """lines(path, part, line), a header (part 0) a path -> (path, name, line, cells, error) as decode_tables, without the texts
+    ever being gathered; a path of a bad header, a wrong count or width has one error row."""
+    head = lines.where("part = 0").select("path", F.regexp_extract("line", HEADER, 1).alias("name"), F.expr(f"try_cast(regexp_extract(line, r'{HEADER}', 2) as bigint)").alias("n"), F.filter(F.split(F.regexp_extract("line", HEADER, 3), ","), lambda c: c != "").alias("cols"))
+    body = lines.where("part = 1").select("path", "line", F.split("line", "\t", -1).alias("parts"))
+    widths = body.groupBy("path").agg(F.count("*").alias("have"), F.min(F.size("parts")).alias("least"), F.max(F.size("parts")).alias("most"))
+    error = F.when(F.coalesce("name", F.lit("")) == "", "bad header").when(F.coalesce("have", F.lit(0)) != F.col("n"), "wrong count").when((F.col("least") != F.size("cols")) | (F.col("most") != F.size("cols")), "wrong width")
+    checked = head.join(widths, "path", "full").select("path", "name", "cols", error.alias("error"))
+    good = body.join(checked.where("error is null"), "path").select("path", "name", "line", F.map_from_arrays("cols", "parts").alias("cells"), "error")
+    return good.unionByName(checked.where("error is not null").select("path", "name", F.lit(None).cast("string").alias("line"), F.lit(None).cast("map<string,string>").alias("cells"), "error"))
 
 
 def sif_lines(edges: DataFrame) -> DataFrame:
@@ -103,7 +120,7 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame, version: str = "1") -> Dat
     keys = "".join(f'<key id="{k}" for="node" attr.name="{a}" attr.type="string"/>' for k, a in (("node_type", "type"), ("node_label", "label"), ("node_color", "color")))
     keys += "".join(f'<key id="{k}" for="edge" attr.name="{a}" attr.type="string"/>' for k, a in (("edge_sign", "sign"), ("edge_color", "color"), ("edge_mechanism", "mechanism"), ("edge_doi", "doi")))
     top = f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph id="G" edgedefault="directed"><data key="graph_version">{version}</data>'
-    nets = nodes.select("network").distinct()
+    nets = nodes.select("network").union(edges.select("network")).distinct()
     n = nodes.select("network", F.lit(1).alias("part"), F.col("id").alias("name"), F.concat(F.lit('<node id="'), xml_escape(F.col("id")), F.lit('">'), data("node_type", F.col("type")), data("node_label", F.coalesce("full_name", "id")), data("node_color", S.type_colour(F.col("type"))), F.lit("</node>")).alias("line"))
     colour = F.when(F.col("sign") > 0, "#2E7D32").when(F.col("sign") < 0, "#C62828").otherwise("#757575")
     e = edges.select("network", F.lit(2).alias("part"), F.concat_ws("\x01", "source", "target").alias("name"), F.concat(F.lit('<edge source="'), xml_escape(F.col("source")), F.lit('" target="'), xml_escape(F.col("target")), F.lit('">'), data("edge_sign", F.when(F.col("sign") > 0, "activation").when(F.col("sign") < 0, "inhibition").otherwise("unknown")), data("edge_color", colour), F.lit("</edge>")).alias("line"))
@@ -111,6 +128,18 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame, version: str = "1") -> Dat
     return ends.unionByName(n).unionByName(e)
 
 
+def edge_attributes(edges: DataFrame) -> DataFrame:
+    """(network, source, target, interaction, colour): the edge attribute table of a viewer."""
+    s = F.col("sign")
+    return edges.select("network", "source", "target", F.when(s > 0, "activation").when(s < 0, "inhibition").otherwise("unknown").alias("interaction"), F.when(s > 0, "#2E7D32").when(s < 0, "#C62828").otherwise("#757575").alias("colour"))
+
+
+def safe_get(text: Column, path: str, default: str) -> Column:
+    """Value at a path of a JSON text; the default where a step is missing or null, or the text cannot be read. NaN is read."""
+    readable = F.regexp_replace(text, r"([\[:,]\s*)(NaN|-?Infinity)\b", '$1"$2"')
+    return F.coalesce(F.get_json_object(readable, path), F.lit(default))
+
+
 def read_graphml(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """raw(network, value) -> nodes (network, id, type) and edges (network, source, target, sign) of GraphML texts."""
     unescape = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&quot;"), F.lit('"')), F.lit("&gt;"), F.lit(">")), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
@@ -156,6 +185,28 @@ def slim_json(record: Column) -> Column:
     return F.to_json(record, {"ignoreNullFields": "true"})
 
 
+def short_json(df: DataFrame, keys: dict[str, str], codes: dict[str, dict[str, str]] | None = None) -> Column:
+    """JSON of a record of df with short keys (short -> long name): blank texts, empty lists and maps and false flags left out,
+    values of the given columns (long name -> short code -> long value) by their short code."""
+    kinds = dict(df.dtypes)
+    fields = []
+    for short, long in keys.items():
+        col, kind = F.col(long), kinds[long]
+        if long in (codes or {}):
+            for code, value in codes[long].items():
+                col = F.when(F.lower(F.trim(F.col(long))) == value.lower(), code).otherwise(col)
+        blank = F.size(col) == 0 if kind.startswith(("array", "map")) else ~col if kind == "boolean" else F.trim(col) == "" if kind == "string" else F.lit(False)
+        fields.append(F.when(~F.coalesce(blank, F.lit(False)), col).alias(short))
+    return slim_json(F.struct(*fields))
+
+
+def long_record(text: Column, keys: dict[str, str], kinds: dict[str, str], codes: dict[str, dict[str, str]] | None = None) -> list[Column]:
+    """The fields of a short-key (or long-key) JSON record by their long names; kinds: long name -> type."""
+    parsed = F.from_json(text, ", ".join(f"`{n}` {kinds[long]}" for short, long in keys.items() for n in dict.fromkeys((short, long))))
+    value = lambda short, long: parsed[long] if short == long else F.coalesce(parsed[long], parsed[short])
+    return [(S.expand(value(short, long), codes[long]) if long in (codes or {}) else value(short, long)).alias(long) for short, long in keys.items()]
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, checksum_sha256, size_bytes, modified) of every file under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

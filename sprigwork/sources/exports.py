@@ -20,6 +20,18 @@ def discover_networks(spark: SparkSession, root: str) -> DataFrame:
     return files.select(network.alias("network"), "path", iteration.alias("iteration")).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("network", "path")
 
 
+def preferred_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """(network, path): of each network under a root the file to read. Of several names the first one that is there counts (the
+    reconciled tests before the raw ones), of equal names the one in the network's own folder `network` before the one beside it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(names) + "}").load(root).select("path")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    inner = F.col("path").rlike(r"/network/[^/]+$")
+    network = F.regexp_extract(F.regexp_replace("path", r"/network(?=/[^/]+$)", ""), r"([^/]+)/[^/]+$", 1)
+    rank = F.array_position(F.array(*[F.lit(n) for n in names]), name)
+    w = Window.partitionBy("network").orderBy("rank", F.col("inner").desc(), "path")
+    return files.select(network.alias("network"), "path", rank.alias("rank"), inner.alias("inner")).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("network", "path")
+
+
 def results_table(results: DataFrame) -> DataFrame:
     """Result rows with rounded numbers and NA for what is missing, ready for CSV."""
     out = []

@@ -1,3 +1,4 @@
+import random
 import math
 
 import pytest
@@ -49,10 +50,21 @@ def test_erfc(spark, x):
 
 def test_bootstrap_interval_covers(spark):
     rows = [(i, "a", "increased", "increased" if i % 4 else "decreased") for i in range(400)]
-    r = M.bootstrap(spark.createDataFrame(rows, "id long, g string, expected string, predicted string"), ["g"], "id", 200).first()
+    r = M.bootstrap(spark.createDataFrame(rows, "id long, g string, expected string, predicted string"), ["g"], 200).first()
     assert r.accuracy_low < 75 < r.accuracy_high and 4 < r.accuracy_high - r.accuracy_low < 14
 
 
+def test_bootstrap_draws_n_of_n(spark):
+    rng = random.Random(4)
+    labels = ("increased", "decreased", "unchanged")
+    rows = [("g", *(lambda e: (e, e if rng.random() < 0.6 else rng.choice(labels)))(rng.choice(labels))) for _ in range(120)]
+    got = M.bootstrap(spark.createDataFrame(rows, "g string, expected string, predicted string"), ["g"], 4000).first()
+    drawn = sorted(100 * sum(e == p for _, e, p in rng.choices(rows, k=len(rows))) / len(rows) for _ in range(4000))
+    assert abs(got.accuracy_low - drawn[100]) < 1.5 and abs(got.accuracy_high - drawn[3899]) < 1.5 and got.kappa_low < got.kappa_high
+    again = M.bootstrap(spark.createDataFrame(rows, "g string, expected string, predicted string"), ["g"], 4000).first()
+    assert got == again and M.bootstrap(spark.createDataFrame(rows[:0], "g string, expected string, predicted string"), ["g"]).count() == 0
+
+
 def test_strata_empty_and_small(spark):
     rows = spark.createDataFrame([("a", "increased", "increased", 1, 1, True)] * 3, SCHEMA)
     got = {r.stratum: (r.n, r.accuracy, r.kappa) for r in M.stratified(rows, ["g"]).collect()}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sprigwork.functions import text as T
 from sprigwork.functions.doi import bare_doi, bare_doi_py
 from sprigwork.sources import codecs as C
+from sprigwork.sources import exports as X
 
 
 def one(spark, value, f):
@@ -85,8 +86,13 @@ def test_aliases_by_rule(spark):
 
 def test_tables_round_trip_and_refusals(spark):
     rows = spark.createDataFrame([("g", "a", None), ("g", "b", "x y"), ("h", "bad\tcell", "")], "g string, s string, v string")
-    enc = {r.g: r.text for r in C.encode_table(rows, "t", ["s", "v"], "g", ["s"]).collect()}
-    assert enc == {"g": "t[2]{s,v}:\na\t\nb\tx y", "h": None}
+    lines = C.table_lines(rows, "t", ["s", "v"], "g", ["s"])
+    enc = {"g": "\n".join(r.line for r in lines.orderBy("part", "o").collect())}
+    assert enc == {"g": "t[2]{s,v}:\na\t\nb\tx y"} and {r.g for r in lines.collect()} == {"g"}
+    back = C.decode_lines(lines.select(F.col("g").alias("path"), "part", "line")).collect()
+    assert sorted((r.cells["s"], r.cells["v"], r.error) for r in back) == [("a", "", None), ("b", "x y", None)]
+    odd = [("p", 0, "t[1]{s}:"), ("p", 1, "a"), ("q", 0, "t[3]{s}:"), ("q", 1, "a"), ("r", 0, "nonsense"), ("s", 0, "t[1]{a,b}:"), ("s", 1, "x"), ("u", 1, "lost"), ("v", 0, "t[0]{a}:")]
+    assert {r.path: r.error for r in C.decode_lines(spark.createDataFrame(odd, "path string, part int, line string")).collect()} == {"p": None, "q": "wrong count", "r": "bad header", "s": "wrong width", "u": "bad header"}
     raw = spark.createDataFrame([("p", enc["g"]), ("q", "t[3]{s}:\na"), ("r", "nonsense"), ("s", "t[1]{a,b}:\nx"), ("u", "")], "path string, value string")
     got = C.decode_tables(raw).collect()
     assert {r.path: r.error for r in got} == {"p": None, "q": "wrong count", "r": "bad header", "s": "wrong width", "u": "bad header"}
@@ -109,3 +115,21 @@ def test_sentinels_and_sections(spark, tmp_path):
     assert [tuple(r) for r in C.read_sentinel_tsv(spark, str(tmp_path / "x.tsv"), "a string, b double").collect()] == [("k", None), ("l", 1.5), ("m", None)]
     assert one(spark, "<sec><title>Results</title><p>One <i>two</i>.</p><p>A &lt; B</p></sec>", C.sectioned) == "## Results\nOne two.\nA < B"
     assert one(spark, "x", lambda c: C.sentinel_text(F.lit(float("-inf")))) == "-Inf"
+
+
+def test_short_records_round_trip(spark):
+    rows = [(1, "A", "GENE", True, ["x"], {"k": 1.5}), (2, " ", "other", False, [], {}), (3, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "key int, name string, type string, flag boolean, many array<string>, by map<string,double>")
+    keys, codes = {"n": "name", "ty": "type", "f": "flag", "m": "many", "b": "by"}, {"type": {"G": "GENE"}}
+    text = df.select("key", C.short_json(df, keys, codes).alias("t"))
+    assert [r.t for r in text.orderBy("key").collect()] == ['{"n":"A","ty":"G","f":true,"m":["x"],"b":{"k":1.5}}', '{"ty":"other"}', "{}"]
+    back = text.select("key", *C.long_record(F.col("t"), keys, dict(df.dtypes), codes)).orderBy("key").collect()
+    assert tuple(back[0])[1:] == ("A", "GENE", True, ["x"], {"k": 1.5}) and tuple(back[1])[1:] == (None, "other", None, None, None)
+
+
+def test_preferred_files(spark, tmp_path):
+    for name in ("a/raw.json", "a/network/raw.json", "b/raw.json", "b/reconciled.json", "c/network/reconciled.json", "c/reconciled.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    got = {r.network: r.path.split(str(tmp_path))[1] for r in X.preferred_files(spark, str(tmp_path), ["reconciled.json", "raw.json"]).collect()}
+    assert got == {"a": "/a/network/raw.json", "b": "/b/reconciled.json", "c": "/c/network/reconciled.json"}
