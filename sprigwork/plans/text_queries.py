@@ -215,7 +215,7 @@ def str19_alias_harvest(spark, d: str) -> DataFrame:
     return x.select("equation_key", "x.left", "x.right").where("left <> ''")
 
 
-@query("SELECT paper_key, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos, unnest(a) AS author FROM (SELECT paper_key, list_filter(list_transform(string_split(coalesce(authors, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS a FROM papers)")
+@query(f"SELECT paper_key, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos, unnest(a) AS author FROM (SELECT paper_key, list_filter(list_transform(string_split(coalesce(authors, ''), ';'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || '{T.BLANKS}')), lambda x: x <> '') AS a FROM papers)")
 def str20_authors(spark, d: str) -> DataFrame:
     names = F.filter(F.transform(F.split(F.coalesce("authors", F.lit("")), ";"), lambda a: F.btrim(a, F.lit(" \t\r\n" + T.BLANKS))), lambda a: a != "")
     return load(spark, d, "papers").select("paper_key", F.posexplode(names).alias("pos", "author"))
