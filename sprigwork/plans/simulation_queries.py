@@ -18,6 +18,7 @@ from sprigwork.operators import metrics as M
 from sprigwork.operators import scenarios as R
 from sprigwork.plans.frames import SQL_EDGES, SQL_NODES, live_nodes, net_edges
 from sprigwork.session import staged
+from sprigwork.sources import codecs as C
 from sprigwork.tables import load
 
 QUERIES: dict[str, Callable] = {}
@@ -272,7 +273,7 @@ def sim14_gxe(spark, d: str) -> DataFrame:
     return _gxe(spark, d).select("network", "gene", "mode", "env", "dose", *[F.round(c, 6).alias(c) for c in ("l_ambient", "l_env", "gxe")], "significant")
 
 
-@query()
+@query(_W + _GXE + sql_solve("algebraic") + _GXE_END[: _GXE_END.rindex("SELECT network, gene")] + "SELECT a.network, a.gene, a.mode, a.dose, a.env AS env_a, b.env AS env_b, CASE WHEN isfinite(a.le) AND isfinite(b.le) THEN round(a.le - b.le, 6) END AS gxe_cross, coalesce(isfinite(a.le) AND isfinite(b.le) AND abs(a.le - b.le) > 0.1, false) AS significant FROM w a JOIN w b ON b.network = a.network AND b.gene = a.gene AND b.mode = a.mode AND b.dose = a.dose AND a.env < b.env")
 def jn11_gxe_cross(spark, d: str) -> DataFrame:
     return R.gxe_cross(_gxe(spark, d)).select("network", "gene", "mode", "dose", "env_a", "env_b", F.round("gxe_cross", 6).alias("gxe_cross"), "significant")
 
@@ -286,7 +287,7 @@ def agg30_engine_agreement(spark, d: str) -> DataFrame:
     return j.groupBy("network", "env").agg(F.count_if(both).alias("n_both"), F.count_if(both & ((F.col("a") > 0) == (F.col("o") > 0))).alias("n_agree"))
 
 
-@query()
+@query(_W + _GXE + sql_solve("algebraic") + ", v AS (SELECT s.*, value FROM scen s JOIN solved o ON o.key = s.key WHERE gene = ''), q AS (SELECT a.network, a.env, a.dose, CASE WHEN a.value > 0 AND b.value > 0 THEN log2(a.value / b.value) END AS swing FROM v a JOIN v b ON b.network = a.network AND b.env = '' WHERE a.env <> '') SELECT network, env, dose, round(swing, 6) AS swing, coalesce(abs(swing) > 2, false) AS saturated FROM q")
 def agg31_saturation(spark, d: str) -> DataFrame:
     return R.saturation(_gxe(spark, d)).select("network", "env", "dose", F.round("swing", 6).alias("swing"), "saturated")
 
@@ -341,7 +342,9 @@ def win7_progress(spark, d: str) -> DataFrame:
     return R.progress(_traced(spark, d)[0]).select(F.col("key").alias("network"), "step", F.round("progress", 6).alias("progress"), shown("max_change"))
 
 
-@query()
+@query(_TRACE + ", s0 AS (SELECT key, id, v FROM st WHERE it = 0), a AS (SELECT st.key, st.id, CASE WHEN max(scen.key) IS NOT NULL THEN 0 ELSE min(st.it) FILTER (WHERE abs(st.v - s0.v) > 1e-4) END AS arrival FROM st JOIN s0 ON s0.key = st.key AND s0.id = st.id LEFT JOIN scen ON scen.key = st.key AND scen.node = st.id GROUP BY 1, 2), l AS (SELECT key, coalesce(max(arrival), 0) AS last FROM a GROUP BY 1), "
+       "e AS (SELECT key, id, arg_max(v, it) AS v FROM st GROUP BY ALL), dd AS (SELECT st.key, st.it, sqrt(sum(power(st.v - e.v, 2))) AS dist FROM st JOIN e ON e.key = st.key AND e.id = st.id GROUP BY 1, 2), w AS (SELECT *, first_value(dist) OVER (PARTITION BY key ORDER BY it) AS whole FROM dd), c AS (SELECT w.key, it, CASE WHEN it <= last THEN 'wave' WHEN CASE WHEN whole > 0 THEN 1 - dist / whole ELSE 1.0 END < 0.99 THEN 'relax' ELSE 'steady' END AS chapter FROM w JOIN l ON l.key = w.key) "
+       "SELECT key AS network, chapter, min(it) AS first_step, max(it) AS last_step FROM c GROUP BY 1, 2")
 def sim18_chapters(spark, d: str) -> DataFrame:
     """Steps of each run by chapter: wave, relax, steady."""
     return R.chapters(*_traced(spark, d)).withColumnRenamed("key", "network")
@@ -458,15 +461,13 @@ def sca20_signed_magnitude(spark, d: str) -> DataFrame:
     return t.select("result_key", F.round(S.signed_magnitude(F.col("perturbed_value"), F.col("wt_value")), 6).alias("magnitude"))
 
 
-@query("SELECT record_id, round(CASE WHEN a <= 1.5 THEN a * 100 ELSE a END, 4) AS percent FROM (SELECT record_id, try_cast(json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.ode.accuracy') AS DOUBLE) AS a FROM raw_records) WHERE a IS NOT NULL")
+@query(r"""WITH b AS (SELECT record_id, regexp_replace(body, '([\[:,]\s*)(NaN|-?Infinity)\b', '\1"\2"', 'g') AS b FROM raw_records), a AS (SELECT record_id, try_cast(json_extract_string(CASE WHEN json_valid(b) THEN b END, '$.ode.accuracy') AS DOUBLE) AS a FROM b)
+SELECT record_id, round(CASE WHEN a <= 1.5 THEN a * 100 ELSE a END, 4) AS percent FROM a WHERE a IS NOT NULL AND NOT isnan(a)""")
 def sca21_accuracy_unit(spark, d: str) -> DataFrame:
-    a = load(spark, d, "raw_records").select("record_id", F.expr("try_cast(get_json_object(body, '$.ode.accuracy') as double)").alias("a")).where("a is not null")
+    a = load(spark, d, "raw_records").select("record_id", C.safe_get(F.col("body"), "$.ode.accuracy", "").alias("t")).select("record_id", F.expr("try_cast(t as double)").alias("a")).where("a is not null and not isnan(a)")
     return a.select("record_id", F.round(S.as_percent(F.col("a")), 4).alias("percent"))
 
 
-ORACLE.pop("sca21_accuracy_unit")  # the bodies hold NaN, which one JSON reader takes and the other does not
-
-
 @query("SELECT pert_key, coalesce(array_to_string(list_transform(list_sort(map_keys(exogenous_supply)), lambda k: k || '=' || CAST(exogenous_supply[k] AS VARCHAR)), '; '), NULL) AS supply_text, array_to_string(network_gene, ' > ') AS path_text FROM reconciled_perturbations")
 def arr1_map_text(spark, d: str) -> DataFrame:
     return load(spark, d, "reconciled_perturbations").select("pert_key", S.map_text(F.col("exogenous_supply")).alias("supply_text"), S.path_text(F.col("network_gene")).alias("path_text"))

@@ -154,7 +154,15 @@ def str12_title_tokens(spark, d: str) -> DataFrame:
     return load(spark, d, "papers").select("paper_key", F.size(t).alias("n_tokens"), F.array_join(F.array_sort(t), " ").alias("tokens"))
 
 
-@query()
+_FIRST = "CASE WHEN len(w) = 1 THEN f WHEN regexp_matches(w[-1], '^[A-Z]{1,3}$') THEN w[1] ELSE w[-1] END"
+
+
+@query(f"WITH p AS (SELECT paper_key, title, year, authors, {_DOI} AS k, trim(split_part(coalesce(authors, ''), ',', 1)) AS f, regexp_split_to_array(trim(split_part(coalesce(authors, ''), ',', 1)), '\\s+') AS w FROM papers WHERE doi IS NOT NULL AND {_DOI} <> ''), "
+       f"o AS (SELECT k, title AS t0, year AS y0, {_FIRST} AS a0 FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY paper_key) AS rn FROM p) WHERE rn = 1), "
+       f"j AS (SELECT paper_key, {_TOK.replace('title', 't0')} AS want, {_TOK} AS got, y0, year AS y, length(coalesce(a0, '')) > 0 AND length(coalesce(authors, '')) > 0 AS known, contains({_norm('authors')}, {_norm('a0')}) AS has FROM p JOIN o USING (k)), "
+       "r AS (SELECT *, len(list_intersect(want, got)) / nullif(len(want), 0) AS recall, abs(y0 - y) > 1 AS far FROM j), "
+       "c AS (SELECT *, least(1.0, 0.5 * recall + CASE WHEN y0 = y THEN 0.25 ELSE 0.15 END + CASE WHEN known THEN 0.15 ELSE 0.0 END) AS conf FROM r) "
+       "SELECT paper_key, len(want) > 0 AND coalesce(recall >= 0.7, false) AND NOT coalesce(far, false) AND NOT (known AND NOT coalesce(has, false)) AND conf >= 0.55 AS accept, round(CASE WHEN len(want) = 0 THEN 0.0 WHEN recall < 0.7 THEN recall WHEN coalesce(far, false) THEN 0.0 WHEN known AND NOT coalesce(has, false) THEN 0.0 ELSE conf END, 4) AS confidence FROM c")
 def str13_title_match(spark, d: str) -> DataFrame:
     """Every paper against the first paper of its DOI: same work or not (one comparison a paper)."""
     p = load(spark, d, "papers").withColumn("k", bare_doi(F.col("doi"))).where("k <> ''")
@@ -193,7 +201,13 @@ def str16_short_species(spark, d: str) -> DataFrame:
     return load(spark, d, "master_test_level").select("master_key", T.short_species(F.col("species")).alias("short"))
 
 
-@query()
+_QUOTE = "coalesce(CASE WHEN json_valid(evidence) AND json_type(evidence) = 'OBJECT' THEN json_extract_string(evidence, '$.sentence') END, evidence)"
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: length(w) > 2))"
+
+
+@query(f"WITH e AS (SELECT edge_key, {_DOI} AS k, {_WORDS.format(_QUOTE)} AS want FROM network_edges WHERE evidence IS NOT NULL), p AS (SELECT DISTINCT {_DOI} AS k, abstract FROM papers WHERE length(trim(abstract)) > 0 AND {_DOI} <> ''), "
+       f"s AS (SELECT k, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS sentence FROM (SELECT k, {_SENT} AS s FROM p)), j AS (SELECT edge_key, pos, len(list_intersect(want, {_WORDS.format('sentence')})) / greatest(len(want), 1) AS score FROM e JOIN s ON s.k = e.k), b AS (SELECT edge_key, score, pos, row_number() OVER (PARTITION BY edge_key ORDER BY score DESC, pos) AS rn FROM j) "
+       "SELECT edge_key, round(score, 6) AS score, pos FROM b WHERE rn = 1 AND score >= 0.2")
 def str17_best_sentence(spark, d: str) -> DataFrame:
     """Of a cited abstract the sentence that shares most words with the evidence, if at least a fifth."""
     quote = F.coalesce(F.get_json_object("evidence", "$.sentence"), F.col("evidence"))
@@ -221,7 +235,7 @@ def str20_authors(spark, d: str) -> DataFrame:
     return load(spark, d, "papers").select("paper_key", F.posexplode(names).alias("pos", "author"))
 
 
-@query()
+@query(f"SELECT pert_key, trim(regexp_replace(coalesce(gene, ''), '{T.NOTATION}', '', 'g')) AS gene, CASE WHEN regexp_matches(lower(coalesce(gene, '')), '35s|overexpress|over-express|\\boe\\b|gain.of.function') THEN 'oe' WHEN regexp_matches(lower(coalesce(gene, '')), 'rnai|knock.?down|\\bkd\\b|amirna') THEN 'kd' WHEN regexp_matches(lower(coalesce(gene, '')), 'knock.?out|\\bko\\b|null|mutant|loss.of.function|crispr') THEN 'ko' WHEN regexp_matches(lower(coalesce(gene, '')), 'treat|applied|supply|feeding') THEN 'trt' ELSE 'other' END AS kind FROM reconciled_perturbations")
 def str21_parsed_perturbations(spark, d: str) -> DataFrame:
     x = load(spark, d, "reconciled_perturbations").select("pert_key", T.parse_perturbation(F.col("gene")).alias("x"))
     return x.select("pert_key", "x.gene", "x.kind")
