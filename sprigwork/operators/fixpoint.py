@@ -307,6 +307,25 @@ def with_influences(scenarios: DataFrame, influences: DataFrame) -> DataFrame:
     return j.withColumn("supply", F.map_from_arrays(nodes, F.transform(nodes, lambda n: F.coalesce(F.try_element_at(F.col("_s"), n), F.lit(0.0)) + more(n)))).drop("_s", "inf")
 
 
+def spec_issues(specs: DataFrame) -> DataFrame:
+    """(node, issue) of specs(node, activation, inhibition, weights ARRAY<DOUBLE>): names that no function has, weights that do not
+    sum to 1 within 0.001, functions that are not 1 where all their inputs are. A null name is the default; weights belong to
+    weighted_geomean only, which needs them."""
+    weighted = F.coalesce(F.col("activation") == "weighted_geomean", F.lit(False))
+    weights = F.coalesce("weights", F.array().cast("array<double>"))
+    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
+    ones = F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))
+    at_ones = F.lit(True)
+    for name, f in (*S.ACTIVATIONS.items(), *S.INHIBITIONS.items()):
+        column = F.coalesce(F.col("activation" if name in S.ACTIVATIONS else "inhibition"), F.lit(""))
+        at_ones = at_ones & ((column != name) | (F.abs(f(ones) - 1) < 1e-9))
+    issues = F.array_compact(F.array(
+        F.when(~F.col("activation").isin(*ACTIVATION, "weighted_geomean"), "unknown activation"), F.when(~F.col("inhibition").isin(*INHIBITION), "unknown inhibition"),
+        F.when(weighted & (F.abs(total - 1) > 1e-3), "weights do not sum to 1"), F.when(~at_ones, "not 1 at ones"),
+    ))
+    return specs.select("node", F.explode(issues).alias("issue"))
+
+
 def with_node(solved: DataFrame, node: str | Column, name: str = "value") -> DataFrame:
     """Adds the state of one node by name; null where the network lacks it."""
     node = F.lit(node) if isinstance(node, str) else node

@@ -51,9 +51,12 @@ def grf1_floating_edges(spark, d: str) -> DataFrame:
     return G.floating(*_ne(spark, d))[1].select("network", "source", "target")
 
 
-@query()
+@query(_DIST + ", way(network, node, hops, path) AS (SELECT network, node, 0, [node] FROM dist WHERE hops = 0 UNION ALL SELECT e.network, e.source, w.hops + 1, min(list_prepend(e.source, w.path)) FROM way w JOIN edges e ON e.network = w.network AND e.target = w.node JOIN dist x ON x.network = e.network AND x.node = e.source AND x.hops = w.hops + 1 GROUP BY 1, 2, 3), "
+       "u AS (SELECT pert_key, network, row_number() OVER (PARTITION BY pert_key ORDER BY i) AS pos, g FROM (SELECT pert_key, network, generate_subscripts(network_gene, 1) AS i, unnest(network_gene) AS g FROM reconciled_perturbations) WHERE g IS NOT NULL), "
+       "b AS (SELECT pert_key, hops, path, row_number() OVER (PARTITION BY pert_key ORDER BY hops, pos, path) AS rn FROM u JOIN way w ON w.network = u.network AND w.node = u.g) "
+       "SELECT r.pert_key AS key, r.network, coalesce(b.hops, -1) AS path_length, coalesce(array_to_string(b.path, ' > '), '') AS path FROM reconciled_perturbations r LEFT JOIN b ON b.pert_key = r.pert_key AND rn = 1")
 def grf2_shortest_paths(spark, d: str) -> DataFrame:
-    """Way of every scenario's genes to the phenotype; ties by name, so its SQL twin compares the lengths only (grf3)."""
+    """Way of every scenario's genes to the phenotype; of equally short ones that over the smallest names."""
     nodes, edges = _ne(spark, d)
     dist = G.distances(edges, G.phenotypes(nodes), paths=True)
     s = load(spark, d, "reconciled_perturbations").select(F.col("pert_key").alias("key"), "network", F.filter(F.coalesce("network_gene", F.array().cast("array<string>")), lambda g: g.isNotNull()).alias("nodes"))

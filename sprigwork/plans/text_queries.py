@@ -12,11 +12,12 @@ from sprigwork.functions import scalars as S
 from sprigwork.functions import text as T
 from sprigwork.functions.doi import bare_doi, doi_slug
 from sprigwork.operators import evidence as E
+from sprigwork.operators import fixpoint as X
 from sprigwork.operators import graph as G
 from sprigwork.operators import metrics as M
 from sprigwork.operators import scenarios as R
 from sprigwork.plans.frames import SQL_EDGES, SQL_NODES, live_nodes, net_edges, sql_expand
-from sprigwork.plans.graph_queries import _DOI, cascade
+from sprigwork.plans.graph_queries import _ALIAS, _DOI, _EXPL, cascade
 from sprigwork.session import staged
 from sprigwork.sources import codecs as C
 from sprigwork.sources import exports as P
@@ -489,16 +490,13 @@ def flt11_schema_issues(spark, d: str) -> DataFrame:
     return s.select("pert_key", F.explode(issues).alias("issue"))
 
 
-@query()
+_SPEC = [("a", "geomean", "bounded_inverse", None), ("b", "arithmean", "linear_clamp", None), ("c", "no_such", "bounded_inverse", None), ("d", "geomean", "nothing", None), ("e", "weighted_geomean", "bounded_inverse", [0.5, 0.3, 0.2]), ("f", "weighted_geomean", "independent_inverse", [0.5, 0.6]), ("g", "weighted_geomean", "bounded_inverse", None), ("h", None, None, None)]
+
+
+@query("SELECT * FROM (VALUES ('c', 'unknown activation'), ('d', 'unknown inhibition'), ('f', 'weights do not sum to 1'), ('g', 'weights do not sum to 1')) v(node, issue)")
 def flt10_equation_spec(spark, d: str) -> DataFrame:
-    """Node functions by name: every one must give 1 at ones; equal weights must sum to 1."""
-    ones = F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))
-    rows = [(n, k) for k, menu in (("activation", S.ACTIVATIONS), ("inhibition", S.INHIBITIONS)) for n in menu]
-    base = spark.createDataFrame(rows, "name string, kind string")
-    value = None
-    for n, f in (*S.ACTIVATIONS.items(), *S.INHIBITIONS.items()):
-        value = F.when(F.col("name") == n, f(ones)) if value is None else value.when(F.col("name") == n, f(ones))
-    return base.select("name", "kind", F.round(value, 6).alias("at_ones"), (F.abs(value - 1) < 1e-9).alias("valid"))
+    """Issues of a specification of node functions with one fault of each kind: unknown names, weight sums, values at ones."""
+    return X.spec_issues(spark.createDataFrame(_SPEC, "node string, activation string, inhibition string, weights array<double>"))
 
 
 @query("WITH al AS (SELECT term, min(kb_node) AS kb_node FROM hypocotyl_length WHERE length(trim(term)) > 0 AND length(trim(kb_node)) > 0 GROUP BY term), g AS (SELECT pert_key, generate_subscripts(network_gene, 1) AS i, unnest(network_gene) AS g FROM reconciled_perturbations) SELECT pert_key, array_to_string(list(coalesce(al.kb_node, g.g) ORDER BY i) FILTER (WHERE g.g IS NOT NULL), '; ') AS genes FROM g LEFT JOIN al ON al.term = g.g GROUP BY pert_key HAVING count(g.g) > 0")
@@ -521,8 +519,11 @@ def set4_equation_donor(spark, d: str) -> DataFrame:
     return M.best_by(v, ["node"], F.when(F.col("src") == F.col("most"), 0).otherwise(1), F.col("score").desc(), F.col("equation_key")).select("node", "equation_key")
 
 
-@query()
+@query(f"WITH {_ALIAS}, {_EXPL}, j AS (SELECT p.pert_key, p.gene, p.v, coalesce(k.kb_node, l.kb_node, a.kb_node, b.kb_node, p.gene) AS node FROM ex p LEFT JOIN kb_nodes k ON k.kb_node = p.gene LEFT JOIN low l ON l.k = lower(p.gene) LEFT JOIN al a ON a.term = p.gene LEFT JOIN al2 b ON b.term = lower(p.gene)) "
+       "SELECT pert_key, node, min(v) AS modifier, count(*) FILTER (WHERE node <> gene) AS n_renamed FROM j GROUP BY ALL")
 def set12_component_remap(spark, d: str) -> DataFrame:
-    """Modifiers whose keys resolve to a reference entry under another name, remapped key by key."""
+    """The modifier maps rewritten: a key that resolves to a reference entry under another name takes its name, others stay; of keys
+    that become one the smallest value counts (SET12). One row an entry of the new maps."""
     ex = load(spark, d, "reconciled_perturbations").select("pert_key", F.explode("gene_modifiers").alias("gene", "v"))
-    return cascade(spark, d, ex).where("node is not null and node <> gene").select("pert_key", "gene", "node")
+    named = cascade(spark, d, ex).withColumn("node", F.coalesce("node", "gene"))
+    return named.groupBy("pert_key", "node").agg(F.min("v").alias("modifier"), F.count_if(F.col("node") != F.col("gene")).alias("n_renamed"))
