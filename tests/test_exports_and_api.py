@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sprigwork import api
+from sprigwork import api, session
 from sprigwork.operators import fixpoint as X
 from sprigwork.sources import codecs as C
 from sprigwork.sources import exports as E
@@ -95,3 +95,44 @@ def test_registered_queries_have_names_and_twins():
 
     queries, sql = e.queries(), e.oracle_sql()
     assert len(queries) > 120 and set(sql) <= set(queries) and all(callable(f) for f in queries.values())
+
+
+def test_simulate_against_a_baseline_of_its_own(spark):
+    nodes = spark.createDataFrame([("n", x, "PHENOTYPE" if x == "P" else "GENE") for x in "ABP"], "network string, id string, type string")
+    edges = spark.createDataFrame([("n", "A", "B", 1), ("n", "B", "P", -1)], "network string, source string, target string, sign int")
+    runs = spark.createDataFrame(
+        [("own", "n", {"A": 0.0, "B": 2.0}, {}, {"A": 0.0}, None), ("wt", "n", {"A": 0.0}, None, None, None)],
+        "key string, network string, modifiers map<string,double>, supply map<string,double>, baseline_modifiers map<string,double>, baseline_supply map<string,double>",
+    )
+    rows = api.simulate(nodes, edges, runs).collect()
+    last = {k: max(r.step for r in rows if r.key == k) for k in ("own", "wt")}
+    end = {(r.key, r.node): (r.value, r.baseline) for r in rows if r.step == last[r.key]}
+    assert all(r.value is not None and r.baseline is not None for r in rows) and len(rows) == 3 * (last["own"] + last["wt"] + 2)
+    assert end["own", "A"] == (0.0, 0.0) and end["own", "B"][0] > end["own", "B"][1] and end["wt", "P"][1] == 1.0 < end["wt", "P"][0]
+
+
+def test_verdicts_go_back_onto_the_edges(spark):
+    papers = spark.createDataFrame([("new", "AB1 promotes CD2.", None)], "doi string, abstract string, fulltext string")
+    edges = spark.createDataFrame([(1, "AB1", "CD2", 1, "old"), (2, "XX1", "CD2", 1, "old")], "edge_key long, source string, target string, sign int, doi string")
+    claims = edges.select(F.col("edge_key").alias("claim"), F.col("source").alias("a"), F.col("target").alias("b"), "sign", "doi")
+    got = {r.edge_key: (r.doi, r.previous_doi, r.verification) for r in api.apply_verdicts(edges, api.verify(claims, papers, offline=True), "edge_key").collect()}
+    assert got == {1: ("new", "old", "repaired"), 2: ("old", None, "quarantine")}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Spark:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Spark())
