@@ -115,6 +115,18 @@ def distance(a: str, b: str, most: int = EDITS) -> int:
     """Edits between two words, neighbours swapped counting as one; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if a == b:
+        return 0
+    # What both begin and end with costs nothing.
+    start, end = 0, min(len(a), len(b))
+    while start < end and a[start] == b[start]:
+        start += 1
+    stop = 0
+    while stop < end - start and a[-1 - stop] == b[-1 - stop]:
+        stop += 1
+    a, b = a[start : len(a) - stop], b[start : len(b) - stop]
+    if not a or not b:
+        return max(len(a), len(b))
     before, last = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -244,10 +256,10 @@ def soft_tfidf(repaired: list[dict[str, int]], toks: list[str], idf: list[float]
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for raw, level, exact, n, repaired, kb_id, node, toks, idf in zip(*(c.to_pylist() for c in batch.columns)):
+        for raw, level, exact, n, at, vocab, edits, kb_id, node, toks, idf in zip(*(c.to_pylist() for c in batch.columns)):
             by_token: dict[int, dict[str, int]] = {}
-            for x in repaired:
-                by_token.setdefault(x["i"], {})[x["vocab"]] = x["d"]
+            for i, word, d in zip(at, vocab, edits):
+                by_token.setdefault(i, {})[word] = d
             if len(by_token) == n and (hit := soft_tfidf([by_token[i] for i in sorted(by_token)], toks, idf)) and not (exact and hit[1]):
                 out.append((raw, -round(hit[0] * STEP**level, 12), kb_id, node))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.string())], names=["raw", "below", "kb_id", "kb_node"])
@@ -264,7 +276,7 @@ def link(raws: DataFrame, kb: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -
     whole = each.groupBy("raw", "reading", "level", "exact", "n").agg(F.collect_list(F.struct("i", "vocab", "d")).alias("repaired"), F.countDistinct("i").alias("covered")).where("covered = n")
     # An entry is met over its rarest token only, which a complete reading must hold.
     met = whole.withColumn("rare", F.explode(F.array_distinct("repaired.vocab"))).join(entries, "rare").where(F.size(entries.toks) == F.col("n"))
-    ranked = spread(met.select("raw", "level", "exact", "n", "repaired", "kb_id", "kb_node", entries.toks, "idf"), "raw").mapInArrow(_rank, "raw string, below double, kb_id bigint, kb_node string")
+    ranked = spread(met.select("raw", "level", "exact", "n", "repaired.i", "repaired.vocab", "repaired.d", "kb_id", "kb_node", entries.toks, "idf"), "raw").mapInArrow(_rank, "raw string, below double, kb_id bigint, kb_node string")
     return ranked.groupBy("raw").agg(F.min(F.struct("below", "kb_id", "kb_node")).alias("best")).select("raw", "best.kb_node")
 
 

@@ -26,6 +26,23 @@ def test_distance(a, b, d):
     assert L.distance(a, b) == d
 
 
+def test_distance_equals_the_full_table():
+    def full(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(9)
+    for _ in range(4000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 8)))
+        b = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 8)))
+        assert L.distance(a, b) == min(full(a, b), 3)
+
+
 def test_soft_tfidf_needs_complete_cover():
     assert L.soft_tfidf([{"a": 0}], ["a", "b"], [1.0, 1.0]) is None and L.soft_tfidf([{"a": 0}, {"a": 0}], ["a", "b"], [1.0, 1.0]) is None
     exact, near = L.soft_tfidf([{"a": 0}, {"b": 0}], ["b", "a"], [1.0, 2.0]), L.soft_tfidf([{"a": 1}, {"b": 0}], ["b", "a"], [1.0, 2.0])
