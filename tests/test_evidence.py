@@ -60,3 +60,25 @@ def test_second_hand_sections_cost_points(spark):
     claims = spark.createDataFrame([(1, "AB1", "CD2", 1, "p")], CLAIM)
     best = E.resolve(claims, papers).first()
     assert (best.sentence, best.section, best.score) == ("AB1 promotes CD2 fast.", "Introduction", 0.57)
+
+
+def test_pairs_that_the_texts_do_not_tell_apart_are_searched_once(spark, monkeypatch):
+    rows, staged = {}, E.staged
+
+    def counted(df, name, *more):
+        out = staged(df, name, *more)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(E, "staged", counted)
+    papers = spark.createDataFrame([("p1", 2001, "Petiole length and hypocotyl width rose.", None), ("p2", 1999, "The width follows the length.", None), ("", 1990, "Length and width.", None)], "doi string, year int, abstract string, fulltext string")
+    claims = spark.createDataFrame([(i, f"Xq{i}zz_Length", f"Yq{i}zz_hypocotyl", 0, None if i else "p9") for i in range(20)] + [(90, "Xq1zz_Length", "Wq_petiole", 0, "p2"), (91, "nowhere9", "Xq1zz_Length", 0, "p1")], CLAIM)
+    got = {r.claim: (r.status, r.doi, r.n_supports) for r in E.resolve(claims, papers).collect()}
+    assert got == {i: ("repaired", "p1", 1) for i in range(20)} | {90: ("repaired", "p1", 1), 91: ("quarantine", None, 0)}
+    assert rows["supports"][0] == 2  # of 21 pairs of names
+
+
+def test_a_paper_without_doi_is_no_repair_of_a_claim_without_one(spark):
+    papers = spark.createDataFrame([("p1", 2001, "AB1 binds CD2.", None), ("p2", 1999, "AB1 meets CD2.", None), ("", 1990, "AB1 and CD2.", None)], "doi string, year int, abstract string, fulltext string")
+    claims = spark.createDataFrame([(1, "AB1", "CD2", 0, None), (2, "AB1", "CD2", 0, "p9"), (3, "AB1", "CD2", 0, "")], CLAIM)
+    assert {r.claim: (r.doi, r.n_supports) for r in E.resolve(claims, papers).collect()} == {1: ("p2", 2), 2: ("", 3), 3: ("p2", 2)}
