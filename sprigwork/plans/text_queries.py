@@ -18,7 +18,7 @@ from sprigwork.operators import metrics as M
 from sprigwork.operators import scenarios as R
 from sprigwork.plans.frames import SQL_EDGES, SQL_NODES, live_nodes, net_edges, sql_expand
 from sprigwork.plans.graph_queries import _ALIAS, _DOI, _EXPL, cascade
-from sprigwork.session import staged
+from sprigwork.session import small, spread, staged
 from sprigwork.sources import codecs as C
 from sprigwork.sources import exports as P
 from sprigwork.tables import load
@@ -73,11 +73,13 @@ def _paper_texts(spark, d: str) -> DataFrame:
 
 
 def _dated(spark, d: str) -> DataFrame:
-    """The texts with the earliest year of their DOI."""
-    p = load(spark, d, "papers")
-    year = F.min("year") if "year" in p.columns else F.lit(None).cast("int")
-    years = p.withColumn("k", bare_doi(F.col("doi"))).where("k <> ''").groupBy(F.col("k").alias("doi")).agg(year.alias("year"))
-    return _paper_texts(spark, d).join(years, "doi", "left")
+    """The texts, a row each and partitioned by DOI, with the earliest year of their DOI."""
+    p, none = load(spark, d, "papers"), F.lit(None).cast("string")
+    year = F.col("year") if "year" in p.columns else F.lit(None)
+    a = p.select(bare_doi(F.col("doi")).alias("doi"), year.cast("int").alias("year"), "abstract", none.alias("fulltext"))
+    f = load(spark, d, "fulltext").select(bare_doi(F.col("doi")).alias("doi"), F.lit(None).cast("int").alias("year"), none.alias("abstract"), F.col("text").alias("fulltext"))
+    texts = spread(a.unionByName(f).where("doi <> ''"), "doi")
+    return texts.withColumn("year", F.min("year").over(Window.partitionBy("doi")))
 
 
 def _species(spark, d: str) -> DataFrame:
@@ -106,7 +108,7 @@ def _claims(spark, d: str) -> DataFrame:
 
 def _asked(spark, d: str) -> DataFrame:
     """The claims as resolve() takes them."""
-    return _claims(spark, d).join(_species(spark, d), "network", "left").select(F.concat_ws(":", "kind", "key").alias("claim"), "a", "b", "sign", "doi", "species")
+    return _claims(spark, d).join(small(_species(spark, d)), "network", "left").select(F.concat_ws(":", "kind", "key").alias("claim"), "a", "b", "sign", "doi", "species")
 
 
 def _resolved(spark, d: str) -> DataFrame:
@@ -269,7 +271,7 @@ def evd4_second_pass(spark, d: str) -> DataFrame:
 
 @query()
 def evd6_attempt_trail(spark, d: str) -> DataFrame:
-    claims = _asked(spark, d)
+    claims = _claims(spark, d).select(F.concat_ws(":", "kind", "key").alias("claim"), "doi")
     return E.trail(_resolved(spark, d), claims).select("claim", "status", F.to_json("tried").alias("tried"))
 
 

@@ -1,3 +1,7 @@
+import re
+
+import pytest
+
 from sprigwork.operators import evidence as E
 from sprigwork.plans import text_queries as Q
 
@@ -82,3 +86,28 @@ def test_a_paper_without_doi_is_no_repair_of_a_claim_without_one(spark):
     papers = spark.createDataFrame([("p1", 2001, "AB1 binds CD2.", None), ("p2", 1999, "AB1 meets CD2.", None), ("", 1990, "AB1 and CD2.", None)], "doi string, year int, abstract string, fulltext string")
     claims = spark.createDataFrame([(1, "AB1", "CD2", 0, None), (2, "AB1", "CD2", 0, "p9"), (3, "AB1", "CD2", 0, "")], CLAIM)
     assert {r.claim: (r.doi, r.n_supports) for r in E.resolve(claims, papers).collect()} == {1: ("p2", 2), 2: ("", 3), 3: ("p2", 2)}
+
+
+def test_hits_are_shuffled_by_their_pair_only_and_without_words(spark, monkeypatch):
+    plans, staged = {}, E.staged
+
+    def seen(df, name, *more):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name, *more)
+
+    monkeypatch.setattr(E, "staged", seen)
+    papers = spark.createDataFrame([("p1", "AB1 binds CD2.", None), ("p2", "AB1 meets CD2. EF3 is met.", "AB1 and EF3.")], PAPER)
+    claims = spark.createDataFrame([(1, "AB1", "CD2", 0, "p9"), (2, "AB1", "CD2", 0, "p1"), (3, "AB1", "EF3", 0, None)], CLAIM)
+    got = {r.claim: (r.status, r.doi, r.searched) for r in E.resolve(claims, papers).collect()}
+    assert got == {1: ("repaired", "p1", 1), 2: ("verified", "p1", 0), 3: ("repaired", "p2", 2)}
+    late = [p for name in ("verified", "supports", "repaired") for p in plans[name]]
+    assert len(late) == 5 and not [p for p in late if re.search(r"\b(sentence|plain)#|hashpartitioning\(sid#", p)]
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_one_word_spellings_meet_their_plural_and_no_longer_word(spark, monkeypatch, few):
+    monkeypatch.setattr(E, "FEW", few, raising=False)
+    papers = spark.createDataFrame([("p1", "Kinins and kinin lower ABCs.", None), ("p2", "Kininss lower ABC.", None), ("p3", "KRPs lower kinin-ABC.", None), ("p4", "The KRPS1 line (kinin).", None)], PAPER)
+    claims = spark.createDataFrame([(1, "Kinin", "ABC", 0, "p1"), (2, "Kinin", "ABC", 0, "p2"), (3, "Kinin", "ABC", 0, "p3"), (4, "KRPS", "Kinin", 0, "p3"), (5, "KRPS1", "Kinin", 0, "p4"), (6, "KRPS", "Kinin", 0, "p4")], CLAIM)
+    got = {r.claim: (r.status, r.doi, r.n_supports) for r in E.resolve(claims, papers).collect()}
+    assert got == {1: ("repaired", "p3", 1), 2: ("repaired", "p3", 1), 3: ("verified", "p3", 1), 4: ("verified", "p3", 1), 5: ("verified", "p4", 1), 6: ("repaired", "p3", 1)}
