@@ -105,11 +105,10 @@ def tier(part: Column, section: Column) -> Column:
 
 
 def lines(index: DataFrame, said: DataFrame, sentences: DataFrame, species: DataFrame) -> DataFrame:
-    """(sid, doi, part, names, phrased, cue, tier, tight, near, year, place) of every sentence that names a node: the nodes, those of
-    them named by a whole phrase, and what else scores the sentence. near: of species(species) those that it speaks of."""
+    """(sid, doi, part, codes, cue, tier, tight, near, year, place) of every sentence that names a node: the nodes as
+    codes (the node times 2, and 1 if it is named by a whole phrase), and what else scores the sentence. near: of species(species) those that it speaks of."""
     codes = said.join(small(index), "alias").groupBy("sid").agg(F.collect_set(F.col("name") * 2 + F.col("phrase").cast("int")).alias("codes"))
-    node = lambda c: F.shiftright(c, 1)
-    named = codes.select("sid", F.array_distinct(F.transform("codes", node)).alias("names"), F.transform(F.filter("codes", lambda c: c % 2 == 1), node).alias("phrased"))
+    named = codes.select("sid", F.filter("codes", lambda c: (c % 2 == 1) | ~F.array_contains("codes", c + 1)).alias("codes"))
     words = F.filter(F.split(T.norm(F.col("species")), " "), lambda w: F.length(w) > 3)
     # One row, of as many species as organisms are studied.
     studied = species.select("species", words.alias("words")).agg(F.collect_list(F.struct("species", "words")).alias("studied"))
@@ -140,8 +139,8 @@ def _scored(both: DataFrame) -> DataFrame:
 
 
 def _told(best: DataFrame, sentences: DataFrame) -> DataFrame:
-    """best(claim, status, sign, sid, raw, cue, n_supports, searched) as results: with the words of its sentence."""
-    j = best.join(sentences.select("sid", "doi", "part", "section", "sentence"), "sid")
+    """best(claim, status, sign, doi, sid, part, raw, cue, n_supports, searched) as results: with the words of its sentence."""
+    j = best.join(sentences.select("sid", "section", "sentence"), "sid")
     score = F.round(F.least(F.col("raw"), F.lit(MOST)), 2).alias("score")
     return j.select("claim", "status", "doi", "sentence", "part", "section", score, ((F.col("sign") == 0) | (F.col("cue") == 0) | (F.col("cue") == F.col("sign"))).alias("direction_ok"), "n_supports", "searched")
 
@@ -158,12 +157,14 @@ def verified(claims: DataFrame, named: DataFrame) -> DataFrame:
     """Claims that the paper on record supports: its abstracts are asked before its full texts, the best sentence counts."""
     asked = claims.where((F.length(F.coalesce("doi", F.lit(""))) > 0) & F.col("a").isNotNull() & F.col("b").isNotNull())
     # Few papers name both nodes at all: those are told first.
-    papers = named.where("doi is not null").groupBy("doi").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("all"))
+    node = lambda c: F.shiftright(c, 1)
+    papers = named.where("doi is not null").groupBy("doi").agg(F.array_distinct(F.transform(F.flatten(F.collect_list("codes")), node)).alias("all"))
     maybe = staged(asked.join(papers, "doi").where("array_contains(all, a) and array_contains(all, b)").drop("all"), "candidates")
-    phrase = lambda x: F.array_contains("phrased", F.col(x)).cast("int").alias(f"phrase_{x}")
-    both = maybe.select(*_ASKED, "doi").distinct().join(named, "doi").where("array_contains(names, a) and array_contains(names, b)").select("*", phrase("a"), phrase("b"))
-    best = _first(_scored(both), [*_ASKED, "doi"], F.col("part"), F.col("raw").desc(), F.col("place")).select(*_ASKED, "doi", "sid", "raw", "cue")
-    return maybe.join(best, [*_ASKED, "doi"]).select("claim", "sign", "sid", "raw", "cue", F.lit(1).cast("bigint").alias("n_supports"), F.lit(0).alias("searched"))
+    phrase = lambda x: F.array_contains("codes", F.col(x) * 2 + 1).cast("int").alias(f"phrase_{x}")
+    names = lambda x: F.array_contains("codes", F.col(x) * 2) | F.array_contains("codes", F.col(x) * 2 + 1)
+    both = maybe.select(*_ASKED, "doi").distinct().join(named, "doi").where(names("a") & names("b")).select("*", phrase("a"), phrase("b"))
+    best = _first(_scored(both), [*_ASKED, "doi"], F.col("part"), F.col("raw").desc(), F.col("place")).select(*_ASKED, "doi", "sid", "part", "raw", "cue")
+    return maybe.join(best, [*_ASKED, "doi"]).select("claim", F.col("doi").alias("on_record"), "sign", "doi", "sid", "part", "raw", "cue", F.lit(1).cast("bigint").alias("n_supports"), F.lit(0).alias("searched"))
 
 
 def searched(claims: DataFrame, named: DataFrame, part: str, round_: int, min_supports: int) -> DataFrame:
@@ -175,12 +176,13 @@ def searched(claims: DataFrame, named: DataFrame, part: str, round_: int, min_su
     verified; but for claims without a DOI on record, these take no paper without one.
     """
     pairs = claims.select(*_ASKED).distinct()
-    asked = pairs.select("a", "b").distinct().groupBy("a").agg(F.collect_list("b").alias("with"))
-    first = named.where((F.col("part") == part) & F.col("doi").isNotNull()).select("*", F.explode("names").alias("a"))
+    # Either code of a node that is asked for.
+    asked = pairs.select("a", "b").distinct().select("a", F.explode(F.array(F.col("b") * 2, F.col("b") * 2 + 1)).alias("b")).groupBy("a").agg(F.collect_list("b").alias("with"))
+    first = named.where((F.col("part") == part) & F.col("doi").isNotNull()).select("*", F.explode("codes").alias("code")).withColumn("a", F.shiftright("code", 1))
     # What is not asked for drops out before pairs are rows. From here on rows stay with their pair.
-    met = first.join(asked, "a").select("*", F.explode(F.array_intersect("with", "names")).alias("b"))
-    phrase = lambda x: F.array_contains("phrased", F.col(x)).cast("int").alias(f"phrase_{x}")
-    both = met.select("a", "b", "sid", "doi", "part", phrase("a"), phrase("b"), "cue", "tier", "tight", "near", "year", "place").join(pairs, ["a", "b"])
+    met = first.join(asked, "a").select("*", F.explode(F.array_intersect("with", "codes")).alias("other"))
+    phrase = lambda c, x: (F.col(c) % 2).cast("int").alias(f"phrase_{x}")
+    both = met.select("a", F.shiftright("other", 1).alias("b"), "sid", "doi", "part", phrase("code", "a"), phrase("other", "b"), "cue", "tier", "near", "tight", "year", "place").join(pairs, ["a", "b"])
     by_paper = _first(_scored(both), [*_ASKED, "doi"], F.col("raw").desc(), F.col("place"))
     score = F.round(F.least(F.col("raw"), F.lit(MOST)), 2)
     same = Window.partitionBy(*_ASKED)
@@ -191,18 +193,14 @@ def searched(claims: DataFrame, named: DataFrame, part: str, round_: int, min_su
     no_doi = F.length(F.coalesce("doi", F.lit(""))) == 0
     n = F.when(no_doi, F.col("n") - F.col("blank")).otherwise(F.col("n"))
     pick = F.when(n >= max(min_supports, 1), F.when(no_doi & (F.col("paper_1.doi") == ""), F.col("paper_2")).otherwise(F.col("paper_1")))
-    best = claims.join(top, [*_ASKED], "left").select("claim", *_ASKED, "doi", pick.alias("_p"), n.alias("n_supports"))
-    return best.select("claim", *_ASKED, "doi", "_p.sid", "_p.raw", "_p.cue", "n_supports", F.lit(round_).alias("searched"))
+    best = claims.join(top, [*_ASKED], "left").select("claim", *_ASKED, F.col("doi").alias("on_record"), pick.alias("_p"), n.alias("n_supports"))
+    return best.select("claim", *_ASKED, "on_record", "_p.doi", "_p.sid", F.lit(part).alias("part"), "_p.raw", "_p.cue", "n_supports", F.lit(round_).alias("searched"))
 
 
-def resolve(claims: DataFrame, papers: DataFrame, nodes: DataFrame | None = None, min_supports: int = 1, second_pass: bool = True) -> DataFrame:
-    """(claim, status, doi, sentence, part, section, score, direction_ok, n_supports, searched): verified by the paper on record,
-    repaired by another, or quarantined.
+def settled(claims: DataFrame, papers: DataFrame, nodes: DataFrame | None = None, min_supports: int = 1, second_pass: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(claim, on_record, sign, doi, sid, part, raw, cue, n_supports, searched, status) of what resolve() takes, and its sentences.
 
-    claims(claim, a, b, sign, doi[, species]), papers(doi, abstract, fulltext[, year]), nodes(id, full_name). searched: 0 the
-    paper on record, 1 the abstracts of all papers, 2 their full texts (the second pass, for what is still open).
-    min_supports: papers that must support a repair.
-    """
+    on_record: the DOI that the claim came with; sid: the sentence, null in quarantine."""
     species = F.col("species") if "species" in claims.columns else F.lit(None).cast("string")
     # A null species and an empty one bring no points alike.
     asked = staged(claims.select("claim", "a", "b", F.coalesce("sign", F.lit(0)).alias("sign"), "doi", F.coalesce(species, F.lit("")).alias("species")), "claims")
@@ -223,17 +221,33 @@ def resolve(claims: DataFrame, papers: DataFrame, nodes: DataFrame | None = None
     for round_, part in enumerate(("abstract", "full_text") if second_pass else ("abstract",), 1):
         tried = staged(searched(left, named, part, round_, min_supports), "repaired")
         found = found.unionByName(tried.where("sid is not null").select(*own.columns, F.lit("repaired").alias("status")))
-        left = tried.where("sid is null").select(*asked.columns)
-    told = _told(found, text).select("claim", "status", *_FOUND)
+        left = tried.where("sid is null").select(F.col("on_record").alias("doi"), *[c for c in asked.columns if c != "doi"])
+    kinds = dict(found.dtypes)
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in ("sign", "doi", "sid", "part", "raw", "cue")]
+    rest = left.select("claim", "doi").union(asked.where(~known).select("claim", "doi")).select("claim", F.col("doi").alias("on_record"), *none)
+    return found.unionByName(rest.select("*", F.lit(0).cast("bigint").alias("n_supports"), F.lit(2 if second_pass else 1).alias("searched"), F.lit("quarantine").alias("status"))), text
+
+
+def resolve(claims: DataFrame, papers: DataFrame, nodes: DataFrame | None = None, min_supports: int = 1, second_pass: bool = True) -> DataFrame:
+    """(claim, status, doi, sentence, part, section, score, direction_ok, n_supports, searched): verified by the paper on record,
+    repaired by another, or quarantined.
+
+    claims(claim, a, b, sign, doi[, species]), papers(doi, abstract, fulltext[, year]), nodes(id, full_name). searched: 0 the
+    paper on record, 1 the abstracts of all papers, 2 their full texts (the second pass, for what is still open).
+    min_supports: papers that must support a repair.
+    """
+    every, text = settled(claims, papers, nodes, min_supports, second_pass)
+    told = _told(every.where("sid is not null"), text).select("claim", "status", *_FOUND)
     kinds = dict(told.dtypes)
     none = [F.lit(None).cast(kinds[c]).alias(c) for c in _FOUND[:-2]]
-    rest = left.select("claim").union(asked.where(~known).select("claim"))
-    return told.unionByName(rest.select("claim", F.lit("quarantine").alias("status"), *none, F.lit(0).cast("bigint").alias("n_supports"), F.lit(2 if second_pass else 1).alias("searched")))
+    return told.unionByName(every.where("sid is null").select("claim", "status", *none, "n_supports", "searched"))
+
 
+def trail(resolved: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Attempts per claim as ARRAY<STRUCT<action, outcome>>: the paper on record, the search, and the retry of the second pass.
 
-def trail(resolved: DataFrame, claims: DataFrame) -> DataFrame:
-    """Attempts per claim as ARRAY<STRUCT<action, outcome>>: the paper on record, the search, and the retry of the second pass."""
-    j = claims.select("claim", F.col("doi").alias("on_record")).join(resolved, "claim")
+    claims: not needed where resolved has on_record, as settled() gives it."""
+    j = resolved if claims is None else claims.select("claim", F.col("doi").alias("on_record")).join(resolved, "claim")
     blank = F.length(F.coalesce("on_record", F.lit(""))) == 0
     step = lambda action, outcome: F.struct(F.lit(action).alias("action"), outcome.alias("outcome"))
     hit = lambda round_: F.when((F.col("status") == "repaired") & (F.col("searched") == round_), "grounded").otherwise("miss")

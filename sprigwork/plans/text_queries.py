@@ -271,8 +271,8 @@ def evd4_second_pass(spark, d: str) -> DataFrame:
 
 @query()
 def evd6_attempt_trail(spark, d: str) -> DataFrame:
-    claims = _claims(spark, d).select(F.concat_ws(":", "kind", "key").alias("claim"), "doi")
-    return E.trail(_resolved(spark, d), claims).select("claim", "status", F.to_json("tried").alias("tried"))
+    every, _ = E.settled(_asked(spark, d), _dated(spark, d), live_nodes(spark, d).select("id", "full_name"))
+    return E.trail(every).select("claim", "status", F.to_json("tried").alias("tried"))
 
 
 @query(f"WITH w AS (SELECT {_DOI} AS k, count(*) AS n FROM network_edges GROUP BY 1), h AS (SELECT DISTINCT {_DOI} AS k FROM papers) SELECT w.k AS doi, w.n AS n_claims, h.k IS NOT NULL AS known FROM w LEFT JOIN h ON h.k = w.k WHERE w.k <> ''")

@@ -111,3 +111,11 @@ def test_one_word_spellings_meet_their_plural_and_no_longer_word(spark, monkeypa
     claims = spark.createDataFrame([(1, "Kinin", "ABC", 0, "p1"), (2, "Kinin", "ABC", 0, "p2"), (3, "Kinin", "ABC", 0, "p3"), (4, "KRPS", "Kinin", 0, "p3"), (5, "KRPS1", "Kinin", 0, "p4"), (6, "KRPS", "Kinin", 0, "p4")], CLAIM)
     got = {r.claim: (r.status, r.doi, r.n_supports) for r in E.resolve(claims, papers).collect()}
     assert got == {1: ("repaired", "p3", 1), 2: ("repaired", "p3", 1), 3: ("verified", "p3", 1), 4: ("verified", "p3", 1), 5: ("verified", "p4", 1), 6: ("repaired", "p3", 1)}
+
+
+def test_settled_claims_hold_their_paper_on_record_and_keys_only(spark):
+    papers = spark.createDataFrame([("p1", "AB1 binds CD2.", None), ("p2", "EF3 is met.", "AB1 and EF3.")], PAPER)
+    claims = spark.createDataFrame([(1, "AB1", "CD2", 0, "p1"), (2, "AB1", "EF3", 0, None), (3, "AB1", "GH4", 0, "p2")], CLAIM)
+    every, _ = E.settled(claims, papers)
+    assert "sentence" not in every.columns and {r.claim: (r.on_record, r.doi) for r in every.collect()} == {1: ("p1", "p1"), 2: (None, "p2"), 3: ("p2", None)}
+    assert {tuple(r.claim for r in E.trail(every).where("size(tried) = %d" % n).collect()) for n in (1, 4)} >= {(1,)}
